@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trajlake.llm import decontamination, language_id, mixing, quality_rules
+from trajlake.llm import decontamination, language_id, mixing, ngram_jaccard, quality_rules
 
 QUERIES = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, quality_rules.SQL),
+    "op6_ngram_jaccard": (ngram_jaccard.op6_ngram_jaccard, ngram_jaccard.SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.SQL),
     "op8_decontamination": (decontamination.op8_decontamination, decontamination.SQL),
     "op9_language_id": (language_id.op9_language_id, language_id.SQL),
