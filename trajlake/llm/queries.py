@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from trajlake.llm import decontamination, language_id, mixing, ngram_jaccard, quality_rules
+from trajlake.llm import decontamination, language_id, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, quality_rules.SQL),
+    "op4_substring_dedup": (substring_dedup.op4_substring_dedup, substring_dedup.SQL),
     "op6_ngram_jaccard": (ngram_jaccard.op6_ngram_jaccard, ngram_jaccard.SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.SQL),
     "op8_decontamination": (decontamination.op8_decontamination, decontamination.SQL),
     "op9_language_id": (language_id.op9_language_id, language_id.SQL),
+    "op10_quality_classifier": (quality_classifier.op10_quality_classifier, quality_classifier.SQL),
 }
