@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from trajlake.llm import decontamination, language_id, mixing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup
+import corpus_pipeline
+from trajlake.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    lm_scoring,
+    mixing,
+    ngram_jaccard,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    url_filters,
+)
 
 QUERIES = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, quality_rules.SQL),
+    "op2_lm_scoring": (lm_scoring.op2_lm_scoring, lm_scoring.SQL),
+    "op3_license_scan": (license_scan.op3_license_scan, license_scan.SQL),
     "op4_substring_dedup": (substring_dedup.op4_substring_dedup, substring_dedup.SQL),
+    "op5_url_filters": (url_filters.op5_url_filters, url_filters.SQL),
     "op6_ngram_jaccard": (ngram_jaccard.op6_ngram_jaccard, ngram_jaccard.SQL),
     "op7_mixing": (mixing.op7_mixing, mixing.SQL),
     "op8_decontamination": (decontamination.op8_decontamination, decontamination.SQL),
     "op9_language_id": (language_id.op9_language_id, language_id.SQL),
     "op10_quality_classifier": (quality_classifier.op10_quality_classifier, quality_classifier.SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
