@@ -12,7 +12,8 @@ from trajlake.sources.scene import crossroads
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_features(adapters.tracks(spark, sf_dir), crossroads(), adapters.SOURCE_SIZE)
+    """Features are kept (in memory or on disk) as every rule reads them, some several times."""
+    return extract_features(adapters.tracks(spark, sf_dir), crossroads(), adapters.SOURCE_SIZE).persist()
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -95,14 +95,14 @@ def along(points: str, x: str, y: str) -> str:
 _far = sorted((-ALONG[0]) * y - (-ALONG[1]) * x for pts in _scene.dashed_lines.values() for x, y in [pts[1]])
 
 CTES: dict[str, str] = {
-    "ev": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, CASE WHEN user_id % 8 = 5 AND user_id % 3 = 1 THEN user_id + 2 ELSE user_id END AS as_id, [2, 2, 0, 7, 0, 3, 5, 1][user_id % 8 + 1] AS cls FROM events",
+    "ev": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, CASE WHEN user_id % 8 = 4 AND user_id % 3 = 1 THEN user_id + 1 ELSE user_id END AS as_id, [2, 2, 0, 7, 0, 3, 5, 1][user_id % 8 + 1] AS cls FROM events",
     "uw": """SELECT *, as_id % 15 AS k, cls = 0 AND as_id = user_id AS walks FROM ev""",
-    "place": """SELECT *, CASE WHEN walks AND user_id % 2 = 0 THEN 670.0::DOUBLE WHEN walks THEN 450.0::DOUBLE + n * 0.5::DOUBLE
+    "place": """SELECT *, CASE WHEN walks AND user_id % 8 = 4 THEN 670.0::DOUBLE WHEN walks THEN 450.0::DOUBLE + n * 0.5::DOUBLE
       WHEN k < 9 THEN 330.0::DOUBLE + 70.0::DOUBLE * (CASE WHEN k = 8 THEN 0 ELSE k // 5 END) + 5.0::DOUBLE * least(n, 15) + 6.0::DOUBLE * greatest(n - 55, 0) + (event_id % 7) * 0.1::DOUBLE
       WHEN k = 10 THEN 540.0::DOUBLE + 6.0::DOUBLE * least(n, 10) + 8.0::DOUBLE * greatest(n - 45, 0) + (event_id % 7) * 0.1::DOUBLE
       WHEN k = 12 THEN 800.0::DOUBLE + 4.0::DOUBLE * least(n, 3) + (event_id % 7) * 0.05::DOUBLE WHEN k = 13 THEN 580.0::DOUBLE - 6.0::DOUBLE * n
       WHEN k = 14 THEN 470.0::DOUBLE + 3.0::DOUBLE * n ELSE 480.0::DOUBLE + 8.0::DOUBLE * n + (event_id % 7) * 0.1::DOUBLE END AS u,
-      CASE WHEN walks THEN -30.0::DOUBLE + 4.0::DOUBLE * n WHEN k = 11 THEN -20.0::DOUBLE - 40.0::DOUBLE * (as_id % 4) WHEN k = 14 THEN 120.0::DOUBLE + 2.0::DOUBLE * n
+      CASE WHEN walks THEN -30.0::DOUBLE + 4.0::DOUBLE * n WHEN k = 11 THEN -20.0::DOUBLE - 40.0::DOUBLE * (as_id % 4) WHEN k = 14 THEN 121.0::DOUBLE + 2.0::DOUBLE * n
       WHEN k = 8 THEN 140.0::DOUBLE ELSE 20.0::DOUBLE + 40.0::DOUBLE * (as_id % 5) END AS w,
       CASE cls WHEN 0 THEN 24.0::DOUBLE WHEN 5 THEN 150.0::DOUBLE WHEN 7 THEN 110.0::DOUBLE WHEN 2 THEN 84.0::DOUBLE ELSE 44.0::DOUBLE END AS bw,
       CASE cls WHEN 0 THEN 60.0::DOUBLE WHEN 5 THEN 96.0::DOUBLE WHEN 7 THEN 80.0::DOUBLE WHEN 2 THEN 56.0::DOUBLE ELSE 50.0::DOUBLE END AS bh FROM uw""",

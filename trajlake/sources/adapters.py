@@ -31,12 +31,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     e = e.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    # A few persons ride what comes two ids later.
-    e = e.withColumn("as_id", F.expr("CASE WHEN user_id % 8 = 5 AND user_id % 3 = 1 THEN user_id + 2 ELSE user_id END"))
+    # A few persons ride what has the next id.
+    e = e.withColumn("as_id", F.expr("CASE WHEN user_id % 8 = 4 AND user_id % 3 = 1 THEN user_id + 1 ELSE user_id END"))
     e = e.withColumn("k", F.expr("as_id % 15")).withColumn("cls", F.expr("CAST(element_at(array(2, 2, 0, 7, 0, 3, 5, 1), CAST(user_id % 8 AS INT) + 1) AS INT)"))
     e = e.withColumn("walks", F.expr("cls = 0 AND as_id = user_id"))
     u = F.expr("""CASE
-      WHEN walks AND user_id % 2 = 0 THEN 670.0 WHEN walks THEN 450.0 + n * 0.5
+      WHEN walks AND user_id % 8 = 4 THEN 670.0 WHEN walks THEN 450.0 + n * 0.5
       WHEN k < 9 THEN 330.0 + 70.0 * (CASE WHEN k = 8 THEN 0 ELSE k div 5 END) + 5.0 * least(n, 15) + 6.0 * greatest(n - 55, 0) + (event_id % 7) * 0.1
       WHEN k = 10 THEN 540.0 + 6.0 * least(n, 10) + 8.0 * greatest(n - 45, 0) + (event_id % 7) * 0.1
       WHEN k = 12 THEN 800.0 + 4.0 * least(n, 3) + (event_id % 7) * 0.05
@@ -46,7 +46,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.expr("""CASE
       WHEN walks THEN -30.0 + 4.0 * n
       WHEN k = 11 THEN -20.0 - 40.0 * (as_id % 4)
-      WHEN k = 14 THEN 120.0 + 2.0 * n
+      WHEN k = 14 THEN 121.0 + 2.0 * n
       WHEN k = 8 THEN 20.0 + 40.0 * 3
       ELSE 20.0 + 40.0 * (as_id % 5) END""")
     e = e.withColumns({"u": u, "w": w})
@@ -67,7 +67,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample every three frames of a video: red, amber, green by turns of ten seconds, some unknown."""
     last = tracks(spark, sf_dir).groupBy("video_id").agg(F.max("frame").alias("last"))
-    s = last.select("video_id", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(3))).cast("long").alias("frame"))
+    s = last.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(3).cast("long"))).alias("frame"))
     state = F.expr("CASE WHEN frame % 31 = 0 THEN '?' WHEN frame % 300 < 150 THEN 'R' WHEN frame % 300 < 180 THEN 'Y' ELSE 'G' END")
     s = s.withColumn("state", state)
     return s.select("video_id", "frame", (F.col("frame") / F.lit(30.0)).alias("t"), "state", *(F.expr(f"IF(state = '{x}', 30L, frame % 4)").alias(c) for x, c in (("R", "red"), ("Y", "amber"), ("G", "green"))))
