@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from trajlake.plans import catalog_features, catalog_rules, catalog_signals
+from trajlake.plans import catalog_features, catalog_rules, catalog_signals, catalog_tracks
 
-QUERIES: dict = {**catalog_features.QUERIES, **catalog_rules.QUERIES, **catalog_signals.QUERIES}
+QUERIES: dict = {**catalog_features.QUERIES, **catalog_rules.QUERIES, **catalog_signals.QUERIES, **catalog_tracks.QUERIES}
