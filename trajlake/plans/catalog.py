@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
-from trajlake.plans import catalog_features, catalog_labels, catalog_leads, catalog_rules, catalog_signals, catalog_tracks
+from trajlake.plans import (
+    catalog_features,
+    catalog_labels,
+    catalog_leads,
+    catalog_rules,
+    catalog_signals,
+    catalog_streaming,
+    catalog_tracks,
+)
 
-QUERIES: dict = {**catalog_features.QUERIES, **catalog_rules.QUERIES, **catalog_signals.QUERIES, **catalog_tracks.QUERIES, **catalog_labels.QUERIES, **catalog_leads.QUERIES}
+QUERIES: dict = {
+    **catalog_features.QUERIES,
+    **catalog_rules.QUERIES,
+    **catalog_signals.QUERIES,
+    **catalog_tracks.QUERIES,
+    **catalog_labels.QUERIES,
+    **catalog_leads.QUERIES,
+    **catalog_streaming.QUERIES,
+}

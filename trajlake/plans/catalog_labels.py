@@ -11,6 +11,7 @@ from trajlake.plans.catalog_features import rounded
 from trajlake.plans.oracle import merged, sql
 from trajlake.sources import adapters
 from trajlake.sources.adapters import LABELS
+from trajlake.sources.labels_json import truth_from_text, videos_to_json
 
 _gt, _pred, _raw, _risk, _acc = adapters.labels_gt, adapters.labels_pred, adapters.labels_raw, adapters.risk, adapters.labels_accident
 _matches = lambda s, d: matching.match_segments(_gt(s, d), _pred(s, d))
@@ -143,6 +144,10 @@ QUERIES = {
     "validate_events": (lambda s, d: broken_rules(_raw(s, d), LABELS[:10]), sql(f"""SELECT video_id, label, rule, count(*) AS n FROM (SELECT video_id, label, unnest(list_filter([CASE WHEN label NOT IN ({", ".join(f"'{x}'" for x in LABELS[:10])}) THEN 'label' END, CASE WHEN "end" > 300.5 THEN 'late' END], lambda x: x IS NOT NULL)) AS rule FROM labels_raw) q GROUP BY ALL""")),
     "validate_overlap": (lambda s, d: overlaps(_raw(s, d)), sql('SELECT video_id, label, count(*) AS n FROM (SELECT *, lead(start) OVER (PARTITION BY video_id, label ORDER BY start, "end") AS nx FROM labels_raw) x WHERE nx < "end" GROUP BY ALL')),
     "validate_risk": (lambda s, d: risk_breaks(_risk(s, d)), sql("SELECT video_id, min(idx) AS idx FROM risk WHERE score < 0 OR score > 0.9 GROUP BY video_id")),
+    "scan_labels_json": (
+        lambda s, d: rounded(truth_from_text(videos_to_json(_gt(s, d)).select("value")).select(F.col("video").cast("long").alias("video_id"), "start", "end", "label"), 3),
+        sql(f"SELECT video_id, {_or}, label FROM labels_gt"),
+    ),
     "label_union": (lambda s, d: _gt(s, d).select("label").union(_pred(s, d).select("label")).distinct(), sql("SELECT label FROM labels_gt UNION SELECT label FROM labels_pred")),
     "distinct_ids": (lambda s, d: adapters.tracks(s, d).groupBy("video_id").agg(F.count_distinct("id").alias("n")), sql("SELECT video_id, count(DISTINCT id) AS n FROM tracks GROUP BY video_id")),
 }
