@@ -2,12 +2,14 @@
 
 1. N-grams get one global order: those known to be frequent last, by frequency, else by hash. Any order gives the same
    result; this one keeps what many documents share out of the prefixes.
-2. Two similar sets share an n-gram in their prefixes of that order. Equal sets are one class from here on. Classes that
-   share a prefix n-gram, and can still overlap enough from there on, are candidates.
+2. Two similar sets share an n-gram in their prefixes of that order, and one more for each n-gram by which the prefixes
+   are longer. Equal sets are one class from here on. Classes that share that many prefix n-grams with others, and can
+   still overlap enough from there on, are candidates.
 3. Candidates are verified in blocks: a probe's partners are stored as a prefix tree of their ordered n-grams, and the
    probe walks it, so that what partners share is overlapped once and a subtree ends where the rest is too short.
-4. A first few rounds verify each n-gram's classes against one of them only, chosen anew each time. What links then is a
-   component, and within components nothing is left to verify. At last all candidates between components are.
+4. A first few rounds verify each n-gram's classes against one of them only, chosen anew each time from those that hang
+   together most. What links then is a component, and within components nothing is left to verify. At last all candidates
+   between components are.
 """
 
 from __future__ import annotations
@@ -26,8 +28,13 @@ from trajlake.llm.components import components
 
 #: The frequent n-grams that the order knows, as counted over all documents: at most so many (12 bytes each are broadcast).
 FREQUENT, FREQUENT_FROM = 1 << 18, 8
-#: Partners in a block, and candidate rows above which another round against single classes comes before the full join.
-BLOCK, MANY = 256, 5_000_000
+#: Partners in a block; candidates between components, for each row of them, up to which all are verified at once; and the
+#: rounds against single classes after which they are in any case.
+BLOCK, MANY, ROUNDS = 256, 64, 8
+#: A prefix is longer by an n-gram for each so many of its set.
+SPARE = 50
+#: Candidate ids up to which they are broadcast to pick their texts; beyond it both sides are shuffled.
+BROADCAST = 250_000
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +130,49 @@ def _walk(probe: np.ndarray, partners: list[tuple[int, bytes]], p: int, q: int)
     return found
 
 
+def _meetings(classes: DataFrame, p: int, q: int) -> DataFrame:
+    """gram, node, n and pos of the classes that meet another in an n-gram of their prefixes and may be similar to it.
+
+    The n-grams are dealt by hash, in packed arrays, into a number of buckets that follows spark.sql.shuffle.partitions.
+    """
+    shift = np.uint64(64 - max(1, (int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8 - 1).bit_length()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("prefix").value_lengths().to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), sizes)
+            gram = batch.column("prefix").flatten().to_numpy().view(np.uint64)
+            pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(gram)
+            gram, of, pos = gram[order], of[order], pos[order].astype(np.int32)
+            node, n = batch.column("node").to_numpy()[of], batch.column("n").to_numpy()[of].astype(np.int32)
+            bucket = gram >> shift
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            cuts = list(zip(at, [*at[1:], len(bucket)], strict=True)) if len(at) else []
+            packed = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (gram, node, n, pos)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), *packed], names=["bucket", "gram", "node", "n", "pos"])
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = {"gram": np.int64, "node": np.int64, "n": np.int32, "pos": np.int32}
+        gram, node, n, pos = (np.frombuffer(b"".join(rows[c]), kind).astype(np.int64) for c, kind in kinds.items())
+        order = np.lexsort((n, gram))
+        gram, node, n, pos = gram[order], node[order], n[order], pos[order]
+        left, keep = n - pos, np.zeros(len(gram), bool)
+        able = lambda i, j: (np.minimum(left[i], left[j]) + np.maximum(n[i], n[j]) // SPARE) * (p + q) >= (n[i] + n[j]) * p
+        for d in range(1, 33):
+            i = np.flatnonzero(gram[d:] == gram[:-d])
+            if not len(i):
+                break
+            i = i[able(i, i + d)] if d < 32 else i  # larger groups stay whole
+            keep[i] = keep[i + d] = True
+            if d == 32:
+                keep |= np.isin(gram, gram[i])
+        return pd.DataFrame({"gram": gram[keep], "node": node[keep], "n": n[keep], "pos": pos[keep]})
+
+    packed = classes.select("node", "n", "prefix").mapInArrow(pack, "bucket long, gram binary, node binary, n binary, pos binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "gram long, node long, n long, pos long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar; a is the probe, its partners come in blocks of about BLOCK."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -142,10 +192,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 def _able(x: str, y: str, p: int, q: int) -> F.Column:
     """Whether two classes that meet in an n-gram can be similar: by their sizes and by what is left from there on.
 
-    x and y prefix the columns n and pos. For the first n-gram that similar sets share this holds, so no pair is lost.
+    x and y prefix the columns n and pos. For the first n-grams that similar sets share, as many as their prefixes have to
+    spare and one, this holds, so no pair is lost.
     """
     n, m, i, j = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
-    return F.least(n - i, m - j) * (p + q) >= (n + m) * p
+    return (F.least(n - i, m - j) + F.floor(F.greatest(n, m) / SPARE)) * (p + q) >= (n + m) * p
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -168,7 +219,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
         for piece in _text.pieces(batches):
             grams, bounds = _ordered(piece.column("text"), size, known.value)
             n = np.diff(bounds)
-            upto = np.where(n > 0, n - -(-p * n // q) + 1, 0)  # what the larger of two similar sets looks up
+            upto = np.where(n > 0, np.minimum(n, n - -(-p * n // q) + 1 + n // SPARE), 0)  # what the larger of two similar sets looks up
             ends = np.cumsum(upto)
             pick = np.arange(ends[-1]) - np.repeat(ends - upto - bounds[:-1], upto)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(grams[pick].view(np.int64)))
@@ -176,18 +227,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), node, prefix], names=["doc_id", "n", "node", "prefix"])
 
     documents = materialize(rows.mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>"), "jaccard_documents")
-    classes = documents.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, "jaccard_classes")
-
-    # An n-gram's smaller set has it in a shorter prefix: if no set has, none can be the smaller one.
-    token = classes.select("node", "n", F.posexplode("prefix").alias("pos", "gram")).withColumn("leads", (F.col("n") - F.col("pos")) * (p + q) >= 2 * p * F.col("n"))
-    shared = token.groupBy("gram").agg(F.count("*").alias("c"), F.max("leads").alias("any")).filter("c > 1 AND any").select("gram")
-    members = materialize(token.join(shared, "gram"), "jaccard_members")
-
-    wanted = members.select("node").distinct().join(classes.select("node", "least"), "node").select("node", "least")
-    wanted = materialize(wanted, "jaccard_wanted")
-    texts = rows.join(wanted.select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    texts = texts.unionByName(rows.filter("doc_id IS NULL"))
+    by_set = documents.filter(F.col("node").isNotNull()).groupBy("node")
+    classes = materialize(by_set.agg(F.min("doc_id").alias("least")), "jaccard_classes")
+    met = materialize(_meetings(by_set.agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), p, q), "jaccard_meetings")
+    # A partner has p/q of a set's n-grams at least, and a prefix longer accordingly: so many n-grams they share.
+    often = met.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") > F.floor(F.ceil(F.col("n") * p / q) / SPARE))
+    members = materialize(met.join(often.select("node"), "node", "left_semi"), "jaccard_members")
+    wanted = materialize(members.select("node").distinct().join(classes, "node"), "jaccard_wanted")
+    ids = wanted.select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST else ids
+    texts = rows.join(ids, "doc_id", "left_semi").unionByName(rows.filter("doc_id IS NULL"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
@@ -195,44 +244,47 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
             blobs = [grams[a:b].astype(">u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(_nodes(grams, bounds)), pa.array(blobs, pa.binary())], names=["node", "grams"])
 
-    sets = texts.select("text").mapInArrow(whole, "node long, grams binary").join(wanted.select("node"), "node", "left_semi")
-    sets = materialize(sets.groupBy("node").agg(F.first("grams").alias("grams")), "jaccard_sets")
-
-    # Rounds against single classes; then all candidates between components.
-    links, labels, seed = None, None, 0
-    while True:
-        open_ = members if labels is None else members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = open_ if labels is not None else open_.withColumn("root", F.col("node"))
-        groups = open_.groupBy("gram").agg(
-            F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-            F.min_by(F.struct("node", "n", "pos", "root", "leads"), F.xxhash64("node", F.lit(seed))).alias("one"),
-        ).filter("lo <> hi")
-        groups = materialize(groups, "jaccard_groups")
-        rows_left = groups.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
-        if not rows_left:
+    sets = materialize(texts.select("text").mapInArrow(whole, "node long, grams binary"), "jaccard_sets")
+    drop(met)
+
+    # Rounds against one member of each n-gram's largest component; then all candidates between components.
+    links, labels, few = None, None, MANY * members.count()
+    for seed in range(ROUNDS + 1):
+        open_ = members.withColumn("root", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = open_.groupBy("gram", "root").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(seed))).alias("one"))
+        largest = F.max(F.struct("c", F.xxhash64("root", F.lit(seed)).alias("h"), "root", "one"))
+        groups = parts.groupBy("gram").agg(F.sum("c").alias("c"), F.count("*").alias("roots"), largest.alias("top")).filter("roots > 1")
+        groups = materialize(groups.select("gram", "c", F.col("top.c").alias("top_c"), F.col("top.root").alias("top_root"), F.col("top.one").alias("one")), "jaccard_groups")
+        left = groups.agg(F.sum(F.col("c") * (F.col("c") - F.col("top_c")))).first()[0]
+        if not left:
             break
-        met = open_.join(groups.select("gram", "c", "one"), "gram")
-        last = seed >= 8 or rows_left <= MANY
+        met = met_all = open_.join(groups.select("gram", "top_root", "one"), "gram")
+        last = seed == ROUNDS or 0 < seed and (left <= few or idle)
         if last:
-            x = open_.join(groups.select("gram"), "gram")
-            x, y = (materialize(x, "jaccard_open").select("gram", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "pos", "root", "leads"))) for side in "xy")
-            met = x.join(y, "gram").filter(F.col("x_root") != F.col("y_root")).filter("y_leads AND (y_n < x_n OR (y_n = x_n AND y_node < x_node))").filter(_able("x_", "y_", p, q))
-            pairs = met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+            rest = materialize(met.drop("one"), "jaccard_open")
+            x, y = (rest.select("gram", F.col("top_root").alias(f"{side}_top"), *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "pos", "root"))) for side in "xy")
+            larger = F.struct("x_n", "x_node") > F.struct("y_n", "y_node")
+            # One side outside the largest component, within which there is nothing to find; each pair and n-gram once.
+            once = (F.col("y_root") == F.col("y_top")) | larger
+            pairs = x.filter("x_root <> x_top").join(y, "gram").filter(F.col("x_root") != F.col("y_root")).filter(once).filter(_able("x_", "y_", p, q))
+            pairs = pairs.select(F.when(larger, F.col("x_node")).otherwise(F.col("y_node")).alias("a"), F.when(larger, F.col("y_node")).otherwise(F.col("x_node")).alias("b"), F.least("x_n", "y_n").alias("n"))
+            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") > F.floor(F.col("n") / SPARE)).select("a", "b")
         else:
-            met = met.select("*", *(F.col(f"one.{c}").alias(f"one_{c}") for c in ("node", "n", "pos", "root"))).filter(F.col("root") != F.col("one_root")).filter(_able("", "one_", p, q))
+            met = met.filter(F.col("root") != F.col("top_root")).select("*", *(F.col(f"one.{c}").alias(f"one_{c}") for c in ("node", "n", "pos"))).filter(_able("", "one_", p, q))
             pairs = met.select(F.col("one_node").alias("a"), F.col("node").alias("b")).distinct()
         pairs = materialize(pairs, "jaccard_pairs")
         found = materialize(_verify(pairs, sets, p, q), "jaccard_links")
+        idle = found.count() * 10 < pairs.count()  # few of what is left will link
         links = found if links is None else links.unionByName(found)
         if labels is not None:
             drop(labels)
         labels = components(links)
+        members = materialize(met_all.select("gram", "node", "n", "pos"), "jaccard_members")  # what is joined by now needs no more looks
         drop(pairs, groups)
-        seed += 1
         if last:
             break
 
-    least = classes.select("node", "least")
+    least = classes
     if labels is not None:
         joined = labels.join(least, "node")
         roots = joined.groupBy("root").agg(F.min("least").alias("id"))
