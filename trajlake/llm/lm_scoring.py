@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from trajlake.llm import _text
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 1 << 22
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -53,7 +55,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shift = np.uint64(64 - max(1, (parts - 1).bit_length()))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * parts)).alias("chunk")
+    chunks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", chunk).groupBy("chunk")
 
     def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
