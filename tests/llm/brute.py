@@ -63,3 +63,48 @@ def contamination(text, items, size=10):
                 hit.update(range(i, i + n))
                 found.add(str(name))
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def word_hash(word):
+    data, top = word.translate(LOW).encode(), (1 << 64) - 1
+    x = (sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(data)) + len(data) * 0xD6E8FEB86659FD93) & top
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & top
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & top
+    return x ^ (x >> 31)
+
+
+def units(text, around=3, longest=64):
+    """The units of a text, each a list of (word, start, end, line)."""
+    words = [(m[0].translate(LOW), m.start(), m.end(), text.count("\n", 0, m.start())) for m in WORD.finditer(text)]
+    h, out = [word_hash(w[0]) for w in words], []
+    for i, w in enumerate(words):
+        near = range(max(0, i - around), min(len(words), i + around + 1))
+        least = all(h[i] < h[j] if j < i else h[i] <= h[j] for j in near)
+        if not i or least or w[3] != words[i - 1][3] or len(out[-1]) == longest:
+            out.append([])
+        out[-1].append(w)
+    return out
+
+
+def repeats(docs, least):
+    """doc_id -> (start, end) of what goes: sequences of units of at least so many words that occur earlier.
+
+    Sequences of up to least units are enough, as longer ones are unions of these.
+    """
+    cut = {k: units(t or "") for k, t in docs}
+    first, places = {}, {}
+    for k in sorted(cut):
+        for i in range(len(cut[k])):
+            for j in range(i + 1, min(i + least, len(cut[k])) + 1):
+                key = tuple(tuple(w[0] for w in u) for u in cut[k][i:j])
+                if sum(map(len, key)) >= least and first.setdefault(key, (k, i)) != (k, i):
+                    places.setdefault(k, set()).update(range(i, j))
+    out = {}
+    for k, us in cut.items():
+        out[k], gone = [], places.get(k, set())
+        for i in sorted(gone):
+            last, nxt = us[i][-1], us[i + 1][0] if i + 1 < len(us) else None
+            stop = nxt[1] if nxt and nxt[3] == last[3] else last[2]
+            start = out[k].pop()[0] if i - 1 in gone else us[i][0][1]
+            out[k].append((start, stop))
+    return out

@@ -150,6 +150,23 @@ def test_substring_dedup_units(docs, rows):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_substring_dedup_keeps_new_text_of_known_units(spark):
+    """Words that stand as lines of their own in different documents are no passage when they come together for the first time."""
+    known = [(i, f"before{i}\nshared{i}\nafter{i}", None, "s", 0) for i in range(24)]
+    together = "\n".join(f"shared{i}" for i in range(24))
+    rows = [*known, (30, together, None, "s", 0), (31, f"other\n{together}\nwords", None, "s", 0)]
+    found = by_id(substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA)))
+    assert found[30].n_removed == 0 and found[30].text == together
+    assert found[31].n_removed == 24 and found[31].text.split() == ["other", "words"]
+
+
+def test_substring_dedup_against_brute_force(docs, rows):
+    found = by_id(substring_dedup.substring_dedup(docs))
+    expected = brute.repeats([(k, t) for k, t, *_ in rows], substring_dedup.LEAST)
+    assert any(expected.values())
+    assert {k: [(c["start"], c["end"]) for c in r.removed] for k, r in found.items()} == expected
+
+
 def test_mix(docs, rows):
     found = by_id(mixing.mix(docs))
     again = by_id(mixing.mix(docs.repartition(5)))

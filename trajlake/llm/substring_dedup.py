@@ -1,8 +1,9 @@
 """Removal of passages that earlier documents have: units of lines are normalised, hashed and grouped over the corpus.
 
 A unit is a line or, in a longer line, a stretch of it between words that the text itself marks (a word whose hash is the
-least of its neighbourhood), so a passage falls into the same units wherever in a line it stands. The earliest occurrence
-of a unit, by doc_id and place, stays. Others go where enough of them stand together; their offsets are kept.
+least of its neighbourhood), so a passage falls into the same units wherever in a line it stands. A passage is a sequence of
+adjacent units that just reaches enough words, from its first unit on or from its last one back. The earliest occurrence of
+a passage, by doc_id and place, stays. Others go; their offsets are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from trajlake.llm import _text
 from trajlake.llm._shared import materialize
 
-#: A mark is the least of so many words to either side; a unit has so many words at most; a run that goes has so many at least.
+#: A mark is the least of so many words to either side; a unit has so many words at most; a passage has so many at least.
 AROUND, LONGEST, LEAST = 3, 64, 20
 
 
@@ -48,35 +49,73 @@ def _units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return digest, at, starts, ends, first, data, bounds
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text), seq (the unit's number in its text) and digest of every unit."""
+def _reach(at: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit: the last unit of the passage that begins with it; and the first of that which ends with it.
+
+    -1 where the text has too few words. A passage that both rules name counts as one that begins with its unit only. Each
+    longer sequence of units is a union of such passages.
+    """
+    stop = np.append(at[1:], n)
+    text = np.searchsorted(first, at, "right") - 1
+    ahead = np.where(at + LEAST <= first[text + 1], np.searchsorted(stop, at + LEAST), -1)
+    back = np.where(stop - LEAST >= first[text], np.searchsorted(at, stop - LEAST, "right") - 1, -1)
+    back[(back >= 0) & (ahead[back] == np.arange(len(at)))] = -1
+    return ahead, back
+
+
+def _joint(digest: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A digest of each sequence of units from begin to end."""
+    out = (end - begin).astype(np.uint64)
+    for d in range(int((end - begin).max(initial=-1)) + 1):
+        on = np.flatnonzero(begin + d <= end)
+        out[on] = out[on] * _text._BASE + digest[begin[on] + d]
+    return _text.mix(out)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text), place and digest of every passage.
+
+    place is twice the number of the passage's first unit in its text, or twice that of its last unit and one more. Which of
+    the two follows from the passage's words, so the places of equal passages are in the order of the text.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
-            digest, at, _, _, first, _, _ = _units(piece.column("text"))
+            digest, at, starts, _, first, _, _ = _units(piece.column("text"))
             lead = np.searchsorted(at, first)
-            of = _text.owners(lead)
-            seq = np.arange(len(at)) - lead[of]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(of)), piece.column("text_key").take(pa.array(of)), pa.array(seq.astype(np.int32)), pa.array(digest.view(np.int64))], names=["doc_id", "text_key", "seq", "digest"])
+            ahead, back = _reach(at, first, len(starts))
+            a, b = np.flatnonzero(ahead >= 0), np.flatnonzero(back >= 0)
+            of = _text.owners(lead)[np.concatenate([a, b])]
+            place = np.concatenate([a * 2, b * 2 + 1]) - lead[of] * 2
+            digests = _joint(digest, np.concatenate([a, back[b]]), np.concatenate([ahead[a], b]))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(of)), piece.column("text_key").take(pa.array(of)), pa.array(place.astype(np.int32)), pa.array(digests.view(np.int64))], names=["doc_id", "text_key", "place", "digest"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(cut, "doc_id long, text_key long, place int, digest long")
+
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(cut, "doc_id long, text_key long, seq int, digest long")
+def _inside(begin: np.ndarray, end: np.ndarray, total: int) -> np.ndarray:
+    """Which of total units lie in one of the sequences from begin to end."""
+    edge = np.zeros(total + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end + 1, -1)
+    return np.cumsum(edge)[:total] > 0
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_words, removed and the text without what was removed; repeated has the numbers of the units that others have."""
+    """Adds n_words, removed and the text without what was removed; repeated has the places of the passages that others have."""
     for piece in _text.pieces(batches):
         digest, at, starts, ends, first, data, bounds = _units(piece.column("text"))
         lead = np.searchsorted(at, first)
-        sizes = np.diff(np.append(at, len(starts)))
-        flags = np.zeros(len(at) + 1, bool)
+        ahead, back = _reach(at, first, len(starts))
         lists = piece.column("repeated")
         of = np.repeat(np.arange(piece.num_rows), lists.value_lengths().fill_null(0).to_numpy())
-        flags[lead[of] + lists.flatten().to_numpy()] = True
-        edge = np.concatenate([[True], flags[1:-1] != flags[:-2]]) if len(at) else np.zeros(0, bool)
+        place = lists.flatten().to_numpy()
+        unit, kind = lead[of] + place // 2, place % 2
+        flags = _inside(np.where(kind == 0, unit, back[unit]), np.where(kind == 0, ahead[unit], unit), len(at))
+        edge = np.concatenate([[True], flags[1:] != flags[:-1]]) if len(at) else np.zeros(0, bool)
         edge[lead[:-1][np.diff(lead) > 0]] = True  # a run ends with its text
         run = np.flatnonzero(edge)
-        words = np.add.reduceat(sizes, run) if len(run) else np.zeros(0, np.int64)
-        gone = np.flatnonzero(flags[run] & (words >= LEAST)) if len(run) else run
+        gone = np.flatnonzero(flags[run])
         nth = np.append(run, len(at))
         texts, removed, n_removed = piece.column("text").to_pylist(), [[] for _ in range(piece.num_rows)], np.zeros(piece.num_rows, np.int64)
         for g in gone:
@@ -103,10 +142,10 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _without_repeats(docs: DataFrame) -> DataFrame:
     """The columns of docs but text as c0, c1 and so on; then text (what is left), n_words, n_removed and removed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = materialize(units(rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())), "units")
-    earliest = found.groupBy("digest").agg(F.min(F.struct("doc_id", "seq", "text_key")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
-    later = found.join(earliest, "digest").filter(F.struct("doc_id", "seq", "text_key") != F.col("first"))
-    later = materialize(later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("seq")).alias("repeated")), "repeated_units")
+    found = materialize(passages(rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())), "passages")
+    earliest = found.groupBy("digest").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
+    later = found.join(earliest, "digest").filter(F.struct("doc_id", "place", "text_key") != F.col("first"))
+    later = materialize(later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("repeated")), "repeated_passages")
 
     names = [(f, "text" if f.name == "text" else f"c{i}") for i, f in enumerate(docs.schema)]
     asked = docs.toDF(*(x for _, x in names)).withColumns({"__id": docs_id(docs, names), "__key": F.xxhash64("text"), "text": F.col("text").cast("string")})
@@ -122,8 +161,9 @@ def docs_id(docs: DataFrame, names: list) -> F.Column:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed (words), removed (start and end in characters of the original text) and text, as left.
 
-    Words are compared with A-Z lower-cased and without regard to white space. A run of repeated units goes if it has LEAST
-    words or more, with the blanks after it; the earliest occurrence of each unit always stays, and so do short repeats.
+    Words are compared with A-Z lower-cased and without regard to white space. A sequence of units that together have LEAST
+    words or more goes where the whole of it occurs earlier, with the blanks after it; so the earliest occurrence of each unit
+    always stays, and so do short repeats and units that are known only from different places.
 
     Null text stays null and loses nothing; so do empty texts. A row without a doc_id has no rank and is left as it is. Rows
     equal in doc_id and text are one document and stay alike; other rows that share a doc_id rank by place, then by a hash of
