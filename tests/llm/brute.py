@@ -86,8 +86,8 @@ def units(text, around=3, longest=64):
     return out
 
 
-def repeats(docs, least):
-    """doc_id -> (start, end) of what goes: sequences of units of at least so many words that occur earlier.
+def repeats(docs, least, lines=False):
+    """doc_id -> (start, end) of what goes: sequences of units of at least so many words, and whole lines, that occur earlier.
 
     Sequences of up to least units are enough, as longer ones are unions of these.
     """
@@ -99,6 +99,11 @@ def repeats(docs, least):
                 key = tuple(tuple(w[0] for w in u) for u in cut[k][i:j])
                 if sum(map(len, key)) >= least and first.setdefault(key, (k, i)) != (k, i):
                     places.setdefault(k, set()).update(range(i, j))
+        for line in sorted({u[0][3] for u in cut[k]}) if lines else ():
+            at = [i for i, u in enumerate(cut[k]) if u[0][3] == line]
+            key = ("line", *(w[0] for i in at for w in cut[k][i]))
+            if first.setdefault(key, (k, line)) != (k, line):
+                places.setdefault(k, set()).update(at)
     out = {}
     for k, us in cut.items():
         out[k], gone = [], places.get(k, set())

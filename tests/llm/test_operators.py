@@ -167,6 +167,21 @@ def test_substring_dedup_against_brute_force(docs, rows):
     assert {k: [(c["start"], c["end"]) for c in r.removed] for k, r in found.items()} == expected
 
 
+def test_substring_dedup_of_lines_against_brute_force(docs, rows):
+    found = by_id(substring_dedup.substring_dedup(docs, lines=True))
+    expected = brute.repeats([(k, t) for k, t, *_ in rows], substring_dedup.LEAST, lines=True)
+    assert {k: [(c["start"], c["end"]) for c in r.removed] for k, r in found.items()} == expected
+
+
+def test_op4_removes_short_repeated_lines(spark, tmp_path):
+    """Whole lines go however short; the same words within a longer line stay."""
+    texts = ["a first\nAll rights  reserved\nend", "a second\nall rights reserved\ntail", "of this all rights reserved too", "end"]
+    spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = by_id(substring_dedup.op4_substring_dedup(spark, str(tmp_path)))
+    assert [found[i].n_removed for i in range(4)] == [0, 3, 0, 1]
+    assert found[1].text.split() == ["a", "second", "tail"] and found[2].text == texts[2]
+
+
 def test_mix(docs, rows):
     found = by_id(mixing.mix(docs))
     again = by_id(mixing.mix(docs.repartition(5)))

@@ -24,6 +24,11 @@ AROUND, LONGEST, LEAST = 3, 64, 20
 
 def _units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Of each unit of the texts: its digest and first word; then the words' bytes and the first word of each text."""
+    return _cut(texts)[:-1]
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """What _units gives, and the words' hashes."""
     data, bounds = _text.raw(texts)
     low = _text.LOWER[data]
     starts, ends, first = _text.spans(low, bounds, _text.NOT_SPACE)
@@ -46,7 +51,7 @@ def _units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
     power = np.cumprod(np.full(LONGEST, _text._BASE))
     digest = _text.mix(np.add.reduceat(words * power[place], at) + np.diff(np.append(at, n)).astype(np.uint64)) if n else np.zeros(0, np.uint64)
-    return digest, at, starts, ends, first, data, bounds
+    return digest, at, starts, ends, first, data, bounds, words
 
 
 def _reach(at: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +60,7 @@ def _reach(at: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     -1 where the text has too few words. A passage that both rules name counts as one that begins with its unit only. Each
     longer sequence of units is a union of such passages.
     """
-    stop = np.append(at[1:], n)
+    stop = np.append(at, n)[1:]
     text = np.searchsorted(first, at, "right") - 1
     ahead = np.where(at + LEAST <= first[text + 1], np.searchsorted(stop, at + LEAST), -1)
     back = np.where(stop - LEAST >= first[text], np.searchsorted(at, stop - LEAST, "right") - 1, -1)
@@ -63,6 +68,27 @@ def _reach(at: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return ahead, back
 
 
+def _lines(at: np.ndarray, starts: np.ndarray, first: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first unit of each line that has words, and the last unit of the line that each unit is in."""
+    line = np.searchsorted(np.flatnonzero(data == 10), starts[at])
+    text = np.searchsorted(first, at, "right")
+    new = np.ones(len(at), bool)
+    new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+    opens = np.flatnonzero(new)
+    last = np.append(opens, len(at))[1:] - 1
+    return opens, np.repeat(last, np.diff(np.append(opens, len(at))))
+
+
+def _line_digests(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A digest of the words of each line, whatever its units, unlike those of passages; begin has the lines' first words."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(np.append(begin, len(words)))
+    place = np.arange(len(words)) - np.repeat(begin, sizes)
+    power = np.cumprod(np.full(sizes.max(), _text._BASE))
+    return _text.mix(~_text.mix(np.add.reduceat(words * power[place], begin) + sizes.astype(np.uint64)))
+
+
 def _joint(digest: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A digest of each sequence of units from begin to end."""
     out = (end - begin).astype(np.uint64)
@@ -72,22 +98,25 @@ def _joint(digest: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return _text.mix(out)
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text), place and digest of every passage.
+def passages(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """doc_id, text_key (a hash of the text), place and digest of every passage; if lines, of every line with words too.
 
-    place is twice the number of the passage's first unit in its text, or twice that of its last unit and one more. Which of
-    the two follows from the passage's words, so the places of equal passages are in the order of the text.
+    place is three times the number of the passage's first unit in its text, or three times that of its last unit and one
+    more; of a line, three times that of its first unit and two more. Which of them follows from the words, so the places of
+    equal passages are in the order of the text. Lines are digested by words, as the units at their ends depend on what
+    stands around them.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
-            digest, at, starts, _, first, _, _ = _units(piece.column("text"))
+            digest, at, starts, _, first, data, _, words = _cut(piece.column("text"))
             lead = np.searchsorted(at, first)
             ahead, back = _reach(at, first, len(starts))
             a, b = np.flatnonzero(ahead >= 0), np.flatnonzero(back >= 0)
-            of = _text.owners(lead)[np.concatenate([a, b])]
-            place = np.concatenate([a * 2, b * 2 + 1]) - lead[of] * 2
-            digests = _joint(digest, np.concatenate([a, back[b]]), np.concatenate([ahead[a], b]))
+            opens = _lines(at, starts, first, data)[0] if lines else np.zeros(0, np.int64)
+            of = _text.owners(lead)[np.concatenate([a, b, opens])]
+            place = np.concatenate([a * 3, b * 3 + 1, opens * 3 + 2]) - lead[of] * 3
+            digests = np.concatenate([_joint(digest, np.concatenate([a, back[b]]), np.concatenate([ahead[a], b])), _line_digests(words, at[opens]) if lines else np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(of)), piece.column("text_key").take(pa.array(of)), pa.array(place.astype(np.int32)), pa.array(digests.view(np.int64))], names=["doc_id", "text_key", "place", "digest"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(cut, "doc_id long, text_key long, place int, digest long")
@@ -110,8 +139,9 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = piece.column("repeated")
         of = np.repeat(np.arange(piece.num_rows), lists.value_lengths().fill_null(0).to_numpy())
         place = lists.flatten().to_numpy()
-        unit, kind = lead[of] + place // 2, place % 2
-        flags = _inside(np.where(kind == 0, unit, back[unit]), np.where(kind == 0, ahead[unit], unit), len(at))
+        unit, kind = lead[of] + place // 3, place % 3
+        line_end = _lines(at, starts, first, data)[1]
+        flags = _inside(np.where(kind == 1, back[unit], unit), np.choose(kind, [ahead[unit], unit, line_end[unit]]), len(at))
         edge = np.concatenate([[True], flags[1:] != flags[:-1]]) if len(at) else np.zeros(0, bool)
         edge[lead[:-1][np.diff(lead) > 0]] = True  # a run ends with its text
         run = np.flatnonzero(edge)
@@ -139,11 +169,13 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(texts, pa.string()), pa.array(np.diff(first)), pa.array(n_removed), pa.array(spans, kind)], names=[*names, "text", "n_words", "n_removed", "removed"])
 
 
-def _without_repeats(docs: DataFrame) -> DataFrame:
+def _without_repeats(docs: DataFrame, lines: bool) -> DataFrame:
     """The columns of docs but text as c0, c1 and so on; then text (what is left), n_words, n_removed and removed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = materialize(passages(rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())), "passages")
-    earliest = found.groupBy("digest").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
+    found = materialize(passages(rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), lines), "passages")
+    common = found.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest")  # few are: ranks are dealt of these only
+    found = materialize(found.join(common, "digest"), "common_passages")
+    earliest = found.groupBy("digest").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("first"))
     later = found.join(earliest, "digest").filter(F.struct("doc_id", "place", "text_key") != F.col("first"))
     later = materialize(later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("repeated")), "repeated_passages")
 
@@ -158,33 +190,36 @@ def docs_id(docs: DataFrame, names: list) -> F.Column:
     return F.col(next(x for f, x in names if f.name == "doc_id")).cast("long")
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, lines: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed (words), removed (start and end in characters of the original text) and text, as left.
 
     Words are compared with A-Z lower-cased and without regard to white space. A sequence of units that together have LEAST
     words or more goes where the whole of it occurs earlier, with the blanks after it; so the earliest occurrence of each unit
-    always stays, and so do short repeats and units that are known only from different places.
+    always stays, and so do units that are known only from different places. If lines, whole lines that occur earlier as whole
+    lines go too, however short; otherwise short repeats stay.
 
     Null text stays null and loses nothing; so do empty texts. A row without a doc_id has no rank and is left as it is. Rows
     equal in doc_id and text are one document and stay alike; other rows that share a doc_id rank by place, then by a hash of
     their text. No rows give no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _without_repeats(rows).toDF("doc_id", "text", "n_words", "n_removed", "removed")
+    return _without_repeats(rows, lines).toDF("doc_id", "text", "n_words", "n_removed", "removed")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns and what is left of their texts; n_chars, if there, is that of the text.
 
+    Repeated passages and whole repeated lines go.
+
     A document of which no word is left is dropped.
     """
-    kept = _without_repeats(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    kept = _without_repeats(docs, lines=True).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     out = kept.select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), lines=True)
 
 
 SQL = None
