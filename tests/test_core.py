@@ -10,6 +10,7 @@ from trajlake.functions import geometry as geo
 from trajlake.functions.intervals import alarm_runs, mask_intervals, merge_events, merge_intervals, overlap_join, touching_merge
 from trajlake.operators import asof, matching
 from trajlake.operators.lamps import classify_counts
+from trajlake.plans import catalog_labels
 
 EVENT = "video_id long, start double, end double, label string"
 
@@ -151,3 +152,25 @@ def test_imports_without_the_corpus_operators(tmp_path):
     root = Path(__file__).parents[1]
     code = f"import sys; sys.path.insert(0, {str(root)!r}); sys.modules['trajlake.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
+
+
+LABELLED = "video_id long, label string, start double, end double"
+
+
+def test_pooled_all_has_micro_and_agnostic(spark):
+    truth = spark.createDataFrame([(1, "a", 0.0, 10.0), (1, "b", 20.0, 30.0), (2, "a", 0.0, 4.0)], LABELLED)
+    found = spark.createDataFrame([(1, "a", 0.0, 10.0), (1, "a", 20.0, 30.0), (2, "b", 50.0, 54.0)], LABELLED)
+    rows = {(r.kind, r.label): (r.tp, r.fp, r.fn) for r in matching.pooled_all(truth, found, (0.5,)).collect()}
+    assert rows == {("class", "a"): (1, 1, 1), ("class", "b"): (0, 1, 1), ("micro", None): (1, 2, 2), ("agnostic", None): (2, 1, 1)}
+
+
+def test_event_histogram_bins_keeps_zeros(spark):
+    events = spark.createDataFrame([(1, "a", 1.0, 2.0), (1, "a", 25.0, 31.0), (1, "other", 3.0, 4.0), (2, "b", 0.0, 0.0)], LABELLED)
+    rows = {(r.video_id, r.label, r.bin): r.n for r in catalog_labels.event_histogram_bins(events, ("a", "b")).collect()}
+    one = {(1, x, k): int(x == "a" and k in (0, 2)) for x in "ab" for k in range(4)}
+    assert rows == one | {(2, "a", 0): 0, (2, "b", 0): 1}
+
+
+def test_risk_breaks_allows_scores_up_to_one(spark):
+    curve = spark.createDataFrame([(1, 0, 0.0, 0.95), (1, 1, 1.0, 1.0), (2, 0, 0.0, 0.5), (2, 1, 1.0, 1.01)], "video_id long, idx long, t double, score double")
+    assert [tuple(r) for r in catalog_labels.risk_breaks(curve).collect()] == [(2, 1)]

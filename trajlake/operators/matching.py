@@ -46,10 +46,26 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+def _rates(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+
+
 def pooled(matches: DataFrame) -> DataFrame:
     """By label and tau over all videos: tp, fp, fn, precision, recall and f1; zero where nothing divides."""
-    sums = matches.groupBy("label", "tau").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    return sums.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+    return _rates(matches.groupBy("label", "tau").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
+
+
+def pooled_all(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """kind, label, tau and what pooled() has: each `class`, `micro` (its sums over all labels) and `agnostic`.
+
+    The last is a matching of its own, in which events meet whatever their labels. label is null but for classes.
+    """
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    kind = F.when(F.grouping("label") == 1, "micro").otherwise("class").alias("kind")
+    by_label = match_segments(truth, found, thresholds).groupingSets([["label", "tau"], ["tau"]], "label", "tau").agg(kind, *sums)
+    alike = [df.withColumn("label", F.lit("")) for df in (truth, found)]
+    agnostic = match_segments(*alike, thresholds).groupBy("tau").agg(*sums).withColumns({"kind": F.lit("agnostic"), "label": F.lit(None).cast("string")})
+    return _rates(by_label.unionByName(agnostic).select("kind", "label", "tau", "tp", "fp", "fn"))
 
 
 def score_a(matches: DataFrame) -> DataFrame:

@@ -56,6 +56,8 @@ RISK = {
 }
 
 _width = "CASE WHEN duration > 240 THEN 15 ELSE 10 END"
+GRID = f"""SELECT * FROM (SELECT video_id, width, unnest(range(greatest(1, ceil(duration / width))::BIGINT)) AS bin FROM (SELECT *, {_width} AS width FROM (SELECT video_id, max("end") AS duration FROM labels_gt GROUP BY video_id) q) w) b
+  CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in LABELS)}]) AS label) l"""
 
 
 
@@ -66,6 +68,19 @@ def event_histogram(events):
     return events.join(dur, "video_id").groupBy("video_id", "label", F.floor(F.col("start") / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def event_histogram_bins(events, labels):
+    """By video, label and bin as in event_histogram: how many events begin in it, with a row for each label and bin, also of zero.
+
+    Bins go up to the video's last end; a video has one bin at least. Events of other labels don't count.
+    """
+    width = F.when(F.col("duration") > 240, 15).otherwise(10)
+    bins = events.groupBy("video_id").agg(F.max("end").alias("duration")).select("video_id", F.greatest(F.lit(1), F.ceil(F.col("duration") / width)).alias("bins"), width.alias("width"))
+    grid = bins.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin")).withColumn("label", F.explode(F.array(*map(F.lit, labels))))
+    at = F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.floor(F.col("start") / F.col("width"))))
+    counts = events.join(bins, "video_id").groupBy("video_id", "label", at.alias("bin")).agg(F.count("*").alias("n"))
+    return grid.join(counts, ["video_id", "label", "bin"], "left").select("video_id", "label", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def timeline(events):
     """left and width of each event as a share of its video's duration, in per cent; width 0.7 at least."""
     dur = events.groupBy("video_id").agg(F.greatest(F.max("end"), F.lit(1.0)).alias("d"))
@@ -87,10 +102,10 @@ def broken_rules(events, labels):
     return events.select("video_id", "label", F.explode(broken).alias("rule")).groupBy("video_id", "label", "rule").agg(F.count("*").alias("n"))
 
 
-def risk_breaks(curve):
-    """The first sample of each video that is out of range or goes back in time."""
+def risk_breaks(curve, most=1.0):
+    """The first sample of each video that is out of range (0 to most) or goes back in time."""
     before = F.lag("t").over(W.partitionBy("video_id").orderBy("idx"))
-    bad = curve.withColumn("ok", (F.col("t") >= F.coalesce(before, F.lit(-1.0))) & F.col("score").between(0.0, 0.9))
+    bad = curve.withColumn("ok", (F.col("t") >= F.coalesce(before, F.lit(-1.0))) & F.col("score").between(0.0, most))
     return bad.filter(~F.col("ok")).groupBy("video_id").agg(F.min("idx").alias("idx"))
 
 
@@ -104,6 +119,10 @@ QUERIES = {
     "merge_events": (lambda s, d: rounded(merge_events(_raw(s, d), F.lit(200.0)), 3), sql(f"SELECT video_id, label, {_or} FROM (" + merged('SELECT video_id, label, start, least(200.0::DOUBLE, "end") AS "end" FROM labels_raw', "video_id, label", 1.0, 0.5) + ") m")),
     "touching_merge": (lambda s, d: rounded(touching_merge(_raw(s, d), ["video_id", "label"], 200.0), 2), sql('SELECT video_id, label, round(start, 2) AS start, round("end", 2) AS "end" FROM (' + merged('SELECT video_id, label, start, least(200.0::DOUBLE, "end") AS "end" FROM labels_raw', "video_id, label", 0.0, 0.0, strict=False) + ") m")),
     "event_histogram": (lambda s, d: event_histogram(_gt(s, d)), sql(f'SELECT video_id, label, floor(start / {_width})::BIGINT AS bin, count(*) AS n FROM labels_gt JOIN (SELECT video_id, max("end") AS duration FROM labels_gt GROUP BY video_id) q USING (video_id) GROUP BY ALL')),
+    "event_histogram_bins": (
+        lambda s, d: event_histogram_bins(_gt(s, d), LABELS),
+        sql("SELECT g.video_id, g.label, g.bin, count(e.label) AS n FROM grid g LEFT JOIN labels_gt e ON e.video_id = g.video_id AND e.label = g.label AND floor(e.start / g.width) = g.bin GROUP BY ALL", grid=GRID),
+    ),
     "timeline_positions": (
         lambda s, d: rounded(timeline(_gt(s, d)), 4),
         sql('SELECT video_id, label, round(l, 4) AS "left", round(greatest(0.7, least(100 - l, ("end" - start) / d * 100)), 4) AS width FROM (SELECT *, greatest(0, least(100, start / d * 100)) AS l FROM labels_gt JOIN (SELECT video_id, greatest(max("end"), 1) AS d FROM labels_gt GROUP BY video_id) q USING (video_id)) x'),
@@ -126,6 +145,7 @@ QUERIES = {
     ),
     "match_segments": (_matches, sql("SELECT * FROM matched", **MATCH)),
     "confusion_pool": (lambda s, d: rounded(matching.pooled(_matches(s, d))), sql("SELECT label, tau, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pooled", **MATCH)),
+    "confusion_pool_all": (lambda s, d: rounded(matching.pooled_all(_gt(s, d), _pred(s, d))), None),
     "score_a": (lambda s, d: rounded(matching.score_a(_matches(s, d))), sql("SELECT round(avg(f), 6) AS score_a FROM (SELECT label, avg(f1) AS f FROM pooled GROUP BY label) x", **MATCH)),
     "class_gate": (
         lambda s, d: matching.pooled(_matches(s, d)).filter("tau = 0.5 AND precision >= 0.7").select("label"),
@@ -143,7 +163,8 @@ QUERIES = {
     "clean_events": (lambda s, d: rounded(matching.clean_events(_raw(s, d), LABELS[:10], 250.0), 3), None),
     "validate_events": (lambda s, d: broken_rules(_raw(s, d), LABELS[:10]), sql(f"""SELECT video_id, label, rule, count(*) AS n FROM (SELECT video_id, label, unnest(list_filter([CASE WHEN label NOT IN ({", ".join(f"'{x}'" for x in LABELS[:10])}) THEN 'label' END, CASE WHEN "end" > 300.5 THEN 'late' END], lambda x: x IS NOT NULL)) AS rule FROM labels_raw) q GROUP BY ALL""")),
     "validate_overlap": (lambda s, d: overlaps(_raw(s, d)), sql('SELECT video_id, label, count(*) AS n FROM (SELECT *, lead(start) OVER (PARTITION BY video_id, label ORDER BY start, "end") AS nx FROM labels_raw) x WHERE nx < "end" GROUP BY ALL')),
-    "validate_risk": (lambda s, d: risk_breaks(_risk(s, d)), sql("SELECT video_id, min(idx) AS idx FROM risk WHERE score < 0 OR score > 0.9 GROUP BY video_id")),
+    "validate_risk": (lambda s, d: risk_breaks(_risk(s, d), 0.9), sql("SELECT video_id, min(idx) AS idx FROM risk WHERE score < 0 OR score > 0.9 GROUP BY video_id")),
+    "validate_risk_full": (lambda s, d: risk_breaks(_risk(s, d)), sql("SELECT video_id, min(idx) AS idx FROM risk WHERE score < 0 OR score > 1 GROUP BY video_id")),
     "scan_labels_json": (
         lambda s, d: rounded(truth_from_text(videos_to_json(_gt(s, d)).select("value")).select(F.col("video").cast("long").alias("video_id"), "start", "end", "label"), 3),
         sql(f"SELECT video_id, {_or}, label FROM labels_gt"),
