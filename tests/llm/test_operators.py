@@ -173,6 +173,18 @@ def test_substring_dedup_of_lines_against_brute_force(docs, rows):
     assert {k: [(c["start"], c["end"]) for c in r.removed] for k, r in found.items()} == expected
 
 
+def test_remove_repeats_against_brute_force(docs, rows):
+    """The pipeline's stage: what is left of each text; documents that lose their last word go."""
+    found = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
+    expected = {k: t for k, t, *_ in rows}
+    for k, cuts in brute.repeats(list(expected.items()), substring_dedup.LEAST, lines=True).items():
+        for a, b in reversed(cuts):
+            expected[k] = expected[k][:a] + expected[k][b:]
+        if cuts and not brute.WORD.search(expected[k]):
+            del expected[k]
+    assert found == expected and len(expected) < len(rows)
+
+
 def test_op4_removes_short_repeated_lines(spark, tmp_path):
     """Whole lines go however short; the same words within a longer line stay."""
     texts = ["a first\nAll rights  reserved\nend", "a second\nall rights reserved\ntail", "of this all rights reserved too", "end"]
