@@ -14,13 +14,15 @@ def sample_step(rows: DataFrame, keys: list[str], fallback: float = 0.1) -> Data
     return diff.groupBy(*keys).agg(F.coalesce(F.expr("percentile(d, 0.5)"), F.lit(fallback)).alias("step"))
 
 
-def mask_intervals(rows: DataFrame, keys: list[str], mask: Column, gap: float = 0.35) -> DataFrame:
+def mask_intervals(rows: DataFrame, keys: list[str], mask: Column, gap: float = 0.35, steps: DataFrame | None = None) -> DataFrame:
     """keys, start and end of runs of rows under mask: a row opens a new run if it lies over gap behind the last one's end.
 
     A run ends a sampling step after its last row. Rows that aren't under the mask count for the step but split nothing.
+    steps has step by some of the keys, where it is known.
     """
     by = W.partitionBy(*keys).orderBy("t")
-    hits = rows.withColumn("hit", mask).filter("hit").select(*keys, "t").join(sample_step(rows, keys), keys)
+    steps = sample_step(rows, keys) if steps is None else steps
+    hits = rows.withColumn("hit", mask).filter("hit").select(*keys, "t").join(steps, [c for c in keys if c in steps.columns])
     last = F.lag("t").over(by) + F.col("step")
     new = hits.withColumn("new", F.when(F.col("t") - last <= gap, 0).otherwise(1))
     runs = new.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))

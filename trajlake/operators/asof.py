@@ -23,8 +23,8 @@ def backward(points: DataFrame, ticks: DataFrame, value: str, default: Column |
 
 def forward(points: DataFrame, ticks: DataFrame, value: str) -> DataFrame:
     """points with the value of the first tick of their video at or after their time, else null."""
-    by = W.partitionBy("video_id").orderBy("t", "__tick").rowsBetween(0, W.unboundedFollowing)
-    found = _side_by_side(points, ticks, value).withColumn(value, F.first("__v", ignorenulls=True).over(by))
+    by = W.partitionBy("video_id").orderBy(F.col("t").desc(), F.col("__tick").desc()).rowsBetween(W.unboundedPreceding, 0)
+    found = _side_by_side(points, ticks, value).withColumn(value, F.last("__v", ignorenulls=True).over(by))
     return found.filter("__tick = 0").drop("__tick", "__v")
 
 

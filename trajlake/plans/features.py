@@ -60,14 +60,19 @@ def stop_line(rows: DataFrame, scene: Scene) -> DataFrame:
 
 
 def motion(rows: DataFrame) -> DataFrame:
-    """Adds speed (median of three central differences) and heading_rad; a track of one row stands still."""
+    """Adds speed (median of three central differences) and heading_rad; a track of one row stands still.
+
+    A difference that is null, not a number or infinite counts as no motion.
+    """
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).otherwise(0.0)
     by = W.partitionBy("video_id", "id").orderBy("t", "frame")
     step = {c: F.coalesce(F.lead(c).over(by), F.col(c)) - F.coalesce(F.lag(c).over(by), F.col(c)) for c in ("cx", "cy", "t")}
     rows = rows.withColumns({f"__d{c}": d for c, d in step.items()}).withColumn("__n", F.count("*").over(W.partitionBy("video_id", "id")))
     dt = F.greatest(F.when(F.col("__n") == 1, 0.1).otherwise(F.col("__dt")), F.lit(1e-3))
-    rows = rows.withColumn("__speed", F.sqrt(F.col("__dcx") * F.col("__dcx") + F.col("__dcy") * F.col("__dcy")) / dt)
-    rows = rows.withColumn("heading_rad", F.atan2("__dcy", "__dcx")).withColumn("speed", F.expr("percentile(__speed, 0.5)").over(by.rowsBetween(-1, 1)))
-    return rows.drop("__dcx", "__dcy", "__dt", "__n", "__speed")
+    rows = rows.withColumn("__raw", F.sqrt(F.col("__dcx") * F.col("__dcx") + F.col("__dcy") * F.col("__dcy")) / dt)
+    rows = rows.withColumn("__turn", F.atan2("__dcy", "__dcx"))
+    rows = rows.withColumns({"__speed": finite("__raw"), "heading_rad": finite("__turn")}).withColumn("speed", F.expr("percentile(__speed, 0.5)").over(by.rowsBetween(-1, 1)))
+    return rows.drop("__dcx", "__dcy", "__dt", "__n", "__raw", "__turn", "__speed")
 
 
 def extract_features(tracks: DataFrame, scene: Scene, source_size: tuple[int, int]) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions import geometry as geo
-from trajlake.functions.intervals import mask_intervals, merge_events, merge_intervals, overlap_join
+from trajlake.functions.intervals import mask_intervals, merge_events, merge_intervals, overlap_join, sample_step
 from trajlake.operators.asof import forward, stable_state, sustained_green
 from trajlake.plans.features import RIDDEN, VEHICLES
 from trajlake.sources.scene import Scene
@@ -18,7 +19,7 @@ TRACK = ["video_id", "id"]
 
 @dataclass(frozen=True)
 class RuleConfig:
-    """Thresholds, in scene pixels and seconds."""
+    """Thresholds, in scene pixels and seconds. The defaults."""
 
     slow_speed: float = 8.0
     stop_speed: float = 4.0
@@ -94,16 +95,15 @@ def jaywalking(features: DataFrame, scene: Scene, config: RuleConfig = RuleConfi
 
 def crosswalk_occupancy(rows: DataFrame, scene: Scene, persons: bool, margin: float = 12.0) -> DataFrame:
     """video_id, id, crossing, start and end of a track's stays on each crossing; a vehicle's body counts with both ends."""
-    found = None
+    points = ["foot"] if persons else ["foot", "front", "rear"]
+    on = []
     for name, polygon in scene.crosswalks.items():
-        points = ["foot"] if persons else ["foot", "front", "rear"]
-        on = F.lit(False)
-        for p in points:
-            on = on | geo.inside(F.col(f"{p}_x"), F.col(f"{p}_y"), polygon, margin if persons else 8.0)
-        stays = rows.select(*TRACK, "t", on.alias("on")).withColumn("crossing", F.lit(name))
-        found = stays if found is None else found.unionByName(stays)
+        inside = [geo.inside(F.col(f"{p}_x"), F.col(f"{p}_y"), polygon, margin if persons else 8.0) for p in points]
+        on.append(F.when(reduce(lambda a, b: a | b, inside), F.lit(name)))
+    stays = rows.select(*TRACK, "t", F.explode(F.array_compact(F.array(*on))).alias("crossing"))
     keys = [*TRACK, "crossing"]
-    return merge_intervals(mask_intervals(found, keys, F.col("on"), gap=0.25), keys, 0.25, 0.15)
+    runs = mask_intervals(stays, keys, F.lit(True), gap=0.25, steps=sample_step(rows, TRACK))
+    return merge_intervals(runs, keys, 0.25, 0.15)
 
 
 def _fast(cls: str, config: RuleConfig) -> Column:
