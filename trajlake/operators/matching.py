@@ -30,13 +30,16 @@ def _greedy(pairs: Column) -> Column:
 def match_segments(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """video_id, label, tau, tp, fp and fn of each label of a video that either side has.
 
-    Only overlapping pairs meet, in time buckets; those of a video and label are few, and matched together.
+    Only overlapping pairs meet, in time buckets; those of a video and label are few, and matched together. What is found in
+    videos that the truth lacks counts nothing, but its labels have a row.
     """
     pairs = overlap_join(_numbered(truth), _numbered(found), ["video_id", "label"], 8.0)
     pairs = pairs.withColumn("iou", tiou(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).withColumn("tau", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= tau")
     tp = pairs.groupBy("video_id", "label", "tau").agg(_greedy(F.collect_list(F.struct("iou", "i", "r_i"))).alias("tp"))
-    side = lambda df, n: df.select("video_id", "label", *(F.lit(int(n == x)).alias(x) for x in ("n_true", "n_found")))
-    sizes = side(truth, "n_true").unionByName(side(found, "n_found")).groupBy("video_id", "label").agg(F.sum("n_true").alias("n_true"), F.sum("n_found").alias("n_found"))
+    known = truth.select("video_id").distinct().withColumn("known", F.lit(1))
+    real = truth.select("video_id", "label", F.lit(1).alias("n_true"), F.lit(0).alias("n_found"))
+    rest = found.join(known, "video_id", "left").select("video_id", "label", F.lit(0).alias("n_true"), F.coalesce("known", F.lit(0)).alias("n_found"))
+    sizes = real.unionByName(rest).groupBy("video_id", "label").agg(F.sum("n_true").alias("n_true"), F.sum("n_found").alias("n_found"))
     every = sizes.withColumn("tau", F.explode(F.array(*map(F.lit, thresholds))))
     tp_ = F.coalesce("tp", F.lit(0))
     return every.join(tp, ["video_id", "label", "tau"], "left").select("video_id", "label", "tau", tp_.alias("tp"), (F.col("n_found") - tp_).alias("fp"), (F.col("n_true") - tp_).alias("fn"))
@@ -73,29 +76,53 @@ def score_a(matches: DataFrame) -> DataFrame:
     return pooled(matches).groupBy("label").agg(F.avg("f1").alias("f1")).agg(F.avg("f1").alias("score_a"))
 
 
+def metrics_table(pool: DataFrame, tau: float = 0.5) -> DataFrame:
+    """label, precision, recall, f1, tp, fp and fn of pooled() at one tau."""
+    return pool.filter(F.col("tau") == tau).select("label", "precision", "recall", "f1", "tp", "fp", "fn")
+
+
+def ablation(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
+    """The metrics of one label in two pools, a row each (run: before, after)."""
+    rows = [metrics_table(pool).filter(F.col("label") == label).withColumn("run", F.lit(run)) for run, pool in (("before", before), ("after", after))]
+    return rows[0].unionByName(rows[1]).drop("label")
+
+
+def model_score(a: DataFrame, b: DataFrame) -> DataFrame:
+    """score_a, score_b and model_score: seven parts of the first and three of the second, or the first where there is no second."""
+    both = a.withColumn("one", F.lit(1)).join(b.select("score_b", F.lit(1).alias("one")), "one", "left").drop("one")
+    return both.withColumn("model_score", F.coalesce(0.7 * F.col("score_a") + 0.3 * F.col("score_b"), F.col("score_a")))
+
+
 def frame_labels(curve: DataFrame, accidents: DataFrame, horizon: float = 5.0) -> DataFrame:
     """curve with label: 1 up to horizon before an accident, null within one or around a near miss, else 0.
 
-    Within an accident counts first, then before one, then a near miss.
+    Within an accident counts first, then before one, then a near miss. Samples and accidents meet in time buckets.
     """
+    width = 4 * horizon
     a = accidents.select("video_id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("kind"))
+    a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - horizon) / width), F.floor(F.col("e") / width))))
     t = F.col("t")
     hit = F.col("kind") == "accident"
-    flags = curve.join(a, "video_id").groupBy("video_id", "idx").agg(
+    flags = curve.withColumn("bucket", F.floor(t / width)).join(a, ["video_id", "bucket"]).groupBy("video_id", "idx").agg(
         F.max(hit & t.between(F.col("s"), F.col("e"))).alias("during"), F.max(hit & (t >= F.col("s") - horizon) & (t < F.col("s"))).alias("ahead"), F.max(~hit & t.between(F.col("s") - horizon, F.col("e"))).alias("near")
     )
     label = F.when(F.coalesce("during", F.lit(False)), None).when(F.coalesce("ahead", F.lit(False)), 1).when(F.coalesce("near", F.lit(False)), None).otherwise(0)
     return curve.join(flags, ["video_id", "idx"], "left").select("video_id", "idx", "t", "score", label.alias("label"))
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
+def average_precision(scored: DataFrame, cells: int = 4096) -> DataFrame:
     """One row: n, positives, ap (equal scores as one step) and ap over chance; labels that are null don't count.
 
-    Scores are first summed up, so that the running sums are over distinct scores.
+    Scores are first summed up. The running sums are those over cells of the range 0 to 1, of which there are few, and those
+    within each cell, so no window holds all scores.
     """
     steps = scored.filter("label IS NOT NULL").groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    by = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    run = steps.select("p", "n", F.sum("p").over(by).alias("tp"), F.sum("n").over(by).alias("all"))
+    steps = steps.withColumn("cell", F.greatest(F.lit(0), F.least(F.lit(cells), F.floor(F.col("score") * cells))))
+    above = W.orderBy(F.col("cell").desc()).rowsBetween(W.unboundedPreceding, -1)
+    sums = steps.groupBy("cell").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = sums.select("cell", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")))
+    by = W.partitionBy("cell").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    run = steps.join(F.broadcast(sums), "cell").select("p", "n", (F.sum("p").over(by) + F.col("p_above")).alias("tp"), (F.sum("n").over(by) + F.col("n_above")).alias("all"))
     total = run.agg(F.sum("n").alias("n"), F.sum("p").alias("positives"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("area"))
     rate = F.col("positives") / F.col("n")
     ap = F.when(F.col("positives") > 0, F.col("area") / F.col("positives")).otherwise(0.0)
@@ -142,12 +169,17 @@ def score_b(curve: DataFrame, accidents: DataFrame) -> DataFrame:
 
 
 def clean_events(events: DataFrame, labels: tuple[str, ...], duration: float) -> DataFrame:
-    """Valid events cut to the duration, to 3 decimals; of a label's overlapping ones those that begin before the last kept ends go."""
+    """Valid events cut to the duration, to 3 decimals; of a label's overlapping ones those that begin before the last kept ends go.
+
+    Events that begin together rank by idx, their place in the input, if there is such a column, else by end.
+    """
     cut = events.filter(F.col("label").isin(*labels)).withColumn("end", F.least(F.col("end"), F.lit(duration))).filter("start >= 0 AND start < end")
-    cut = cut.select("video_id", "label", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
-    per = cut.groupBy("video_id", "label").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all"))
+    rank = F.col("idx").cast("double") if "idx" in events.columns else F.round("end", 3)
+    cut = cut.select("video_id", "label", F.round("start", 3).alias("start"), rank.alias("rank"), F.round("end", 3).alias("end"))
+    per = cut.groupBy("video_id", "label").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("all"))
 
     def keep(done, x):
-        return F.when((F.size(done) > 0) & (x["start"] < F.element_at(done, -1)["end"]), done).otherwise(F.concat(done, F.array(x)))
+        late = (F.size(done) > 0) & (x["start"] < F.element_at(done, -1)["end"])
+        return F.when(late, done).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
 
     return per.select("video_id", "label", F.inline(F.aggregate("all", F.array().cast("array<struct<start:double,end:double>>"), keep)))

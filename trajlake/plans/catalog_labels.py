@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.intervals import alarm_runs, merge_events, overlap_join, tiou, touching_merge
 from trajlake.operators import matching
+from trajlake.operators.checks import broken_rules, risk_breaks
 from trajlake.plans.catalog_features import rounded
 from trajlake.plans.oracle import merged, sql
 from trajlake.sources import adapters
@@ -36,7 +37,8 @@ MATCH = {
     "cand": f'SELECT * FROM (SELECT a.video_id, a.label, a.i, b.i AS j, {_iou} AS iou FROM gtn a JOIN prn b ON a.video_id = b.video_id AND a.label = b.label AND least(a."end", b."end") > greatest(a.start, b.start)) x JOIN taus ON iou >= tau',
     **_round(1), **_round(2), **_round(3), **_round(4),
     "tps": "SELECT video_id, label, tau, count(*) AS tp FROM (SELECT video_id, label, tau FROM won1 UNION ALL SELECT video_id, label, tau FROM won2 UNION ALL SELECT video_id, label, tau FROM won3 UNION ALL SELECT video_id, label, tau FROM won4) u GROUP BY ALL",
-    "sides": "SELECT video_id, label, sum(g) AS g, sum(p) AS p FROM (SELECT video_id, label, 1 AS g, 0 AS p FROM labels_gt UNION ALL SELECT video_id, label, 0, 1 FROM labels_pred) u GROUP BY ALL",
+    "sides": """SELECT video_id, label, sum(g) AS g, sum(p) AS p FROM (SELECT video_id, label, 1 AS g, 0 AS p FROM labels_gt
+      UNION ALL SELECT video_id, label, 0, (video_id IN (SELECT video_id FROM labels_gt))::INT FROM labels_pred) u GROUP BY ALL""",
     "matched": "SELECT s.video_id, s.label, taus.tau, coalesce(tp, 0) AS tp, (p - coalesce(tp, 0))::BIGINT AS fp, (g - coalesce(tp, 0))::BIGINT AS fn FROM sides s CROSS JOIN taus LEFT JOIN tps ON tps.video_id = s.video_id AND tps.label = s.label AND tps.tau = taus.tau",
     "pool": "SELECT label, tau, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM matched GROUP BY ALL",
     "pooled": "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM pool",
@@ -51,10 +53,22 @@ RISK = {
     "runs": """SELECT video_id, min(t) AS start, max(t) AS "end" FROM (SELECT *, idx - row_number() OVER (PARTITION BY video_id ORDER BY idx) AS k FROM risk WHERE score >= 0.5) x GROUP BY video_id, k""",
     "alarms": merged('SELECT video_id, start, "end" + 1e-9::DOUBLE AS "end" FROM runs', "video_id", 2.0 - 1e-9, 0.0).replace('max("end") AS "end"', 'max("end") - 1e-9::DOUBLE AS "end"'),
     "valid": "SELECT a.video_id, a.start AS t FROM alarms a JOIN framed f ON f.video_id = a.video_id AND f.t = a.start WHERE f.label IS NOT NULL",
-    # A video has one accident, so each just takes its earliest alarm.
-    "ttas": "SELECT h.video_id, h.start, coalesce(h.start - min(v.t), 0) AS tta FROM hits h LEFT JOIN valid v ON v.video_id = h.video_id AND v.t >= h.start - 10 AND v.t < h.start GROUP BY h.video_id, h.start",
+    # A video has two accidents at most; the second takes the earliest alarm that the first has left.
+    "tta1": "SELECT h.video_id, h.start, min(v.t) AS t FROM hits h LEFT JOIN valid v ON v.video_id = h.video_id AND v.t >= h.start - 10 AND v.t < h.start WHERE h.k = 1 GROUP BY h.video_id, h.start",
+    "tta2": """SELECT h.video_id, h.start, min(v.t) FILTER (v.t IS DISTINCT FROM o.t) AS t FROM hits h JOIN tta1 o ON o.video_id = h.video_id
+      LEFT JOIN valid v ON v.video_id = h.video_id AND v.t >= h.start - 10 AND v.t < h.start WHERE h.k = 2 GROUP BY h.video_id, h.start""",
+    "ttas": "SELECT video_id, start, coalesce(start - t, 0) AS tta FROM (SELECT * FROM tta1 UNION ALL SELECT * FROM tta2) b",
 }
 
+_ten = ", ".join(f"'{x}'" for x in LABELS[:10])
+CLEAN = {
+    "cut": f"""SELECT video_id, label, round(start, 3) AS start, round(least(250.0::DOUBLE, "end"), 3) AS "end", idx FROM numbered WHERE label IN ({_ten}) AND start >= 0 AND start < least(250.0::DOUBLE, "end")""",
+    "ranked": "SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY start, idx) AS rn FROM cut",
+    # A step takes of each label the next event that doesn't begin before the end of the last one taken.
+    "picked": """SELECT * FROM ranked WHERE rn = 1 UNION ALL SELECT video_id, label, start, "end", idx, rn FROM (
+      SELECT o.*, row_number() OVER (PARTITION BY o.video_id, o.label ORDER BY o.rn) AS nth
+      FROM picked p JOIN ranked o ON o.video_id = p.video_id AND o.label = p.label AND o.rn > p.rn AND o.start >= p."end") n WHERE nth = 1""",
+}
 _width = "CASE WHEN duration > 240 THEN 15 ELSE 10 END"
 GRID = f"""SELECT * FROM (SELECT video_id, width, unnest(range(greatest(1, ceil(duration / width))::BIGINT)) AS bin FROM (SELECT *, {_width} AS width FROM (SELECT video_id, max("end") AS duration FROM labels_gt GROUP BY video_id) q) w) b
   CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in LABELS)}]) AS label) l"""
@@ -95,18 +109,6 @@ def overlaps(events):
     return nxt.filter("next < end").groupBy("video_id", "label").agg(F.count("*").alias("n"))
 
 
-def broken_rules(events, labels):
-    """video_id, label and rule for each rule that an event breaks."""
-    rules = {"time": ~((F.col("start") >= 0) & (F.col("start") < F.col("end"))), "label": ~F.col("label").isin(*labels), "late": F.col("end") > 300.5}
-    broken = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull())
-    return events.select("video_id", "label", F.explode(broken).alias("rule")).groupBy("video_id", "label", "rule").agg(F.count("*").alias("n"))
-
-
-def risk_breaks(curve, most=1.0):
-    """The first sample of each video that is out of range (0 to most) or goes back in time."""
-    before = F.lag("t").over(W.partitionBy("video_id").orderBy("idx"))
-    bad = curve.withColumn("ok", (F.col("t") >= F.coalesce(before, F.lit(-1.0))) & F.col("score").between(0.0, most))
-    return bad.filter(~F.col("ok")).groupBy("video_id").agg(F.min("idx").alias("idx"))
 
 
 QUERIES = {
@@ -160,10 +162,20 @@ QUERIES = {
         sql("""SELECT accidents, alarms, matched, round(mtta, 5) AS mtta, round(ap_over_chance, 5) AS ap_over_chance, round(2 * matched / (alarms + accidents), 5) AS f1_alarm, round(0.4 * ap_over_chance + 0.4 * 2 * matched / (alarms + accidents) + 0.2 * least(1, mtta / 10), 5) AS score_b
           FROM (SELECT count(*) AS accidents, count(*) FILTER (tta > 0) AS matched, avg(tta) AS mtta FROM ttas) x, (SELECT count(*) AS alarms FROM valid) y, ap_row""", **RISK),
     ),
-    "clean_events": (lambda s, d: rounded(matching.clean_events(_raw(s, d), LABELS[:10], 250.0), 3), None),
-    "validate_events": (lambda s, d: broken_rules(_raw(s, d), LABELS[:10]), sql(f"""SELECT video_id, label, rule, count(*) AS n FROM (SELECT video_id, label, unnest(list_filter([CASE WHEN label NOT IN ({", ".join(f"'{x}'" for x in LABELS[:10])}) THEN 'label' END, CASE WHEN "end" > 300.5 THEN 'late' END], lambda x: x IS NOT NULL)) AS rule FROM labels_raw) q GROUP BY ALL""")),
+    "clean_events": (
+        lambda s, d: rounded(matching.clean_events(adapters.labels_numbered(s, d), LABELS[:10], 250.0), 3),
+        sql(f'SELECT video_id, label, {_or} FROM picked', **CLEAN),
+    ),
+    "validate_events": (
+        lambda s, d: broken_rules(adapters.labels_numbered(s, d), adapters.video_durations(s, d), LABELS[:10]),
+        sql(f"""SELECT e.video_id, idx, unnest(list_filter([CASE WHEN NOT (start >= 0 AND start < "end") THEN 'time' END, CASE WHEN label NOT IN ({_ten}) THEN 'label' END,
+          CASE WHEN label IN ({_ten}) AND "end" > duration + 0.5 THEN 'late' END], lambda x: x IS NOT NULL)) AS rule FROM numbered e JOIN video_durations USING (video_id)"""),
+    ),
     "validate_overlap": (lambda s, d: overlaps(_raw(s, d)), sql('SELECT video_id, label, count(*) AS n FROM (SELECT *, lead(start) OVER (PARTITION BY video_id, label ORDER BY start, "end") AS nx FROM labels_raw) x WHERE nx < "end" GROUP BY ALL')),
-    "validate_risk": (lambda s, d: risk_breaks(_risk(s, d), 0.9), sql("SELECT video_id, min(idx) AS idx FROM risk WHERE score < 0 OR score > 0.9 GROUP BY video_id")),
+    "validate_risk": (
+        lambda s, d: risk_breaks(adapters.risk_raw(s, d)),
+        sql("SELECT video_id, min(idx) AS idx FROM (SELECT *, lag(t) OVER (PARTITION BY video_id ORDER BY idx) AS before FROM risk_raw) r WHERE score < 0 OR score > 1 OR t < coalesce(before, -1) GROUP BY video_id"),
+    ),
     "validate_risk_full": (lambda s, d: risk_breaks(_risk(s, d)), sql("SELECT video_id, min(idx) AS idx FROM risk WHERE score < 0 OR score > 1 GROUP BY video_id")),
     "scan_labels_json": (
         lambda s, d: rounded(truth_from_text(videos_to_json(_gt(s, d)).select("value")).select(F.col("video").cast("long").alias("video_id"), "start", "end", "label"), 3),

@@ -74,17 +74,17 @@ QUERIES = {
         lambda s, d: adapters.signals(s, d).select("video_id", "frame", classify_phase(F.col("red"), F.col("amber"), F.col("green")).alias("state")),
         sql("SELECT video_id, frame, CASE WHEN red >= 25 AND red > 1.5 * green THEN 'R' WHEN green >= 25 AND green > 1.5 * red THEN 'G' WHEN amber >= 18 AND amber > greatest(red, green) THEN 'Y' ELSE '?' END AS state FROM signals"),
     ),
-    "lamp_pixel_counts": (lambda s, d: lamp_counts(adapters.pixels(s, d)), sql(f"SELECT frame, {_lamps} FROM pixels GROUP BY frame")),
+    "lamp_pixel_counts": (lambda s, d: lamp_counts(adapters.pixels(s, d)), sql(f"SELECT video_id, frame, {_lamps} FROM pixels GROUP BY ALL")),
     "lamp_counts_bright": (
         lambda s, d: bright_counts(adapters.pixels(s, d)),
-        sql(f"SELECT frame, red, amber, green, CASE WHEN green > red THEN 'G' ELSE 'R' END AS ped FROM (SELECT frame, count(*) FILTER ({_bright} AND (h <= 10 OR h BETWEEN 170 AND 180)) AS red, count(*) FILTER ({_bright} AND h BETWEEN 11 AND 30) AS amber, count(*) FILTER ({_bright} AND h BETWEEN 60 AND 95) AS green FROM pixels GROUP BY frame) x"),
+        sql(f"SELECT video_id, frame, red, amber, green, CASE WHEN green > red THEN 'G' ELSE 'R' END AS ped FROM (SELECT video_id, frame, count(*) FILTER ({_bright} AND (h <= 10 OR h BETWEEN 170 AND 180)) AS red, count(*) FILTER ({_bright} AND h BETWEEN 11 AND 30) AS amber, count(*) FILTER ({_bright} AND h BETWEEN 60 AND 95) AS green FROM pixels GROUP BY video_id, frame) x"),
     ),
     "classify_lamp_position": (
         lambda s, d: classify_lamps(adapters.pixels(s, d)),
-        sql(f"""SELECT frame, CASE WHEN b < mb OR (c2 >= least(mr, my, mg) AND b < c2 * 2.0) THEN '?' ELSE st END AS state FROM (
+        sql(f"""SELECT video_id, frame, CASE WHEN b < mb OR (c2 >= least(mr, my, mg) AND b < c2 * 2.0) THEN '?' ELSE st END AS state FROM (
           SELECT *, greatest(r, y, g) AS b, list_sort([r, y, g])[2] AS c2, CASE greatest(r, y, g) WHEN y THEN 'Y' WHEN r THEN 'R' ELSE 'G' END AS st, CASE greatest(r, y, g) WHEN y THEN my WHEN r THEN mr ELSE mg END AS mb FROM (
-          SELECT frame, r, y, g, greatest(1, least(5, ceil(0.01 * 3 * nr))) AS mr, greatest(1, least(5, ceil(0.01 * 3 * ny))) AS my, greatest(1, least(5, ceil(0.01 * 3 * ng))) AS mg FROM (
-          SELECT frame, {_slices}, {_sizes} FROM (SELECT *, CASE WHEN row < base + (rest > 0)::INT THEN 0 WHEN row < 2 * base + (rest > 0)::INT + (rest > 1)::INT THEN 1 ELSE 2 END AS slice FROM (
-          SELECT *, n // 3 AS base, n % 3 AS rest FROM (SELECT *, max(row) OVER (PARTITION BY frame) + 1 AS n FROM pixels) p0) p1) p2 GROUP BY frame) p3) p4) p5"""),
+          SELECT video_id, frame, r, y, g, greatest(1, least(5, ceil(0.01 * 3 * nr))) AS mr, greatest(1, least(5, ceil(0.01 * 3 * ny))) AS my, greatest(1, least(5, ceil(0.01 * 3 * ng))) AS mg FROM (
+          SELECT video_id, frame, {_slices}, {_sizes} FROM (SELECT *, CASE WHEN row < base + (rest > 0)::INT THEN 0 WHEN row < 2 * base + (rest > 0)::INT + (rest > 1)::INT THEN 1 ELSE 2 END AS slice FROM (
+          SELECT *, n // 3 AS base, n % 3 AS rest FROM (SELECT *, max(row) OVER (PARTITION BY video_id, frame) + 1 AS n FROM pixels) p0) p1) p2 GROUP BY video_id, frame) p3) p4) p5"""),
     ),
 }

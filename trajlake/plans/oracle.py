@@ -24,9 +24,13 @@ _sx, _sy = _scene.size[0] / SOURCE_SIZE[0], _scene.size[1] / SOURCE_SIZE[1]
 _labels = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 
 
-def _labelled(shift: str, where: str) -> str:
+#: Videos of which something is predicted.
+_SEEN = "(o_custkey // 4) % 9 <> 4"
+
+
+def _labelled(shift: str, where: str, more: str = "") -> str:
     start = f"greatest(0.0::DOUBLE, ((o_orderkey * 37) % 3000) / 10.0::DOUBLE + {shift})"
-    return f"SELECT o_custkey // 4 AS video_id, {start} AS start, {start} + (1.0::DOUBLE + (o_orderkey % 40) / 10.0::DOUBLE) AS \"end\", {_labels}[(o_orderkey % 5 + o_custkey // 4) % 14 + 1] AS label FROM orders {where}"
+    return f"SELECT o_custkey // 4 AS video_id, {start} AS start, {start} + (1.0::DOUBLE + (o_orderkey % 40) / 10.0::DOUBLE) AS \"end\", {_labels}[(o_orderkey % 5 + o_custkey // 4) % 14 + 1] AS label{more} FROM orders {where}"
 
 
 def merged(src: str, keys: str, gap: float, least: float, strict: bool = True) -> str:
@@ -112,12 +116,20 @@ CTES: dict[str, str] = {
       SELECT *, CASE WHEN frame % 31 = 0 THEN '?' WHEN frame % 300 < 150 THEN 'R' WHEN frame % 300 < 180 THEN 'Y' ELSE 'G' END AS state FROM (SELECT video_id, unnest(range(0, max(frame) + 1, 3)) AS frame FROM tracks GROUP BY video_id) f) g""",
     "labels_raw": _labelled("0.0::DOUBLE", ""),
     "labels_gt": merged("SELECT * FROM labels_raw", "video_id, label", 0.0, 0.0),
-    "pred_raw": _labelled("(o_orderkey % 9 - 4) / 10.0::DOUBLE", "WHERE o_orderkey % 11 <> 0") + " UNION ALL " + _labelled("50.0::DOUBLE", "WHERE o_orderkey % 13 = 0"),
+    "pred_raw": _labelled("(o_orderkey % 9 - 4) / 10.0::DOUBLE", f"WHERE o_orderkey % 11 <> 0 AND {_SEEN}")
+    + " UNION ALL " + _labelled("50.0::DOUBLE", f"WHERE o_orderkey % 13 = 0 AND {_SEEN}")
+    + f" UNION ALL SELECT video_id + 100000 AS video_id, start, \"end\", label FROM ({_labelled('0.0::DOUBLE', f'WHERE o_orderkey % 29 = 0 AND {_SEEN}')}) foreign_",
     "labels_pred": merged("SELECT * FROM pred_raw", "video_id, label", 0.0, 0.0),
     "risk": "SELECT user_id AS video_id, idx, idx * 0.5::DOUBLE AS t, least(1.0::DOUBLE, value / 100.0::DOUBLE) AS score FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events) e",
-    "hits": "SELECT video_id, 8.0::DOUBLE + video_id % 20 AS start, 10.0::DOUBLE + video_id % 20 AS \"end\" FROM (SELECT DISTINCT user_id AS video_id FROM events) v",
+    "hits": """SELECT video_id, 8.0::DOUBLE + video_id % 20 + late AS start, 10.0::DOUBLE + video_id % 20 + late AS "end", k
+      FROM (SELECT DISTINCT user_id AS video_id FROM events) v JOIN (VALUES (1, 0.0::DOUBLE), (2, 5.0::DOUBLE)) two(k, late) ON k = 1 OR video_id % 2 = 0""",
     "misses": "SELECT video_id, 3.0::DOUBLE + video_id % 5 AS start, 4.5::DOUBLE + video_id % 5 AS \"end\" FROM (SELECT DISTINCT user_id AS video_id FROM events) v WHERE video_id % 3 = 0",
-    "pixels": "SELECT l_orderkey // 4 AS frame, (l_orderkey % 4) * 8 + l_linenumber - 1 AS row, l_partkey % 180 AS h, (l_suppkey * 13 + l_linenumber * 37) % 256 AS s, (l_quantity * 5)::INT AS v FROM lineitem",
+    "numbered": f"""SELECT video_id, CASE WHEN idx % 31 = 0 THEN -0.5::DOUBLE ELSE start END AS start,
+      CASE WHEN idx % 23 = 0 THEN start - 1.0::DOUBLE ELSE "end" END AS "end", label, idx FROM ({_labelled("0.0::DOUBLE", "", ", o_orderkey AS idx")}) n_""",
+    "video_durations": "SELECT DISTINCT video_id, 240.0::DOUBLE + video_id % 61 AS duration FROM labels_raw",
+    "risk_raw": """SELECT video_id, idx, CASE WHEN video_id % 4 = 1 AND idx = 20 + video_id % 7 THEN t - 2.0 ELSE t END AS t,
+      CASE WHEN video_id % 3 = 0 AND idx % 37 = 36 THEN score + 1.0 ELSE score END AS score FROM risk""",
+    "pixels": "SELECT (l_orderkey // 4) % 3 AS video_id, l_orderkey // 12 AS frame, (l_orderkey % 4) * 8 + l_linenumber - 1 AS row, l_partkey % 180 AS h, (l_suppkey * 13 + l_linenumber * 37) % 256 AS s, (l_quantity * 5)::INT AS v FROM lineitem",
     "edges": _edges(),
     "feet": f"SELECT *, (x1 + x2) * 0.5::DOUBLE * {_sx!r}::DOUBLE AS cx, (y1 + y2) * 0.5::DOUBLE * {_sy!r}::DOUBLE AS cy, (x1 + x2) * 0.5::DOUBLE * {_sx!r}::DOUBLE AS foot_x, y2 * {_sy!r}::DOUBLE AS foot_y FROM tracks",
     "mem": membership("feet", "p.foot_x", "p.foot_y"),
@@ -146,13 +158,14 @@ def sql(body: str, **more: str) -> str:
     """The body with all common table expressions that it names, directly or not, before it; more adds or replaces some."""
     known = CTES | more
     order: list[str] = []
+    begun: set[str] = set()  # an expression may name itself
 
     def need(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b(?!\()", text):
+            if name not in begun and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b(?!\()", text):
+                begun.add(name)
                 need(known[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(body)
     return ("WITH RECURSIVE " + ",\n".join(f"{name} AS ({known[name]})" for name in order) + "\n" if order else "") + body

@@ -73,18 +73,30 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("video_id", "frame", (F.col("frame") / F.lit(30.0)).alias("t"), "state", *(F.expr(f"IF(state = '{x}', 30L, frame % 4)").alias(c) for x, c in (("R", "red"), ("Y", "amber"), ("G", "green"))))
 
 
-def _labelled(orders: DataFrame, shift: str) -> DataFrame:
+def _labelled(orders: DataFrame, shift: str, numbered: tuple = ()) -> DataFrame:
     names = F.array(*(F.lit(x) for x in LABELS))
     base = orders.select(F.expr("o_custkey div 4").alias("video_id"), F.col("o_orderkey").alias("k"))
+    # k numbers the events of all videos in the order of their input.
     start = F.greatest(F.lit(0.0), F.expr("((k * 37) % 3000) / 10.0D") + F.expr(shift))
     label = F.element_at(names, F.expr("CAST((k % 5 + video_id) % 14 AS INT) + 1"))
-    return base.select("video_id", start.alias("start"), (start + F.expr("1.0D + (k % 40) / 10.0D")).alias("end"), label.alias("label"))
+    return base.select("video_id", start.alias("start"), (start + F.expr("1.0D + (k % 40) / 10.0D")).alias("end"), label.alias("label"), *(F.col(c).alias("idx") for c in numbered))
 
 
 def labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(read(spark, sf_dir, "orders"), "0.0D")
 
 
+def labels_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels_raw with idx, the place of each event in the input, some of them with bad times."""
+    rows = _labelled(read(spark, sf_dir, "orders"), "0.0D", ("k",))
+    return rows.withColumns({"start": F.expr("IF(idx % 31 = 0, -0.5D, start)"), "end": F.expr("IF(idx % 23 = 0, start - 1.0D, end)")})
+
+
+def video_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id and duration of the labelled videos."""
+    return labels_raw(spark, sf_dir).select("video_id").distinct().withColumn("duration", F.expr("240.0D + video_id % 61"))
+
+
 def labels_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajlake.functions.intervals import merge_intervals
 
@@ -94,8 +106,11 @@ def labels_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trajlake.functions.intervals import merge_intervals
 
-    o = read(spark, sf_dir, "orders")
+    """Most of the true events, moved a little, and others far off; some videos are missing, and some are not in the truth."""
+    o = read(spark, sf_dir, "orders").filter("o_custkey div 4 % 9 <> 4")
     found = _labelled(o.filter("o_orderkey % 11 <> 0"), "(k % 9 - 4) / 10.0D").unionByName(_labelled(o.filter("o_orderkey % 13 = 0"), "50.0D"))
+    foreign = _labelled(o.filter("o_orderkey % 29 = 0"), "0.0D").withColumn("video_id", F.expr("video_id + 100000"))
+    found = found.unionByName(foreign)
     return merge_intervals(found, ["video_id", "label"], max_gap=0.0, min_duration=0.0)
 
 
@@ -105,15 +120,24 @@ def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("video_id"), "idx", (F.col("idx") * F.lit(0.5)).alias("t"), F.least(F.lit(1.0), F.col("value") / F.lit(100.0)).alias("score"))
 
 
+def risk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """risk with scores beyond 1 and times that go back."""
+    rows = risk(spark, sf_dir)
+    back = F.expr("IF(video_id % 4 = 1 AND idx = 20 + video_id % 7, t - 2.0D, t)")
+    return rows.withColumns({"t": back, "score": F.expr("IF(video_id % 3 = 0 AND idx % 37 = 36, score + 1.0D, score)")})
+
+
 def labels_accident(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "events").select(F.col("user_id").alias("video_id")).distinct()
-    hit = v.select("video_id", F.expr("8.0D + video_id % 20").alias("start"), F.expr("10.0D + video_id % 20").alias("end"), F.lit("accident").alias("label"))
+    """An accident in each video, two that lie close together in every other one, and some near misses."""
+    late = v.select("video_id", F.explode(F.expr("IF(video_id % 2 = 0, array(0.0D, 5.0D), array(0.0D))")).alias("late"))
+    hit = late.select("video_id", F.expr("8.0D + video_id % 20 + late").alias("start"), F.expr("10.0D + video_id % 20 + late").alias("end"), F.lit("accident").alias("label"))
     miss = v.filter("video_id % 3 = 0").select("video_id", F.expr("3.0D + video_id % 5").alias("start"), F.expr("4.5D + video_id % 5").alias("end"), F.lit("near_miss").alias("label"))
     return hit.unionByName(miss)
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(
-        F.expr("l_orderkey div 4").alias("frame"), F.expr("CAST((l_orderkey % 4) * 8 + l_linenumber - 1 AS INT)").alias("row"),
+        F.expr("(l_orderkey div 4) % 3").alias("video_id"), F.expr("l_orderkey div 12").alias("frame"), F.expr("CAST((l_orderkey % 4) * 8 + l_linenumber - 1 AS INT)").alias("row"),
         F.expr("CAST(l_partkey % 180 AS INT)").alias("h"), F.expr("CAST((l_suppkey * 13 + l_linenumber * 37) % 256 AS INT)").alias("s"), F.expr("CAST(l_quantity * 5 AS INT)").alias("v"),
     )
