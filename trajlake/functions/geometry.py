@@ -95,6 +95,12 @@ def homography(x: Column, y: Column, h: list[float]) -> Column:
     return F.struct(((F.lit(h[0]) * x + F.lit(h[1]) * y + F.lit(h[2])) / w).alias("x"), ((F.lit(h[3]) * x + F.lit(h[4]) * y + F.lit(h[5])) / w).alias("y"))
 
 
+def homography_shift(x: Column, y: Column, h: list[float]) -> Column:
+    """How far a 3 x 3 projective map moves the point."""
+    to = homography(x, y, h)
+    return F.hypot(to["x"] - x, to["y"] - y)
+
+
 def box_overlap(a: str, b: str) -> Column:
     """Overlap of two boxes as a share of the smaller one, areas being 1 at least; a and b prefix their columns."""
     c = lambda p, n: F.col(f"{p}{n}")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from trajlake.plans import (
+    catalog_evaluation,
     catalog_features,
     catalog_labels,
     catalog_leads,
+    catalog_reviews,
+    catalog_risk,
     catalog_rules,
     catalog_signals,
     catalog_streaming,
@@ -19,5 +22,8 @@ QUERIES: dict = {
     **catalog_tracks.QUERIES,
     **catalog_labels.QUERIES,
     **catalog_leads.QUERIES,
+    **catalog_reviews.QUERIES,
+    **catalog_risk.QUERIES,
+    **catalog_evaluation.QUERIES,
     **catalog_streaming.QUERIES,
 }
