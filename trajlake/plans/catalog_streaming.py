@@ -2,9 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.streaming import counts
+from trajlake.plans import reviews
+from trajlake.plans.catalog_features import rounded
+from trajlake.plans.catalog_labels import RISK
+from trajlake.plans.catalog_reviews import CTES as REVIEWS
+from trajlake.plans.catalog_reviews import STOP, _rows
+from trajlake.plans.catalog_risk import CTES as SCORES
+from trajlake.plans.catalog_risk import _samples
+from trajlake.plans.oracle import sql
+from trajlake.sources import adapters
+from trajlake.streaming import counts, state
+
+
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    return counts.as_stream(adapters.signals(s, d).select("video_id", "t", "state"), 8.0)
+
+
+def _frames(s: SparkSession, d: str) -> DataFrame:
+    """The frames of each video in turn, those that were looked at with a score."""
+    scores = _samples(s, d).select("video_id", "frame", "score")
+    return counts.as_stream(adapters.signals(s, d).select("video_id", "frame", "t").join(scores, ["video_id", "frame"], "left"), 8.0)
+
+
+def _crossings(s: SparkSession, d: str) -> DataFrame:
+    return counts.as_stream(reviews.side_crossings(_rows(s, d), *STOP), 8.0)
+
+
+def _told(stream: DataFrame, s: SparkSession) -> DataFrame:
+    return rounded(counts.run_to_end(stream, s, "append"), 5)
+
 
 QUERIES = {
     "stream_tumbling_counts": (
@@ -15,4 +44,21 @@ QUERIES = {
         lambda s, d: counts.run_to_end(counts.sessions(counts.read_events(s, d)), s, "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n")),
         "SELECT user_id, sum(new)::BIGINT AS sessions, count(*) AS n FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events) x GROUP BY user_id",
     ),
+    "stream_change_points": (
+        lambda s, d: _told(state.change_points(_signals(s, d)), s),
+        sql("SELECT video_id, round(t, 5) AS t, state FROM (SELECT *, lag(state) OVER (PARTITION BY video_id ORDER BY t) AS before FROM signals) x WHERE before IS DISTINCT FROM state"),
+    ),
+    "stream_alarms": (
+        lambda s, d: _told(state.alarms(counts.as_stream(adapters.risk(s, d).select("video_id", "t", "score"), 16.0)), s),
+        sql("SELECT video_id, round(start, 5) AS t FROM alarms", **RISK),
+    ),
+    "stream_risk": (
+        lambda s, d: _told(state.faded(_frames(s, d)), s),
+        sql("""SELECT g.video_id, g.frame, round(g.t, 5) AS t, round(coalesce(s.score * exp(-(g.t - s.t) / 1.5), 0), 5) AS score
+          FROM signals g ASOF LEFT JOIN scored s ON s.video_id = g.video_id AND s.t <= g.t""", **SCORES),
+    ),
+    "stream_signal_join": (
+        lambda s, d: _told(state.signals_near(_crossings(s, d), _signals(s, d)), s),
+        sql("SELECT c.video_id, c.id, round(c.t, 5) AS t, round(g.t, 5) AS s_t, g.state FROM crossed c JOIN signals g ON g.video_id = c.video_id AND g.t BETWEEN c.t - 0.18 AND c.t + 0.18", **REVIEWS),
+    ),
 }

@@ -1,15 +1,19 @@
-"""Structured Streaming over event tables: counts by window, and sessions of a key, with late rows dropped by a watermark."""
+"""Structured Streaming over event tables: counts by window, and sessions of a key.
 
-from __future__ import annotations
+In append mode a window is told when the watermark has passed its end; rows that are later than the watermark are dropped and
+the state of closed windows goes. In complete mode all windows are kept and told each time, and no row is late.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajlake.sources.files import new_folder
+
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """start, event_type, n and total value of each window; rows later than the watermark are dropped."""
+    """start, event_type, n and total value of each window."""
     by = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return by.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
@@ -25,22 +29,33 @@ def run_to_end(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
 
     Each batch replaces (complete) or adds its own folder, so a batch that is run again after a failure is written once.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = new_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={number}")
 
     schema = stream.schema
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/rows")
+    return spark.read.schema(schema).parquet(f"{out}/rows").select(*schema.names)
+
+
+#: Microseconds at which a feed begins (2020-01-01): a time of 0 would be late before the first watermark.
+_BEGIN = 1_577_836_800_000_000
+
+
+def as_stream(rows: DataFrame, seconds: float) -> DataFrame:
+    """A stream of rows (video_id, t and others) with ts, in files that come one after another: each has some videos' rows of
+    a stretch of so many seconds, and later stretches come later."""
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "feed")
+    rows = rows.withColumn("ts", F.timestamp_micros(F.lit(_BEGIN) + F.round(F.col("t") * 1_000_000).cast("long")))
+    first, last = rows.agg(F.min("t"), F.max("t")).first()
+    if first is None:
+        rows.write.parquet(path)
+    else:
+        for k in range(int((last - first) // seconds) + 1):
+            stretch = rows.filter(F.floor((F.col("t") - first) / seconds) == k)
+            stretch.repartition("video_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
