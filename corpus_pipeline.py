@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trajlake.llm import decontamination, language_id, mixing, ngram_jaccard, substring_dedup
-from trajlake.llm._shared import materialize
+from trajlake.llm._shared import drop, materialize, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of the documents in sf_dir; what each stage keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline_" + "_".join(name.lower().replace("-", " ").split()))
+        with scratch(spark):  # of a stage's tables only its result is left, until the next one is written
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline_" + "_".join(name.lower().replace("-", " ").split()), keep=True)
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
 
 

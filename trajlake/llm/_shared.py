@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,19 +22,51 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
+_scopes: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, *partition_by: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation.
+
+    Within scratch() the table lives until its end; with keep, until the end of the scratch() around it, if any.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[: len(_scopes) - keep][-1:]:
+        scope.append(path)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At its end, deletes the tables that materialize() wrote in it and were not to be kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of tables made by materialize() that nothing will read again."""
     for df in tables:
         spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.toString().replace("file:///", "/").startswith(shared_dir(spark).replace("file://", "")):
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            folder = file.rsplit("/", 1)[0]
+            if folder.replace("file:///", "/").startswith(shared_dir(spark).replace("file://", "")):
+                _delete(spark, folder)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or one made from it, that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm import _text
-from trajlake.llm._shared import materialize
+from trajlake.llm._shared import materialize, scratch, unused
 
 WINDOW = 10
 #: Bytes of document text in an index row, and of benchmark text in a block.
@@ -211,12 +211,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs; a null text has none."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    bad_id, bad_key = unused("bad_id", docs.columns), unused("bad_key", docs.columns)
+    with scratch(docs.sparkSession):
+        bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+        bad = materialize(bad, "contaminated", keep=True)
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key)), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    with scratch(spark):
+        return materialize(contamination(documents, benchmark).drop("text_key"), "contamination", keep=True)
 
 
 _WORD = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
