@@ -94,11 +94,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         upto = max(at + 1, int(np.searchsorted(ends, base + _STEP * 2 - 1, "right")))
         piece = data[base : ends[upto - 1]].astype(np.uint64) + np.uint64(1)
         if len(piece) >= len(power):  # one span longer than the tables: fold it in steps
-            h = np.uint64(0)
+            h = np.zeros(1, np.uint64)
             for i in range(0, len(piece), _STEP):
                 part = piece[i : i + _STEP]
                 h = mix(h + np.sum(part * power[: len(part)], dtype=np.uint64) + np.uint64(len(part)))
-            out[at:upto] = h
+            out[at:upto] = h[0]
         else:
             total = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(piece * power[: len(piece)], out=total[1:])

@@ -11,25 +11,28 @@ from pyspark.sql import functions as F
 
 from trajlake.llm import _text
 
-#: Buckets of the hashed n-grams, and the languages that a model may have: together they bound the broadcast matrix.
-BUCKETS, MAX_LANGS = 1 << 15, 512
+#: Buckets of the hashed n-grams. A model has CELLS log-probabilities at most: with more languages it has fewer buckets.
+BUCKETS, CELLS = 1 << 15, 1 << 22
 SIZES = (1, 2, 3)
-_TOP = 1 << 17
 _tables: list[np.ndarray] = []
 
 
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its lower case (0 if it is no letter), for those below _TOP; beyond it all but a few are letters."""
+def _letters() -> np.ndarray:
+    """By code point: its lower case, or 0 if it is no letter."""
     if not _tables:
-        low = np.zeros(_TOP, np.uint32)
-        for c in range(_TOP):
+        low = np.zeros(0x110000, np.uint32)
+        for c in range(len(low)):
             if (x := chr(c)).isalpha():
                 low[c] = ord(y) if len(y := x.lower()) == 1 else c
         _tables.append(low)
     return _tables[0]
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _buckets(langs: int) -> int:
+    return min(BUCKETS, max(1, CELLS // max(1, langs)))
+
+
+def _grams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of a piece's texts with their text's number, and each text's count of letters.
 
     What isn't a letter counts as one blank a run, so that n-grams see where words begin and end.
@@ -37,8 +40,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts = texts.fill_null("").to_pylist()
     code = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
     owner = np.repeat(np.arange(len(texts) + 1), [1, *(len(x) + 1 for x in texts)]) - 1  # a text and the blank after it
-    low = _letters()
-    c = np.where(code < _TOP, low[np.minimum(code, _TOP - 1)], code)
+    c = _letters()[code]
     n_letters = np.bincount(owner[c > 0], minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
@@ -50,7 +52,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = h * np.uint64(0x100000001B3) + c[j : j + len(h)]
         of_h = owner[n // 2 : n // 2 + len(h)]
         solid = (c[n // 2 : n // 2 + len(h)] > 0) if n % 2 else of_h >= 0  # so none reaches into the next text
-        found.append((_text.mix(h * np.uint64(2 * n + 1)) % np.uint64(BUCKETS)).astype(np.int64)[solid])
+        found.append((_text.mix(h * np.uint64(2 * n + 1)) % np.uint64(buckets)).astype(np.int64)[solid])
         of.append(of_h[solid])
     return np.concatenate(found), np.concatenate(of), n_letters
 
@@ -58,29 +60,27 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages and their log-probabilities by bucket, counted over all rows with a language.
 
-    Counting is a sum over partitions of at most languages x BUCKETS rows, whatever the input; the matrix has the same bound.
+    Counting is a sum over partitions of at most CELLS rows (or a row a language, if there are more), whatever the input.
     """
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    langs = sorted(labelled.select("lang").distinct().toArrow().column("lang").to_pylist())
+    buckets = _buckets(len(langs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for piece in _text.pieces(batches):
-            bucket, of, _ = _grams(piece.column("text"))
+            bucket, of, _ = _grams(piece.column("text"), buckets)
             lang = piece.column("lang").dictionary_encode()
             names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
-            both = np.bincount(code[of].astype(np.int64) * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+            both = np.bincount(code[of].astype(np.int64) * buckets + bucket, minlength=len(names) * buckets).reshape(-1, buckets)
             for name, row in zip(names, both, strict=True):
                 total[name] = total.get(name, 0) + row
         for name, row in total.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(row[at])], names=["lang", "bucket", "n"])
 
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counts.toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
-    matrix = np.full((len(langs), BUCKETS), 0.5)
+    rows = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.full((len(langs), buckets), 0.5)
     number = {x: i for i, x in enumerate(langs)}
     np.add.at(matrix, ([number[x] for x in rows.column("lang").to_pylist()], rows.column("bucket").to_numpy()), rows.column("n").to_numpy())
     return langs, np.log(matrix / matrix.sum(1, keepdims=True)) if langs else matrix
@@ -95,7 +95,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, with_text: bool
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
-            bucket, of, letters = _grams(piece.column("text"))
+            bucket, of, letters = _grams(piece.column("text"), _buckets(len(langs)))
             n, model = piece.num_rows, shared.value
             total = np.stack([np.bincount(of, model[bucket, i], n) for i in range(len(langs))], 1) if langs else np.zeros((n, 1))
             best = total.argmax(1)
@@ -128,7 +128,11 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def language_filter(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, whose language is known and has a posterior of min_score at least."""
+    """The documents, with all their columns, whose language is known and has a posterior of min_score at least.
+
+    Null text and text without a letter go, as do all if no row has a language. Rows without a doc_id are judged but not
+    learned from; repeated rows stay or go together. No rows give no rows.
+    """
     scored = predict(docs, *fit(docs.filter(~held_out())), with_text=True)
     return scored.filter((F.col("pred") != "und") & (F.col("score") >= min_score)).drop("pred", "score").toDF(*docs.columns)
 

@@ -24,8 +24,9 @@ def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
     listed = sources.withColumn("ordinal", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     listed = listed.withColumn("weight", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("ordinal") % len(weights) + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(cap)))
     by_level = W.orderBy(F.col("most") / F.col("weight"), "ordinal")
-    before, after, every = by_level.rowsBetween(W.unboundedPreceding, -1), by_level.rowsBetween(0, W.unboundedFollowing), W.partitionBy()
-    level = (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+    before, every = by_level.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    level = (F.sum("source_size").over(every) * F.lit(float(share)) - so_far("most")) / (F.sum("weight").over(every) - so_far("weight"))
     levels = listed.withColumn("level", level).withColumn("capped", F.col("most") <= F.col("level") * F.col("weight"))
     shared = F.min_by(F.when(~F.col("capped"), F.col("level")), F.when(~F.col("capped"), F.struct(F.col("most") / F.col("weight"), "ordinal"))).over(every)
     return levels.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * shared)).select("source", "source_size", "n_docs", "target")

@@ -45,7 +45,10 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     keyed = asked.select("host", "fetched", F.explode(suffix).alias("pattern"))
     met = keyed.join(active, "pattern").filter("fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)")
     found = met.groupBy("host", "fetched").agg(F.count("*").alias("n_entries"), F.max_by("pattern", F.length("pattern")).alias("pattern"))
-    return rows.join(found, ["host", "fetched"], "left").select("page_id", "host", "fetched", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), "pattern")
+    able = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    unable = rows.filter(~able).withColumns({"n_entries": F.lit(None).cast("long"), "pattern": F.lit(None).cast("string")})
+    judged = rows.filter(able).join(found, ["host", "fetched"], "left").unionByName(unable)
+    return judged.select("page_id", "host", "fetched", F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), "pattern")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
