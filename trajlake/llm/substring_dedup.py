@@ -13,13 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajlake.llm import _text
-from trajlake.llm._shared import materialize
+from trajlake.llm._shared import materialize, scratch
 
 #: A mark is the least of so many words to either side; a unit has so many words at most; a passage has so many at least.
 AROUND, LONGEST, LEAST = 3, 64, 20
+#: Digests are frequent that occur so often in one of so many parts of the documents; so many of them, at most, are broadcast.
+FREQUENT_FROM, PART, FREQUENT = 8, 64, 100_000
 
 
 def _units(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -169,19 +172,34 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(texts, pa.string()), pa.array(np.diff(first)), pa.array(n_removed), pa.array(spans, kind)], names=[*names, "text", "n_words", "n_removed", "removed"])
 
 
+def _later(found: DataFrame) -> DataFrame:
+    """The passages but for the earliest of each digest, by doc_id, place and text_key.
+
+    Digests that some part of the documents show to be frequent are combined before a shuffle and compared where they are; it
+    doesn't matter which these are. Of the others, each row is shuffled once.
+    """
+    at = F.struct("doc_id", "place", "text_key")
+    part = found.filter(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PART)) == 0).groupBy("digest").agg(F.count("*").alias("c"))
+    hot = materialize(part.filter(F.col("c") >= FREQUENT_FROM).orderBy(F.col("c").desc(), "digest").limit(FREQUENT).select("digest"), "frequent_passages")
+    told = found.join(F.broadcast(hot.withColumn("often", F.lit(True))), "digest", "left").filter("often")
+    earliest = materialize(told.groupBy("digest").agg(F.min(at).alias("first")), "frequent_passages")
+    told = found.join(F.broadcast(earliest), "digest", "left")
+    rare = told.filter("first IS NULL").withColumn("first", F.min(at).over(W.partitionBy("digest"))).filter(at != F.col("first"))
+    often = told.filter(at != F.col("first"))
+    return rare.select("doc_id", "text_key", "place").unionByName(often.select("doc_id", "text_key", "place"))
+
+
 def _without_repeats(docs: DataFrame, lines: bool) -> DataFrame:
     """The columns of docs but text as c0, c1 and so on; then text (what is left), n_words, n_removed and removed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    found = materialize(passages(rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), lines), "passages")
-    common = found.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest")  # few are: ranks are dealt of these only
-    found = materialize(found.join(common, "digest"), "common_passages")
-    earliest = found.groupBy("digest").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("first"))
-    later = found.join(earliest, "digest").filter(F.struct("doc_id", "place", "text_key") != F.col("first"))
-    later = materialize(later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("repeated")), "repeated_passages")
+    with scratch(docs.sparkSession):
+        found = materialize(passages(rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), lines), "passages")
+        later = _later(found).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("repeated"))
+        later = materialize(later, "repeated_passages", keep=True)
 
     names = [(f, "text" if f.name == "text" else f"c{i}") for i, f in enumerate(docs.schema)]
-    asked = docs.toDF(*(x for _, x in names)).withColumns({"__id": docs_id(docs, names), "__key": F.xxhash64("text"), "text": F.col("text").cast("string")})
-    joined = asked.join(later.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "repeated"), ["__id", "__key"], "left").drop("__id", "__key")
+    keyed = docs.toDF(*(x for _, x in names)).withColumns({"doc_id": docs_id(docs, names), "text_key": F.xxhash64("text"), "text": F.col("text").cast("string")})
+    joined = keyed.join(later, ["doc_id", "text_key"], "left").drop("doc_id", "text_key")
     schema = ", ".join([*(f"{x} {f.dataType.simpleString()}" for f, x in names if x != "text"), "text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>"])
     return joined.mapInArrow(_cleaned, schema)
 
