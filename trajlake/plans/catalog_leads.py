@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from trajlake.plans import leads
 from trajlake.plans.catalog_features import rounded
 from trajlake.plans.features import to_scene
