@@ -90,14 +90,42 @@ def test_similar_groups(docs, rows, size, p, q):
     assert found == expected
 
 
-def test_similar_groups_by_rounds(docs, rows, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "MANY", 0)
-    monkeypatch.setattr(ngram_jaccard, "BLOCK", 3)
-    monkeypatch.setattr(ngram_jaccard, "BROADCAST", 0)
+@pytest.mark.parametrize("levels,pivot_bytes,broadcast", [(4, 0, 0), (1, 1 << 25, 250_000)])
+def test_similar_groups_by_cells(docs, rows, monkeypatch, levels, pivot_bytes, broadcast):
+    for name, value in {"HOT": 2, "PART": 1, "SAMPLE": 5, "BLOCK": 3, "LEVELS": levels, "PIVOT_BYTES": pivot_bytes, "BROADCAST": broadcast, "NODES": broadcast}.items():
+        monkeypatch.setattr(ngram_jaccard, name, value)
     expected = brute.groups([(k, t) for k, t, *_ in rows], 3, 90, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.similar_groups(docs, 3, (90, 100)).collect()} == expected
 
 
+def near_misses(seed, n=260):
+    """Many variants of one text, most of them around the threshold of each other, some sharing edits, with unrelated texts."""
+    r = random.Random(seed)
+    base = [f"b{r.randrange(300)}" for _ in range(150)]
+    shared = [(r.randrange(150), f"s{i}") for i in range(12)]
+    texts = []
+    for i in range(n):
+        w = list(base) if i % 10 else [f"b{r.randrange(300)}" for _ in range(r.randrange(1, 200))]
+        for at, word in r.sample(shared, r.randrange(0, 5)):
+            w[at % len(w)] = word
+        for _ in range(r.randrange(0, 7)):
+            w[r.randrange(len(w))] = f"n{r.randrange(4000)}"
+        del w[: r.randrange(0, 4)]
+        texts.append((i, " ".join(w)))
+    return texts
+
+
+@pytest.mark.parametrize("seed,size,p,q", [(1, 3, 90, 100), (2, 5, 8, 10)])
+def test_large_group_of_near_misses(spark, monkeypatch, seed, size, p, q):
+    monkeypatch.setattr(ngram_jaccard, "HOT", 8)
+    monkeypatch.setattr(ngram_jaccard, "PART", 1)
+    texts = near_misses(seed)
+    expected = brute.groups(texts, size, p, q)
+    assert 10 < len({c for _, c in expected.values()}) < len(texts)
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.similar_groups(rows, size, (p, q)).collect()} == expected
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 200])
 def test_contamination(spark, docs, rows, monkeypatch, block_bytes):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block_bytes)
@@ -300,6 +328,86 @@ def test_url_filter(spark):
     assert found == {1: (True, 1, "ads.example.com"), 2: (False, 0, None), 3: (True, 1, "example.com"), **{k: (False, 0, None) for k in (4, 5, 6, 7)}}
 
 
+def test_language_id_against_brute_force(spark):
+    """Counts, log-probabilities and posteriors in plain loops over dictionaries."""
+    import math
+
+    import pyarrow as pa
+
+    r = random.Random(11)
+    letters = {"aa": "abcdefgh", "bb": "cdefghij", "cc": "efghijkl"}
+    rows = []
+    for i in range(150):
+        lang = r.choice(list(letters))
+        rows.append((i, " ".join("".join(r.choice(letters[lang]) for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 6))), lang, None, 0))
+    rows += [(200, "\U000f0000\U000e0100 12", "aa", None, 0), (201, "\U00020000", None, None, 0)]
+    counts: dict = {}
+    grams = lambda text: [int(x) for x in language_id._grams(pa.array([text]))[0]]
+    for k, text, lang, *_ in rows:
+        if lang and zlib.crc32(str(k).encode()) % 4 != 2:
+            for g in grams(text):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    total = {lang: sum(c.values()) + 0.5 * language_id.BUCKETS for lang, c in counts.items()}
+    found = by_id(language_id.language_id(spark.createDataFrame(rows, SCHEMA)))
+    for k, text, *_ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (found[k].lang_pred, found[k].score) == ("und", 0.0)
+            continue
+        log = {lang: sum(math.log((counts[lang].get(g, 0) + 0.5) / total[lang]) for g in grams(text)) for lang in counts}
+        best = max(sorted(log), key=lambda x: log[x])
+        assert found[k].lang_pred == best
+        assert abs(found[k].score - 1 / sum(math.exp(v - log[best]) for v in log.values())) < 1e-4
+
+
+def test_language_model_of_many_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CELLS", 64)
+    rows = [(i, chr(97 + i % 20) * 8, f"l{i % 20:02}", None, 0) for i in range(200)]
+    langs, logp = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert len(langs) == 20 and logp.shape == (20, 3)
+
+
+def test_quality_classifier_minimises_the_loss_of_its_pairs(spark):
+    """The weights leave no gradient over all pairs of good and bad documents of the one group, weighed as they are paired."""
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        junk = 0.3 if i % 3 else 0.5
+        rows.append((i, " ".join(r.choice(VOCAB) if r.random() > junk else "##|!!" for _ in range(40)), None, None, 0))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    labelled = quality_classifier.features(docs).join(labels, "doc_id")
+    mean, spread, w, threshold = quality_classifier.fit(labelled)
+    table = {x.doc_id: ((np.array(x.x) - mean) / spread, x.quality) for x in labelled.collect()}
+    good, bad = ([x for x, q in table.values() if q == v] for v in (1, 0))
+    pairs = np.array([g - b for g in good for b in bad])
+    loss = lambda v: np.log1p(np.exp(-pairs @ v)).mean() + quality_classifier.RIDGE * (v @ v) / 2
+    assert loss(w) < 0.9 * loss(np.zeros_like(w)) and np.isfinite(w).all()
+    scores = sorted(float(x @ w) for x, _ in table.values())
+    assert scores[0] <= threshold <= scores[-1] and abs(sum(s < threshold for s in scores) / 60 - 1 / 3) < 0.06
+
+
+def test_texts_longer_than_a_piece(spark):
+    """A text of several pieces' size, with a word longer than the hash's tables, gets exact figures."""
+    word = "y" * (5 << 19)
+    text = f"one two {word} " + " ".join(f"w{i}" for i in range(200_000)) + f" {word}"
+    docs = spark.createDataFrame([(1, text, None, "s", 0), (2, text, None, "s", 0), (3, "one two three", None, "s", 0)], SCHEMA)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.similar_groups(docs, 3, (9, 10)).collect()} == {(1, 200_002, 1), (2, 200_002, 1), (3, 1, 3)}
+    rules = by_id(quality_rules.quality_rules(docs))
+    assert rules[1].n_words == 200_004 and rules[1].word_chars == len(text.replace(" ", "")) and rules[1].n_repeat_words == 0
+    cut = by_id(substring_dedup.substring_dedup(docs))
+    assert (cut[1].n_removed, cut[2].n_removed, cut[2].text) == (0, 200_004, "")
+
+
+@pytest.mark.parametrize("name", ["gone", "bad_id", "bad_key", "__gone", "__id", "__key", "text_key"])
+def test_columns_with_the_names_of_stages(spark, tmp_path, name):
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = spark.createDataFrame([(1, "alpha beta gamma", "en", "s", 3, 9), (2, "alpha beta gamma", "en", "s", 3, 9), (3, "x y z", "en", "s", 3, 9)], f"{SCHEMA}, {name} long")
+    similar = ngram_jaccard.drop_similar(rows)
+    assert similar.columns == rows.columns and {r.doc_id for r in similar.collect()} == {1, 3}
+    clean = decontamination.decontaminate(rows, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert clean.columns == rows.columns and {r.doc_id for r in clean.collect()} == {1, 2}
+
+
 OPERATORS = {
     "quality_rules": lambda s, d: quality_rules.quality_rules(d),
     "lm_scores": lambda s, d: lm_scoring.lm_scores(d),
@@ -325,8 +433,15 @@ def test_no_rows(spark, name):
 
 
 def test_repeated_rows_and_null_ids_in_groups(spark, odd):
-    found = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.similar_groups(odd, 3, (9, 10)).collect()}
-    assert found == {(None, 9, 1), (1, 9, 1), (None, 0, None), (2, 0, 2)}
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.similar_groups(odd, 3, (9, 10)).collect()), key=str)
+    assert found == [(1, 9, 1), (1, 9, 1), (2, 0, 2), (None, 0, None), (None, 9, 1)]
+
+
+def test_equal_texts_without_ids_are_one_set(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text)] * 40 + [(7, text + " x"), (None, text + " y"), (3, "other words")]
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, (9, 10)).collect()), key=str)
+    assert found == sorted([(None, 58, 7)] * 40 + [(7, 59, 7), (None, 59, 7), (3, 1, 3)], key=str)
 
 
 STAGES = [(name, stage, bool(k == 4)) for k, (name, stage) in enumerate(corpus_pipeline.STAGES)]

@@ -3,13 +3,14 @@
 1. N-grams get one global order: those known to be frequent last, by frequency, else by hash. Any order gives the same
    result; this one keeps what many documents share out of the prefixes.
 2. Two similar sets share an n-gram in their prefixes of that order, and one more for each n-gram by which the prefixes
-   are longer. Equal sets are one class from here on. Classes that share that many prefix n-grams with others, and can
-   still overlap enough from there on, are candidates.
-3. Candidates are verified in blocks: a probe's partners are stored as a prefix tree of their ordered n-grams, and the
-   probe walks it, so that what partners share is overlapped once and a subtree ends where the rest is too short.
-4. A first few rounds verify each n-gram's classes against one of them only, chosen anew each time from those that hang
-   together most. What links then is a component, and within components nothing is left to verify. At last all candidates
-   between components are.
+   are longer. Equal sets are one class from here on.
+3. Classes that share a prefix n-gram are a group. Small groups give candidate pairs, a bounded number for each member.
+   Large ones give none: their members are described anew by what sets them apart from a pivot that most of them resemble.
+   Those near it link by that alone, through one member; the others look for partners by the n-grams of their differences,
+   in groups that are cut likewise, level by level. So many near copies that just miss the threshold don't meet in pairs.
+4. Candidates between components are verified in blocks: a probe's partners are stored as a prefix tree of their ordered
+   n-grams, and the probe walks it, so that what partners share is overlapped once and a subtree ends where the rest is
+   too short.
 """
 
 from __future__ import annotations
@@ -20,21 +21,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajlake.llm import _text
-from trajlake.llm._shared import drop, materialize
+from trajlake.llm._shared import drop, materialize, scratch, unused
 from trajlake.llm.components import components
 
-#: The frequent n-grams that the order knows, as counted over all documents: at most so many (12 bytes each are broadcast).
-FREQUENT, FREQUENT_FROM = 1 << 18, 8
-#: Partners in a block; candidates between components, for each row of them, up to which all are verified at once; and the
-#: rounds against single classes after which they are in any case.
-BLOCK, MANY, ROUNDS = 256, 64, 8
+#: The frequent n-grams that the order knows: so many at most (12 bytes each are broadcast), which occur in so many documents
+#: of one in PART.
+FREQUENT, FREQUENT_FROM, PART = 1 << 20, 3, 8
+#: Pairs, about, that a task's group of the verification has.
+BLOCK = 256
+#: Members of a group, about, up to which they meet in pairs; larger ones become cells, for so many levels (beyond, all pairs
+#: meet). Which groups are large shows in one in PART of the members.
+HOT, LEVELS = 128, 4
+#: Members of a cell that its pivot is made of; bytes of all pivots up to which they are broadcast, and the parts that the
+#: cells are cut into for a join by shuffle beyond that.
+SAMPLE, PIVOT_BYTES, SALTS = 16, 1 << 25, 64
 #: A prefix is longer by an n-gram for each so many of its set.
 SPARE = 50
-#: Candidate ids up to which they are broadcast to pick their texts; beyond it both sides are shuffled.
+#: Ids, n-grams or cells up to which a table of them is broadcast; beyond it both sides are shuffled.
 BROADCAST = 250_000
+#: Rows of 16 bytes up to which a list of sets is broadcast to pick these; beyond it the sets are shuffled.
+NODES = 1 << 21
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +72,18 @@ def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams, sorted, and in how many documents they were counted.
+    """The most frequent n-grams, sorted, and in how many documents they are, by one in PART of the documents.
 
-    Every piece of the corpus reports what three of its documents share, so nothing frequent is missed (what occurs in more
-    than twice as many documents as there are pieces), and counts fall short by two a piece at most.
+    They only make the global order, and any order gives the same result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches, limit=1 << 23):
             gram, n = np.unique(_sets(piece.column("text"), size)[0], return_counts=True)
-            gram, n = gram[n > 2], n[n > 2]
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    part = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PART)) == 0).select(F.col("text").cast("string").alias("text"))
+    counts = part.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.col("n").desc(), "gram").limit(FREQUENT).toArrow()
     gram, n = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.int32)
     order = np.argsort(gram)
@@ -130,73 +139,180 @@ def _walk(probe: np.ndarray, partners: list[tuple[int, bytes]], p: int, q: int)
     return found
 
 
-def _meetings(classes: DataFrame, p: int, q: int) -> DataFrame:
-    """gram, node, n and pos of the classes that meet another in an n-gram of their prefixes and may be similar to it.
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, marked to be broadcast if it has rows rows at most; a larger one is joined by a shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
-    The n-grams are dealt by hash, in packed arrays, into a number of buckets that follows spark.sql.shuffle.partitions.
-    """
-    shift = np.uint64(64 - max(1, (int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8 - 1).bit_length()))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(rows: DataFrame, member: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Members of rows (key, node and others) by key: small groups (key, members) of two or more, and the rows of large ones.
+
+    Rows of large groups are told by a broadcast of their keys and never dealt by key.
+    """
+    part = rows.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PART)) == 0).groupBy("key").agg(F.count("*").alias("c"))
+    keys = materialize(part.filter(F.col("c") >= max(2, HOT // PART)).select("key"), "jaccard_keys")
+    told = rows.join(_small(keys.withColumn("large", F.lit(True)), BROADCAST), "key", "left")
+    hot = materialize(told.filter("large").drop("large"), "jaccard_hot")
+    cold = told.filter("large IS NULL").withColumn("c", F.count("*").over(W.partitionBy("key"))).filter("c > 1")
+    groups = materialize(cold.groupBy("key").agg(F.collect_list(member).alias("members")), "jaccard_groups")
+    drop(keys)
+    return groups, hot
+
+
+def _recentre(cells: DataFrame, sets: DataFrame, known, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the cells as what sets them apart from their cell's pivot, and links that follow from that alone.
+
+    The pivot has the n-grams of most of a few members. For any pivot, sets a and b differ in |A| + |B| - 2 |A & B|
+    n-grams, A and B being their differences from it. With w = (p + q) |A| - (q - p) n they link when
+    w(a) + w(b) <= 2 (p + q) |A & B|. So all that link for their w alone link with the member of least w, and other
+    partners share n-grams of A and B: first those that few have, then those that others have and they lack.
+    """
+    some = cells.groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(SAMPLE)).alias("nth")).agg(F.min_by("node", F.xxhash64("node", F.lit(1))).alias("node"))
+
+    def agree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        gram, n = np.unique(np.concatenate([np.frombuffer(x, ">u8") for x in rows["grams"]]), return_counts=True)
+        return pd.DataFrame({"cell": [key[0]], "pivot": [gram[n * 2 > len(rows)].astype(">u8").tobytes()]})
+
+    pivots = materialize(_small(some, NODES).join(sets, "node").select("cell", "grams").groupBy("cell").applyInPandas(agree, "cell long, pivot binary"), "jaccard_pivots")
+    size = pivots.agg(F.sum(F.octet_length("pivot") + 64)).first()[0] or 0
+    placed = _small(cells, NODES).join(sets, "node")
+    if size <= PIVOT_BYTES:
+        placed = placed.join(F.broadcast(pivots), "cell")
+    else:
+        salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = known.value[0]
         for batch in batches:
-            sizes = batch.column("prefix").value_lengths().to_numpy()
-            of = np.repeat(np.arange(batch.num_rows), sizes)
-            gram = batch.column("prefix").flatten().to_numpy().view(np.uint64)
-            pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.argsort(gram)
-            gram, of, pos = gram[order], of[order], pos[order].astype(np.int32)
-            node, n = batch.column("node").to_numpy()[of], batch.column("n").to_numpy()[of].astype(np.int32)
-            bucket = gram >> shift
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            cuts = list(zip(at, [*at[1:], len(bucket)], strict=True)) if len(at) else []
-            packed = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (gram, node, n, pos)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), *packed], names=["bucket", "gram", "node", "n", "pos"])
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"gram": np.int64, "node": np.int64, "n": np.int32, "pos": np.int32}
-        gram, node, n, pos = (np.frombuffer(b"".join(rows[c]), kind).astype(np.int64) for c, kind in kinds.items())
-        order = np.lexsort((n, gram))
-        gram, node, n, pos = gram[order], node[order], n[order], pos[order]
-        left, keep = n - pos, np.zeros(len(gram), bool)
-        able = lambda i, j: (np.minimum(left[i], left[j]) + np.maximum(n[i], n[j]) // SPARE) * (p + q) >= (n[i] + n[j]) * p
-        for d in range(1, 33):
-            i = np.flatnonzero(gram[d:] == gram[:-d])
-            if not len(i):
-                break
-            i = i[able(i, i + d)] if d < 32 else i  # larger groups stay whole
-            keep[i] = keep[i + d] = True
-            if d == 32:
-                keep |= np.isin(gram, gram[i])
-        return pd.DataFrame({"gram": gram[keep], "node": node[keep], "n": n[keep], "pos": pos[keep]})
-
-    packed = classes.select("node", "n", "prefix").mapInArrow(pack, "bucket long, gram binary, node binary, n binary, pos binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "gram long, node long, n long, pos long")
+            n, lists = [], []
+            for grams, pivot in zip(batch.column("grams"), batch.column("pivot"), strict=True):
+                grams, pivot = (np.frombuffer(x.as_buffer(), ">u8").astype(np.uint64) for x in (grams, pivot))
+                added, lacking = grams[~_among(grams, pivot)], pivot[~_among(pivot, np.sort(grams))]
+                common = _among(added, often)
+                n.append(len(grams))
+                lists.append(np.concatenate([added[~common], lacking, added[common]]).view(np.int64))
+            d = np.array([len(x) for x in lists], np.int64)
+            n = np.array(n, np.int64)
+            deltas = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(d)).astype(np.int32)), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("node"), pa.array(n), pa.array(d), pa.array((p + q) * d - (q - p) * n), deltas], names=["cell", "node", "n", "d", "w", "delta"])
+
+    deltas = materialize(placed.select("cell", "node", "grams", "pivot").mapInArrow(differ, "cell long, node long, n long, d long, w long, delta array<long>"), "jaccard_deltas")
+    least = materialize(deltas.groupBy("cell").agg(F.min(F.struct("w", "node")).alias("least")).select("cell", F.col("least.w").alias("least_w"), F.col("least.node").alias("star")), "jaccard_stars")
+    near = deltas.join(_small(least, BROADCAST), "cell")
+    sure = F.col("w") + F.col("least_w") <= 0
+    stars = near.filter(sure & (F.col("node") != F.col("star"))).select(F.col("star").alias("a"), F.col("node").alias("b"))
+    stars = materialize(stars.distinct(), "jaccard_links")
+    # By the member of least w, and as similar sets differ from the pivot by about as much: w(b) >= w(a) - 2 (q - p) n(b).
+    by_least = F.ceil((F.col("w") + F.col("least_w")) / (2 * (p + q)))
+    by_size = F.ceil((F.col("w") - F.ceil(F.col("n") * (q * (q - p)) / p)) / (p + q))
+    shared = F.greatest(F.lit(1), by_least, by_size).cast("int")
+    upto = F.slice("delta", F.lit(1), F.greatest(F.lit(0), F.col("d").cast("int") - shared + 1))
+    root = F.when(sure, F.col("star")).otherwise(F.col("node")).alias("root")
+    members = materialize(near.select("cell", "node", "d", "w", root, F.posexplode(upto).alias("pos", "key")), "jaccard_members")
+    drop(pivots, deltas, least)
+    return members, stars
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in the ordered array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar; a is the probe, its partners come in blocks of about BLOCK."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select("a", "b", "block")
-    partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "grams").toDF("a", "block", "b", "grams")
-    probes = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", "grams").toDF("a", "block", "grams")  # toDF: columns of its own, for cogroup
+    """Those of the pairs (a, b, home) that are similar. Each set goes once to every home in which it is a pair's.
+
+    A home's pairs are mostly those of a family, so partners meet many probes. A task's group has as many homes as hold
+    about BLOCK pairs. What has no set here shares too few n-grams to be similar to anything.
+    """
+    n = pairs.count()
+    groups = n // BLOCK + 1
+    dealt = pairs.select(F.pmod(F.xxhash64("home"), F.lit(groups)).alias("part"), "a", "b")
+    nodes = dealt.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = (F.broadcast(nodes) if 2 * n <= NODES else nodes).join(sets, "node")
+    nodes = nodes.select("part", "node", "grams").toDF("part", "node", "grams")  # toDF: columns of its own, for cogroup
+
+    def verify(pairs: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        blobs, out = dict(zip(nodes["node"], nodes["grams"], strict=True)), []
+        for a, partners in pairs.groupby("a")["b"]:
+            if a in blobs:
+                probe = np.frombuffer(blobs[a], ">u8").astype(np.uint64)
+                out += [(a, b) for b in _walk(probe, [(b, blobs[b]) for b in partners if b in blobs], p, q)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("part").cogroup(nodes.groupBy("part")).applyInPandas(verify, "a long, b long")
+
 
-    def block(key: tuple, probe: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-        if probe.empty or partners.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        grams = np.frombuffer(probe["grams"].iloc[0], ">u8").astype(np.uint64)
-        return pd.DataFrame({"a": key[0], "b": np.array(_walk(grams, list(zip(partners["b"], partners["grams"], strict=True)), p, q), np.int64)})
+def _able(x: F.Column, y: F.Column, p: int, q: int) -> F.Column:
+    """Whether two members that meet in an n-gram can be similar by what is left from there on, and aren't known to be.
 
-    return probes.groupBy("a", "block").cogroup(partners.groupBy("a", "block")).applyInPandas(block, "a long, b long")
+    For the first n-grams that similar sets share, as many as their prefixes have to spare and one, this holds, so no pair
+    is lost.
+    """
+    left = F.least(x["d"] - x["pos"], y["d"] - y["pos"]) + F.greatest(x["spare"], y["spare"])
+    w = x["w"] + y["w"]
+    return (x["root"] != y["root"]) & (w > 0) & (left * (2 * (p + q)) >= w)
 
 
-def _able(x: str, y: str, p: int, q: int) -> F.Column:
-    """Whether two classes that meet in an n-gram can be similar: by their sizes and by what is left from there on.
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members x and y, each once, that meet in more n-grams than their prefixes have to spare.
 
-    x and y prefix the columns n and pos. For the first n-grams that similar sets share, as many as their prefixes have to
-    spare and one, this holds, so no pair is lost.
+    home is one of the homes that they meet in.
     """
-    n, m, i, j = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
-    return (F.least(n - i, m - j) + F.floor(F.greatest(n, m) / SPARE)) * (p + q) >= (n + m) * p
+    ends = F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), F.least("x.spare", "y.spare").alias("spare")
+    by = met.select(*ends, "home").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("spare").alias("spare"), F.min("home").alias("home"))
+    return by.filter("c > spare").select("a", "b", "home")
+
+
+def _links(groups: DataFrame, hot: DataFrame, sets: DataFrame, known, p: int, q: int) -> DataFrame:
+    """Links (a, b) whose components are those of all links, from small groups and the rows of large ones.
+
+    A large group becomes a cell of the next level: at first, one cell for all those in which the same member is first by
+    hash (they are mostly the same members), later one for those of the same members.
+    """
+    links, whole, level = None, groups, 0
+    member = F.struct("node", "d", "w", F.lit(0).cast("long").alias("spare"), "pos", "root")
+    while level < LEVELS:
+        by = hot.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("first"), F.bit_xor(F.xxhash64("node")).alias("same"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        by = by.filter("lo <> hi").select("key", F.xxhash64("same" if level else "first").alias("cell"))
+        cells = materialize(hot.join(_small(by, BROADCAST), "key").select("cell", "node").distinct(), "jaccard_cells")
+        if cells.isEmpty():
+            break
+        members, stars = _recentre(cells, sets, known, p, q)
+        links = stars if links is None else links.unionByName(stars)
+        drop(cells, hot)
+        rows = members.select(F.xxhash64("cell", "key").alias("key"), "node", "d", "w", "pos", "root")
+        groups, hot = _groups(rows, member)
+        drop(members)
+        whole, level = whole.unionByName(groups), level + 1
+
+    # First each group's members against one of them, where they share enough; then what is not joined by that.
+    x, y = F.col("x"), F.col("y")
+    first = F.array_min(F.transform("members", lambda m: F.named_struct(F.lit("h"), F.xxhash64(m["node"]), F.lit("m"), m)))["m"]
+    whole = whole.select(first.alias("first"), "members")
+    home = F.col("first.node").alias("home")
+    met = whole.select(F.col("first").alias("x"), F.explode("members").alias("y"), home).filter(_able(x, y, p, q))
+    tried = materialize(_pairs(met), "jaccard_pairs")
+    found = materialize(_verify(tried, sets, p, q), "jaccard_links")
+    links = found if links is None else links.unionByName(found)
+    labels = components(links)
+
+    met = whole.select(F.explode("members").alias("x"), "members", home)
+    met = met.select("x", F.explode(F.filter("members", lambda m: (m["node"] > x["node"]) & _able(x, m, p, q))).alias("y"), "home")
+    if level == LEVELS:
+        side = lambda c: hot.select("key", member.alias(c))
+        late = side("x").join(side("y"), "key").filter("y.node > x.node").filter(_able(x, y, p, q))
+        met = met.unionByName(late.select("x", "y", F.col("y.node").alias("home")))
+    pairs = _pairs(met).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    for end in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    pairs = materialize(pairs.filter(apart).select("a", "b", "home"), "jaccard_pairs")
+    found = materialize(_verify(pairs, sets, p, q), "jaccard_links")
+    drop(tried, pairs, hot)
+    return links.unionByName(found)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -226,16 +342,20 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
             node = pa.array(_nodes(grams, bounds), mask=n == 0)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), node, prefix], names=["doc_id", "n", "node", "prefix"])
 
-    documents = materialize(rows.mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>"), "jaccard_documents")
-    by_set = documents.filter(F.col("node").isNotNull()).groupBy("node")
-    classes = materialize(by_set.agg(F.min("doc_id").alias("least")), "jaccard_classes")
-    met = materialize(_meetings(by_set.agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), p, q), "jaccard_meetings")
+    with_prefix = materialize(rows.mapInArrow(prefixes, "doc_id long, n long, node long, prefix array<long>"), "jaccard_prefixes")
+    by_set = with_prefix.filter(F.col("node").isNotNull()).groupBy("node")
+    classes = materialize(by_set.agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard_classes")
+    documents, least = materialize(with_prefix.drop("prefix"), "jaccard_documents"), materialize(classes.select("node", "least"), "jaccard_least")
+    drop(with_prefix)
+    n = F.col("n")
+    as_member = n.alias("d"), (2 * p * n).alias("w"), F.floor(n / SPARE).alias("spare"), "pos", F.col("node").alias("root")
+    groups, hot = _groups(classes.select("node", "n", F.posexplode("prefix").alias("pos", "key")), F.struct("node", *as_member))
+    drop(classes)
     # A partner has p/q of a set's n-grams at least, and a prefix longer accordingly: so many n-grams they share.
-    often = met.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") > F.floor(F.ceil(F.col("n") * p / q) / SPARE))
-    members = materialize(met.join(often.select("node"), "node", "left_semi"), "jaccard_members")
-    wanted = materialize(members.select("node").distinct().join(classes, "node"), "jaccard_wanted")
+    met = groups.select(F.inline("members")).select("node", "d").unionByName(hot.select("node", n.alias("d"))).groupBy("node").agg(F.count("*").alias("c"), F.first("d").alias("n"))
+    wanted = materialize(met.filter(F.col("c") > F.floor(F.ceil(n * p / q) / SPARE)).select("node").join(least, "node"), "jaccard_wanted")
     ids = wanted.select(F.col("least").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST else ids
+    ids = _small(ids, BROADCAST)
     texts = rows.join(ids, "doc_id", "left_semi").unionByName(rows.filter("doc_id IS NULL"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,53 +364,17 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
             blobs = [grams[a:b].astype(">u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(_nodes(grams, bounds)), pa.array(blobs, pa.binary())], names=["node", "grams"])
 
-    sets = materialize(texts.select("text").mapInArrow(whole, "node long, grams binary"), "jaccard_sets")
-    drop(met)
-
-    # Rounds against one member of each n-gram's largest component; then all candidates between components.
-    links, labels, few = None, None, MANY * members.count()
-    for seed in range(ROUNDS + 1):
-        open_ = members.withColumn("root", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = open_.groupBy("gram", "root").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(seed))).alias("one"))
-        largest = F.max(F.struct("c", F.xxhash64("root", F.lit(seed)).alias("h"), "root", "one"))
-        groups = parts.groupBy("gram").agg(F.sum("c").alias("c"), F.count("*").alias("roots"), largest.alias("top")).filter("roots > 1")
-        groups = materialize(groups.select("gram", "c", F.col("top.c").alias("top_c"), F.col("top.root").alias("top_root"), F.col("top.one").alias("one")), "jaccard_groups")
-        left = groups.agg(F.sum(F.col("c") * (F.col("c") - F.col("top_c")))).first()[0]
-        if not left:
-            break
-        met = met_all = open_.join(groups.select("gram", "top_root", "one"), "gram")
-        last = seed == ROUNDS or 0 < seed and (left <= few or idle)
-        if last:
-            rest = materialize(met.drop("one"), "jaccard_open")
-            x, y = (rest.select("gram", F.col("top_root").alias(f"{side}_top"), *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "pos", "root"))) for side in "xy")
-            larger = F.struct("x_n", "x_node") > F.struct("y_n", "y_node")
-            # One side outside the largest component, within which there is nothing to find; each pair and n-gram once.
-            once = (F.col("y_root") == F.col("y_top")) | larger
-            pairs = x.filter("x_root <> x_top").join(y, "gram").filter(F.col("x_root") != F.col("y_root")).filter(once).filter(_able("x_", "y_", p, q))
-            pairs = pairs.select(F.when(larger, F.col("x_node")).otherwise(F.col("y_node")).alias("a"), F.when(larger, F.col("y_node")).otherwise(F.col("x_node")).alias("b"), F.least("x_n", "y_n").alias("n"))
-            pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") > F.floor(F.col("n") / SPARE)).select("a", "b")
-        else:
-            met = met.filter(F.col("root") != F.col("top_root")).select("*", *(F.col(f"one.{c}").alias(f"one_{c}") for c in ("node", "n", "pos"))).filter(_able("", "one_", p, q))
-            pairs = met.select(F.col("one_node").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = materialize(pairs, "jaccard_pairs")
-        found = materialize(_verify(pairs, sets, p, q), "jaccard_links")
-        idle = found.count() * 10 < pairs.count()  # few of what is left will link
-        links = found if links is None else links.unionByName(found)
-        if labels is not None:
-            drop(labels)
-        labels = components(links)
-        members = materialize(met_all.select("gram", "node", "n", "pos"), "jaccard_members")  # what is joined by now needs no more looks
-        drop(pairs, groups)
-        if last:
-            break
-
-    least = classes
-    if labels is not None:
-        joined = labels.join(least, "node")
-        roots = joined.groupBy("root").agg(F.min("least").alias("id"))
-        linked = joined.join(roots, "root").select("node", "id")
-        least = least.join(linked, "node", "left").select("node", F.coalesce("id", "least").alias("least"))
-    ids = documents.select("doc_id", "n", "node").join(least, "node", "left")
+    sets = texts.select("text").mapInArrow(whole, "node long, grams binary")
+    sets = materialize(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard_sets")
+    hot = hot.join(wanted.select("node"), "node", "left_semi").select("key", "node", *as_member)
+
+    links = _links(groups, materialize(hot, "jaccard_hot"), sets, known, p, q)
+    drop(sets, wanted, groups)
+    joined = components(links).join(least, "node")
+    roots = joined.groupBy("root").agg(F.min("least").alias("id"))
+    linked = joined.join(roots, "root").select("node", "id")
+    least = least.join(linked, "node", "left").select("node", F.coalesce("id", "least").alias("least"))
+    ids = documents.join(least, "node", "left")
     return ids.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -299,8 +383,11 @@ def drop_similar(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (
 
     Rows without a doc_id or text stay. Rows that share a doc_id stay or go together.
     """
-    gone = similar_groups(docs, size, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs.columns)
+    with scratch(docs.sparkSession):
+        gone = similar_groups(docs, size, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+        gone = materialize(gone, "jaccard_gone", keep=True)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
