@@ -149,7 +149,7 @@ QUERIES = {
         lambda s, d: reviews.linspace_rows(_rows(s, d), 28).select("video_id", "id", "frame"),
         sql("SELECT video_id, id, frame FROM nth WHERE c <= 28 OR EXISTS (SELECT 1 FROM (SELECT unnest(range(28)) AS j) js WHERE round_even(j * (c - 1) / 27, 0) = i)", **CTES),
     ),
-    "open_zone_filter": (
+    "zone_filter": (
         lambda s, d: reviews.in_zone(_rows(s, d).filter("cls = 0"), (500.0, 1200.0, 300.0, 900.0), 0.1, 250.0).select("video_id", "id", "frame"),
         sql("SELECT video_id, id, frame FROM spots WHERE cls = 0 AND x > 500 AND x < 1200 AND y > 300 AND y < 900 AND y > 250 + x * 0.1", **CTES),
     ),
