@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -113,3 +114,35 @@ def repeats(docs, least, lines=False):
             start = out[k].pop()[0] if i - 1 in gone else us[i][0][1]
             out[k].append((start, stop))
     return out
+
+
+def runs(words, least=12):
+    """(start, length, period) of all runs, by trying all periods."""
+    out = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            s = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if i - s >= q and i + q - s >= least:
+                out.setdefault((s, i + q), q)
+            i += 1
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def run_row(doc_id, text):
+    """What op11 returns of a document, without its id."""
+    w = WORD.findall(text or "")
+    n, h = len(w), zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+    found = runs(w)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    s, length, q = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+    listed = "".join(f"{a},{b},{c}\n" for a, b, c in found)
+    text = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return len(found), s, length, q, found and 1000 * length // q or None, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()

@@ -10,6 +10,7 @@ from trajlake.llm import (
     lm_scoring,
     mixing,
     ngram_jaccard,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     substring_dedup,
@@ -27,5 +28,6 @@ QUERIES = {
     "op8_decontamination": (decontamination.op8_decontamination, decontamination.SQL),
     "op9_language_id": (language_id.op9_language_id, language_id.SQL),
     "op10_quality_classifier": (quality_classifier.op10_quality_classifier, quality_classifier.SQL),
+    "op11_periodic_runs": (periodic_runs.op11_periodic_runs, periodic_runs.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
