@@ -10,6 +10,7 @@ from trajlake.llm import (
     lm_scoring,
     mixing,
     ngram_jaccard,
+    packing,
     periodic_runs,
     quality_classifier,
     quality_rules,
@@ -29,5 +30,6 @@ QUERIES = {
     "op9_language_id": (language_id.op9_language_id, language_id.SQL),
     "op10_quality_classifier": (quality_classifier.op10_quality_classifier, quality_classifier.SQL),
     "op11_periodic_runs": (periodic_runs.op11_periodic_runs, periodic_runs.SQL),
+    "op12_packing": (packing.op12_packing, packing.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
