@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajlake.llm import _text
-from trajlake.llm._shared import materialize
+from trajlake.llm._shared import materialize, scratch
 
 #: Words whose ids a worker keeps; with more it begins anew.
 KNOWN = 2_000_000
@@ -218,8 +218,9 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    with scratch(spark):
+        pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        return materialize(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"), "packed_pieces", keep=True)
 
 
 #: SQL has no tokenizer; tests hold the result against a plain version and read all documents back from the sequences.

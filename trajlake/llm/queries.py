@@ -16,6 +16,7 @@ from trajlake.llm import (
     quality_rules,
     substring_dedup,
     url_filters,
+    whitening,
 )
 
 QUERIES = {
@@ -31,5 +32,6 @@ QUERIES = {
     "op10_quality_classifier": (quality_classifier.op10_quality_classifier, quality_classifier.SQL),
     "op11_periodic_runs": (periodic_runs.op11_periodic_runs, periodic_runs.SQL),
     "op12_packing": (packing.op12_packing, packing.SQL),
+    "op13_embedding_whitening": (whitening.op13_embedding_whitening, whitening.SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
