@@ -4,11 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from trajlake.functions import intervals
 from trajlake.operators import checks, lookups, matching, risk
 from trajlake.operators.asof import forward
 from trajlake.operators.lamps import lamp_counts
 from trajlake.plans import reviews
-from trajlake.plans.features import motion
+from trajlake.plans.features import extract_features, motion
 from trajlake.sources import adapters, files, labels_json
 from trajlake.sources.scene import crossroads
 from trajlake.streaming import counts, state
@@ -109,27 +110,87 @@ def test_sampled_tracks_are_bounded(spark):
     assert len(found) == 72 and all(len(r.path) == 24 and r.path[0].x == 0 and r.path[-1].x == 29 for r in found)
 
 
-def _feed(spark, tmp_path, schema, *batches):
-    """A stream of files that come one after another."""
-    path = f"file://{tmp_path}/feed"
+def _feed(spark, tmp_path, schema, *batches, t="t"):
+    """A stream of files that come one after another, the last one without values but far later."""
+    path = f"file://{tmp_path}/feed-{len(list(tmp_path.iterdir()))}"
     for rows in batches:
-        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros(F.lit(1_577_836_800_000_000) + (F.col("t") * 1_000_000).cast("long"))).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame(rows, schema).withColumn("ts", counts.at_time(t)).coalesce(1).write.mode("append").parquet(path)
+    beat = spark.createDataFrame([(50_000.0,)], "x double").withColumn("ts", counts.at_time("x")).drop("x")
+    spark.createDataFrame([], schema).withColumn("ts", F.lit(None).cast("timestamp")).unionByName(beat, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_changes_of_a_stream_without_late_rows(spark, tmp_path):
-    feed = _feed(spark, tmp_path, "video_id long, t double, state string", [(1, 1.0, "R"), (1, 2.0, "R"), (2, 1.0, "G")], [(1, 1.5, "G"), (1, 3.0, "R"), (1, 4.0, "G")])
+def test_changes_of_a_stream_that_comes_in_any_order(spark, tmp_path):
+    one, two, three = [(1, 1.0, "R"), (1, 2.0, "R"), (2, 1.0, "G")], [(1, 1.5, "G"), (1, 30.0, "R"), (1, 40.0, "G")], [(1, 35.0, "Y"), (1, 3.0, "Y")]
+    feed = _feed(spark, tmp_path, "video_id long, t double, state string", one, two, [(1, 41.0, None)], three)
     found = counts.run_to_end(state.change_points(feed), spark, "append")
-    assert sorted((r.video_id, r.t, r.state) for r in found.collect()) == [(1, 1.0, "R"), (1, 4.0, "G"), (2, 1.0, "G")]
+    assert sorted((r.video_id, r.t, r.state or "") for r in found.collect()) == [(1, 1.0, "R"), (1, 1.5, "G"), (1, 2.0, "R"), (1, 35.0, "Y"), (1, 40.0, "G"), (1, 41.0, ""), (2, 1.0, "G")]
 
 
 def test_alarms_of_a_stream(spark, tmp_path):
     scores = [0.9, 0.9, 0.1, 0.9, 0.1, 0.1, 0.1, 0.1, 0.6, 0.7]
     rows = [(1, i * 0.5, x) for i, x in enumerate(scores)]
-    feed = _feed(spark, tmp_path, "video_id long, t double, score double", rows[:2], rows[2:])
+    feed = _feed(spark, tmp_path, "video_id long, t double, score double", rows[2:5], rows[:2] + rows[5:])
     assert sorted(r.t for r in counts.run_to_end(state.alarms(feed), spark, "append").collect()) == [0.0, 4.0]
 
 
+def test_sessions_keep_just_the_gap_apart(spark, tmp_path):
+    r = random.Random(11)
+    rows = [(r.randrange(3), s / 4, s / 4 + r.randrange(5) / 4) for s in (r.randrange(240) for _ in range(60))]
+    rows = sorted(rows, key=lambda x: x[1] + r.random() * 4)
+    schema = "video_id long, start double, end double"
+    feed = _feed(spark, tmp_path, schema, rows[:20], rows[20:40], rows[40:], t="start")
+    found = counts.run_to_end(state.sessions_of(feed, ["video_id"], 0.5), spark, "append")
+    want = intervals.merge_intervals(spark.createDataFrame(rows, schema), ["video_id"], 0.5, 0.0)
+    assert sorted((x.video_id, x.start, x.end) for x in found.collect()) == sorted((x.video_id, x.start, x.end) for x in want.collect())
+    assert found.agg(F.sum("n")).first()[0] == sum(e > s for _, s, e in rows)
+
+
+def _moves(n=4, frames=40):
+    """Tracks of two videos that stop, vanish and come back, some with a row or two."""
+    r, rows = random.Random(5), []
+    for v in (1, 2):
+        for k in range(n):
+            x, speed = r.randrange(900, 2500), r.randrange(20, 120)
+            for f in range(k, 1 if k == 0 and v == 1 else frames, r.choice([2, 2, 3])):
+                speed = 0 if r.random() < 0.1 else r.randrange(200) if r.random() < 0.2 else speed
+                x += speed
+                if r.random() < 0.85:
+                    rows.append((v, f * 3, f / 10, k, [2, 0, 3, 7][k % 4], 0.9, float(x), 900.0 + 40 * k, x + 90.0, 990.0 + 40 * k))
+    return rows
+
+
+def _scattered(rows, stretch, seed):
+    """The rows in batches, many of them out of order, none more than two stretches."""
+    r = random.Random(seed)
+    by = sorted(rows, key=lambda x: x[2] + r.random() * 1.5 * stretch)
+    return [by[k::1][: len(by) // 4] if k + len(by) // 4 < len(by) else by[k:] for k in range(0, len(by), len(by) // 4)]
+
+
+def test_features_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    rows = _moves()
+    feed = _feed(spark, tmp_path, adapters.TRACKS, *_scattered(rows, 1.0, 1))
+    found = counts.run_to_end(state.stream_features(feed, crossroads(), adapters.SOURCE_SIZE), spark, "append")
+    want = extract_features(spark.createDataFrame(rows, adapters.TRACKS), crossroads(), adapters.SOURCE_SIZE)
+    names = sorted(want.columns)
+    assert sorted(found.columns) == names
+    near = lambda df: sorted((tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.select("video_id", "id", "frame", *names).collect()), key=lambda r: r[:3])
+    assert near(found) == near(want)
+
+
+def test_risk_of_a_stream_is_that_of_the_table(spark, tmp_path):
+    rows, lamps = _moves(), [(v, f, f / 30, "GRRR?"[f // 24 % 5], 0, 0, 0) for v in (1, 2, 3) for f in range(0, 120, 2)]
+    tracks, signals = spark.createDataFrame(rows, adapters.TRACKS), spark.createDataFrame(lamps, adapters.SIGNALS)
+    scores = risk.sample_scores(tracks, signals, crossroads(), adapters.SOURCE_SIZE)
+    want = {(r.video_id, r.frame): r.score for r in risk.risk_curve(signals.select("video_id", "frame", "t"), scores).collect()}
+    live = state.stream_risk(
+        _feed(spark, tmp_path, adapters.TRACKS, *_scattered(rows, 1.0, 2)), _feed(spark, tmp_path, adapters.SIGNALS, *_scattered(lamps, 1.0, 3)), crossroads(), adapters.SOURCE_SIZE
+    )
+    found = {(r.video_id, r.frame): r.score for r in counts.run_to_end(live, spark, "append").collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert len({round(x, 6) for x in want.values()}) > 10 and {r.braking for r in risk.braking(risk.causal_motion(tracks, crossroads(), adapters.SOURCE_SIZE), signals.select("video_id", "t")).collect()}
+
+
 def test_windows_are_told_once_and_late_rows_dropped(spark, tmp_path):
     day = 86_400.0
     schema = "event_id long, t double, user_id long, event_type string, value double"

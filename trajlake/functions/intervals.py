@@ -1,11 +1,47 @@
-"""Interval algebra: gaps and islands by window functions. Rules about equality at the gap are each operator's own."""
+"""Interval algebra: gaps and islands by scans in segments of time. Rules about equality at the gap are each operator's own."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trajlake.sources.files import materialize
+
+
+#: Seconds of a segment: what is ordered at once of a group.
+SEGMENT = 600.0
+
+
+def segment(t: str, width: float = SEGMENT) -> Column:
+    return F.floor(F.col(t) / width)
+
+
+def scanned(rows: DataFrame, keys: list[str], order: list, name: str, value: Column, how: str, before: bool = False) -> DataFrame:
+    """rows with a running aggregate of value in a group's order: how is sum, max or last (the last that isn't null).
+
+    rows has __seg, a stretch of the order. Each stretch of a group is scanned on its own, its total is carried to those after it
+    by a second pass over one row a stretch, and both are put together; so no task holds more than a stretch, or a group's list
+    of stretches. With before, a row's own value isn't in. Groups with null keys are groups. rows are read twice: give a table.
+    """
+    agg = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    in_order = W.partitionBy(*keys, "__seg").orderBy(*order)
+    inner = agg(value).over(in_order.rowsBetween(W.unboundedPreceding, -1 if before else 0))
+    if how == "last":
+        place = F.struct(*(F.col(c) if isinstance(c, str) else c for c in order))
+        total = F.max_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), place))
+    else:
+        total = agg(value)
+    earlier = W.partitionBy(*keys).orderBy("__seg").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__seg").agg(total.alias("__total")).withColumn("__carry", agg("__total").over(earlier))
+    totals = totals.select(*(F.col(c).alias(f"__k_{c}") for c in keys), F.col("__seg").alias("__k_seg"), "__carry")
+    same = reduce(lambda a, b: a & b, [*(F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in keys), F.col("__seg") == F.col("__k_seg")])
+    both = rows.withColumn("__inner", inner).join(totals, same, "left").drop(*(f"__k_{c}" for c in keys), "__k_seg")
+    joined = {"sum": F.coalesce("__inner", F.lit(0)) + F.coalesce("__carry", F.lit(0)), "max": F.greatest("__inner", "__carry"), "last": F.coalesce("__inner", "__carry")}[how]
+    return both.withColumn(name, joined).drop("__inner", "__carry")
+
 
 def sample_step(rows: DataFrame, keys: list[str], fallback: float = 0.1) -> DataFrame:
     """keys and step: the median difference of a group's distinct times."""
@@ -20,20 +56,21 @@ def mask_intervals(rows: DataFrame, keys: list[str], mask: Column, gap: float =
     A run ends a sampling step after its last row. Rows that aren't under the mask count for the step but split nothing.
     steps has step by some of the keys, where it is known.
     """
-    by = W.partitionBy(*keys).orderBy("t")
     steps = sample_step(rows, keys) if steps is None else steps
-    hits = rows.withColumn("hit", mask).filter("hit").select(*keys, "t").join(steps, [c for c in keys if c in steps.columns])
-    last = F.lag("t").over(by) + F.col("step")
-    new = hits.withColumn("new", F.when(F.col("t") - last <= gap, 0).otherwise(1))
-    runs = new.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    hits = rows.withColumn("hit", mask).filter("hit").select(*keys, "t").join(steps, [c for c in keys if c in steps.columns]).withColumn("__seg", segment("t"))
+    hits = materialize(hits, "mask_hits")
+    last = scanned(hits, keys, ["t"], "__last", F.col("t"), "max", before=True)
+    new = F.when(F.col("t") - (F.col("__last") + F.col("step")) <= gap, 0).otherwise(1)
+    runs = scanned(last.withColumn("__new", new), keys, ["t"], "run", F.col("__new"), "sum")
     return runs.groupBy(*keys, "run").agg(F.min("t").alias("start"), (F.max("t") + F.first("step")).alias("end")).drop("run")
 
 
 def _joined(rows: DataFrame, keys: list[str], opens) -> DataFrame:
-    by = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    new = rows.withColumn("new", F.when(reach.isNull() | opens(F.col("start"), reach), 1).otherwise(0))
-    runs = new.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["start", "end"]
+    rows = materialize(rows.withColumn("__seg", segment("start")), "spans")
+    reach = scanned(rows, keys, order, "__reach", F.col("end"), "max", before=True)
+    new = F.when(F.col("__reach").isNull() | opens(F.col("start"), F.col("__reach")), 1).otherwise(0)
+    runs = scanned(reach.withColumn("__new", new), keys, order, "run", F.col("__new"), "sum")
     return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 

@@ -1,4 +1,4 @@
-"""As-of lookups by union and one window a key, and lookups in a window of time by buckets: no unkeyed range join."""
+"""As-of lookups by union and a scan in segments of time, and lookups in a window of time by buckets: no unkeyed range join."""
 
 from __future__ import annotations
 
@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trajlake.functions.intervals import scanned, segment
+from trajlake.sources.files import materialize
 
-def _side_by_side(points: DataFrame, ticks: DataFrame, value: str) -> DataFrame:
+
+def _side_by_side(points: DataFrame, ticks: DataFrame, value: str, way: int) -> DataFrame:
     left = points.withColumns({"__tick": F.lit(0), "__v": F.lit(None).cast(ticks.schema[value].dataType)})
     right = ticks.select("video_id", "t", F.lit(1).alias("__tick"), F.col(value).alias("__v"))
-    return left.unionByName(right, allowMissingColumns=True)
+    return left.unionByName(right, allowMissingColumns=True).withColumns({"__at": F.col("t") * way, "__late": -F.col("__tick")}).withColumn("__seg", segment("__at"))
+
+
+def _looked_up(points: DataFrame, ticks: DataFrame, value: str, way: int) -> DataFrame:
+    both = materialize(_side_by_side(points, ticks, value, way), "side_by_side")
+    found = scanned(both, ["video_id"], ["__at", "__late"], "__found", F.col("__v"), "last")
+    return found.filter("__tick = 0").withColumn(value, F.col("__found")).drop("__tick", "__v", "__at", "__late", "__seg", "__found")
 
 
 def backward(points: DataFrame, ticks: DataFrame, value: str, default: Column | None = None) -> DataFrame:
     """points with the value of the last tick of their video at or before their time, else the default."""
-    by = W.partitionBy("video_id").orderBy("t", F.col("__tick").desc()).rowsBetween(W.unboundedPreceding, 0)
-    found = _side_by_side(points, ticks, value).withColumn(value, F.last("__v", ignorenulls=True).over(by))
-    out = found.filter("__tick = 0").drop("__tick", "__v")
+    out = _looked_up(points, ticks, value, 1)
     return out if default is None else out.withColumn(value, F.coalesce(value, default))
 
 
 def forward(points: DataFrame, ticks: DataFrame, value: str) -> DataFrame:
     """points with the value of the first tick of their video at or after their time, else null."""
-    by = W.partitionBy("video_id").orderBy(F.col("t").desc(), F.col("__tick").desc()).rowsBetween(W.unboundedPreceding, 0)
-    found = _side_by_side(points, ticks, value).withColumn(value, F.last("__v", ignorenulls=True).over(by))
-    return found.filter("__tick = 0").drop("__tick", "__v")
+    return _looked_up(points, ticks, value, -1)
 
 
 def within(points: DataFrame, ticks: DataFrame, reach: float) -> DataFrame:

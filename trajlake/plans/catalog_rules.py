@@ -111,7 +111,7 @@ QUERIES = {
     "rule_jaywalking": (_rule(lambda s, d: rules.jaywalking(_f(s, d), SCENE)), rule_sql(_out("jaywalking", "jaywalking"))),
     "crosswalk_occupancy": (_rule(lambda s, d: rules.crosswalk_occupancy(rules.without_riders(_f(s, d)), SCENE, True)), rule_sql('SELECT video_id, id, crossing, round(start, 4) AS start, round("end", 4) AS "end" FROM ped_stays')),
     "rule_failure_to_yield": (_rule(lambda s, d: rules.failure_to_yield(_f(s, d), SCENE)), rule_sql(_out("yielding", "failure_to_yield"))),
-    "front_crossings": (_rule(lambda s, d: rules.front_crossings(rules._approaching(_f(s, d)))), rule_sql("SELECT video_id, id, round(t, 4) AS t FROM crossed")),
+    "front_crossings": (_rule(lambda s, d: rules.front_crossings(rules.approaching(_f(s, d)))), rule_sql("SELECT video_id, id, round(t, 4) AS t FROM crossed")),
     "rule_red_light": (_rule(lambda s, d: rules.red_light(_f(s, d), _s(s, d), _d(s, d))), rule_sql(_out("red_light", "red_light"))),
     "rule_stop_line": (_rule(lambda s, d: rules.stop_line(_f(s, d), _s(s, d), _d(s, d))), rule_sql(_out("line_stops", "stop_line") + ' WHERE "end" - start >= 0.5')),
     "rule_stopped_vehicle": (_rule(lambda s, d: rules.stopped_vehicle(_f(s, d), _d(s, d))), rule_sql(_out("stopped", "stopped_vehicle"))),

@@ -12,6 +12,7 @@ from trajlake.functions import geometry as geo
 from trajlake.functions.intervals import hit_segments
 from trajlake.operators.motion import lagged_speed, projected_velocity
 from trajlake.plans.features import VEHICLES
+from trajlake.sources.files import materialize
 from trajlake.sources.scene import Scene
 
 TRACK = ["video_id", "id"]
@@ -27,7 +28,7 @@ def leads(rows: DataFrame, scene: Scene) -> DataFrame:
     x, y = F.col("cx"), F.col("foot_y")
     known = rows.groupBy(*TRACK).agg(F.count("*").alias("rows"), F.mode("cls", True).alias("mode")).filter("rows >= 3")
     on = {f"on_{k}": geo.inside(x, y, p) for k, p in scene.crosswalks.items()} | {f"road_{k}": geo.inside(x, y, p) for k, p in scene.carriageways.items()}
-    rows = rows.join(known, TRACK).withColumns(on).persist()
+    rows = materialize(rows.join(known, TRACK).withColumns(on), "lead_rows")
     persons, vehicles = rows.filter("mode = 0"), rows.filter(F.col("mode").isin(*VEHICLES))
     either = lambda names: reduce(lambda a, b: a | b, (F.col(n) for n in names))
     out = [_leads(persons, "crosswalk_person", F.col(f"on_{k}"), 0.5, 0.3, k) for k in scene.crosswalks]

@@ -12,6 +12,7 @@ from trajlake.functions import geometry as geo
 from trajlake.functions.intervals import mask_intervals, merge_events, merge_intervals, overlap_join, sample_step
 from trajlake.operators.asof import forward, stable_state, sustained_green
 from trajlake.plans.features import RIDDEN, VEHICLES
+from trajlake.sources.files import materialize
 from trajlake.sources.scene import Scene
 
 TRACK = ["video_id", "id"]
@@ -57,9 +58,12 @@ def without_riders(features: DataFrame) -> DataFrame:
 
 
 def _spanned(rows: DataFrame, spans: DataFrame, before: float, after: float) -> DataFrame:
-    """A track's rows in its spans, widened."""
+    """A track's rows in its spans, widened; both meet in buckets of time, so a long track's rows don't meet all its spans."""
+    width = 8.0
     s = spans.select(*TRACK, *(F.col(c).alias(f"s_{c}") for c in spans.columns if c not in TRACK))
-    return rows.join(s, TRACK).filter((F.col("t") >= F.col("s_start") - before) & (F.col("t") <= F.col("s_end") + after))
+    s = s.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s_start") - before) / width), F.floor((F.col("s_end") + after) / width))))
+    both = rows.withColumn("bucket", F.floor(F.col("t") / width)).join(s, [*TRACK, "bucket"]).drop("bucket")
+    return both.filter((F.col("t") >= F.col("s_start") - before) & (F.col("t") <= F.col("s_end") + after))
 
 
 def _travel(x: str, y: str) -> Column:
@@ -115,20 +119,21 @@ def failure_to_yield(features: DataFrame, scene: Scene, config: RuleConfig = Rul
     vehicles = _vehicles(features)
     moving = vehicles.groupBy(*TRACK).agg(F.count("*").alias("n"), F.expr("percentile(speed, 0.5)").alias("v"), _travel("cx", "cy").alias("d"), F.min_by("cls", at).alias("c0"))
     moving = moving.filter((F.col("n") >= 2) & (F.col("v") >= _fast("c0", config)) & (F.col("d") >= 8.0)).select(*TRACK)
-    rows = vehicles.join(moving, TRACK)
+    rows = materialize(vehicles.join(moving, TRACK).select(*TRACK, "frame", "t", "cls", "speed", *(f"{p}_{c}" for p in ("foot", "front", "rear") for c in "xy"), "cx", "cy"), "moving_vehicles")
     stays = crosswalk_occupancy(rows, scene, persons=False)
     local = _spanned(rows, stays, 0.12, 0.12).groupBy(*TRACK, "s_crossing", "s_start", "s_end").agg(F.count("*").alias("n"), F.expr("percentile(speed, 0.5)").alias("v"), _travel("cx", "cy").alias("d"), F.min_by("cls", at).alias("c0"))
     passing = local.filter((F.col("n") >= 2) & (F.col("v") >= _fast("c0", config)) & (F.col("d") >= 8.0))
     passing = passing.select("video_id", "id", F.col("s_crossing").alias("crossing"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
-    walking = crosswalk_occupancy(without_riders(features), scene, persons=True, margin=config.yield_margin).drop("id")
+    walkers = materialize(without_riders(features).select(*TRACK, "t", "foot_x", "foot_y"), "walkers")
+    walking = crosswalk_occupancy(walkers, scene, persons=True, margin=config.yield_margin).drop("id")
     return _events(overlap_join(passing, walking, ["video_id", "crossing"], 4.0, "left_semi"), "failure_to_yield")
 
 
-def _approaching(features: DataFrame) -> DataFrame:
-    """Vehicle rows of tracks of two rows or more that begin on the near road or off any, or queue at some time."""
-    vehicles = _vehicles(features)
+def approaching(features: DataFrame) -> DataFrame:
+    """Vehicle rows of tracks of two rows or more that begin on the near road or off any, or queue at some time; a table."""
+    vehicles = _vehicles(features).select(*TRACK, "frame", "t", "road_id", "in_queue", "speed", "front_stopline_signed")
     kept = vehicles.groupBy(*TRACK).agg(F.count("*").alias("n"), F.min_by(F.coalesce("road_id", F.lit("")), F.struct("t", "frame")).alias("road"), F.max("in_queue").alias("queued"), F.max("t").alias("last_t"))
-    return vehicles.join(kept.filter("n >= 2 AND (road IN ('near', '') OR queued)").select(*TRACK, "last_t"), TRACK)
+    return materialize(vehicles.join(kept.filter("n >= 2 AND (road IN ('near', '') OR queued)").select(*TRACK, "last_t"), TRACK), "approaching")
 
 
 def front_crossings(rows: DataFrame) -> DataFrame:
@@ -140,9 +145,11 @@ def front_crossings(rows: DataFrame) -> DataFrame:
     return before.filter("before < 12.0 AND front_stopline_signed >= 12.0").select(*TRACK, "t")
 
 
-def line_stops(features: DataFrame, signals: DataFrame, duration: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
-    """video_id, id, start and end: the first stop of a track just beyond the line, on red, that lasts to the next green."""
-    rows = _approaching(features)
+def line_stops(rows: DataFrame, signals: DataFrame, duration: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
+    """video_id, id, start and end: the first stop of a track just beyond the line, on red, that lasts to the next green.
+
+    rows come from approaching().
+    """
     past = rows.filter((F.col("speed") <= config.stop_speed) & F.col("front_stopline_signed").between(10.0, 48.0))
     stops = mask_intervals(past, TRACK, F.lit(True), gap=0.35).filter("end - start >= 0.65")
     stops = stable_state(stops.select(*TRACK, F.col("start").alias("t")), signals).filter("state = 'R'").drop("state")
@@ -156,16 +163,17 @@ def line_stops(features: DataFrame, signals: DataFrame, duration: DataFrame, con
 
 
 def stop_line(features: DataFrame, signals: DataFrame, duration: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
-    return _events(line_stops(features, signals, duration, config).filter(F.col("end") - F.col("start") >= config.event_seconds), "stop_line")
+    lamps = materialize(signals.select("video_id", "t", "state"), "lamps")
+    return _events(line_stops(approaching(features), lamps, duration, config).filter(F.col("end") - F.col("start") >= config.event_seconds), "stop_line")
 
 
 def red_light(features: DataFrame, signals: DataFrame, duration: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """A front that passes the line on red and goes on within 1.2 s; not for tracks that stop there, however short the stop."""
-    rows = _approaching(features)
+    rows, signals = approaching(features), materialize(signals.select("video_id", "t", "state"), "lamps")
     red = stable_state(front_crossings(rows), signals).filter("state = 'R'").drop("state")
     on = rows.filter("front_stopline_signed > 48.0 AND speed > 5.0").select(*TRACK, F.col("t").alias("u"))
     went = red.join(on, TRACK).filter("u >= t AND u <= t + 1.2").groupBy(*TRACK).agg(F.min("t").alias("start"))
-    went = went.join(line_stops(features, signals, duration, config), TRACK, "left_anti")
+    went = went.join(line_stops(rows, signals, duration, config), TRACK, "left_anti")
     went = went.join(rows.select(*TRACK, "last_t").distinct(), TRACK).join(duration, "video_id")
     return _events(went.withColumn("end", F.greatest(F.col("start") + 0.1, F.least("duration", F.col("last_t") + 0.1))), "red_light")
 

@@ -28,6 +28,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: what several jobs read is computed once, and survives a lost executor."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_tracks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tracks from a cache, of which each video is a folder; filters on video_id read no other one's files."""
     return spark.read.schema(schema).parquet(path)

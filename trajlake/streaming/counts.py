@@ -6,10 +6,11 @@ the state of closed windows goes. In complete mode all windows are kept and told
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.sources.files import new_folder
+from trajlake.sources.files import materialize, new_folder
+from trajlake.streaming.ordered import PROVIDER
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -34,8 +35,13 @@ def run_to_end(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={number}")
 
-    schema = stream.schema
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    schema, provider = stream.schema, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, PROVIDER)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema(schema).parquet(f"{out}/rows").select(*schema.names)
 
 
@@ -43,19 +49,30 @@ def run_to_end(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
 _BEGIN = 1_577_836_800_000_000
 
 
-def as_stream(rows: DataFrame, seconds: float) -> DataFrame:
-    """A stream of rows (video_id, t and others) with ts, in files that come one after another: each has some videos' rows of
-    a stretch of so many seconds, and later stretches come later."""
+def at_time(t: str) -> Column:
+    """The time of an event from its seconds since the feed's beginning."""
+    return F.timestamp_micros(F.lit(_BEGIN) + F.round(F.col(t) * 1_000_000).cast("long"))
+
+
+def as_stream(rows: DataFrame, seconds: float, t: str = "t", swap: bool = False) -> DataFrame:
+    """A stream of rows with ts, the time that t tells, from one file for each stretch of so many seconds, one a batch.
+
+    Stretches are counted from 0, so feeds of the same seconds go on together. A last file has a row without values three hours
+    later, as other cameras would send it, which moves the watermark past all rows. With swap, stretches 1 and 2, 3 and 4, ...
+    change places for every other row, as rows of a bad connection come late or early.
+    """
     spark, path = rows.sparkSession, new_folder(rows.sparkSession, "feed")
-    rows = rows.withColumn("ts", F.timestamp_micros(F.lit(_BEGIN) + F.round(F.col("t") * 1_000_000).cast("long")))
-    first, last = rows.agg(F.min("t"), F.max("t")).first()
-    if first is None:
-        rows.write.parquet(path)
-    else:
-        for k in range(int((last - first) // seconds) + 1):
-            stretch = rows.filter(F.floor((F.col("t") - first) / seconds) == k)
-            stretch.repartition("video_id").write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    rows = rows.withColumn("ts", at_time(t))
+    schema, stretch = rows.schema, F.floor(F.col(t) / seconds).cast("long")
+    if swap:
+        stretch = F.when((stretch > 0) & (F.crc32(F.col(t).cast("string")) % 2 == 0), stretch + F.when(stretch % 2 == 1, 1).otherwise(-1)).otherwise(stretch)
+    rows = materialize(rows.withColumn("__stretch", stretch), "feed_rows")
+    last = rows.agg(F.max("__stretch"), F.max(t)).first()
+    for k in range(-1 if last[0] is None else last[0] + 1):
+        rows.filter(F.col("__stretch") == k).drop("__stretch").coalesce(1).write.mode("append").parquet(path)
+    beat = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "ts"), F.timestamp_micros(F.lit(_BEGIN + int(((last[1] or 0) + 10_800) * 1_000_000))).alias("ts"))
+    beat.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"

@@ -1,116 +1,310 @@
-"""Streams that keep state by video: changes of a signal, alarms, and the risk curve.
+"""Operators of a live feed that keep state: features, risk, signal changes, alarms and sessions.
 
-Rows of a video are expected in the order of time, as a live feed gives them; in a batch they may stand in any order. A row
-that is not later than the last one of its video seen in an earlier batch is late and dropped, so the state of a video is
-a few values whatever the length of the stream. With a watermark on ts, what is known of a video that stays silent for the
-time given goes.
+All but the stream join are Ordered: rows may come out of order within the watermark's delay (late), and what is told is what
+the operator of the same name tells of the whole table, however the feed falls into batches. State is small: a few rows for each
+track or video, besides those that wait for the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Iterator
+from itertools import groupby
+from statistics import median
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from trajlake.functions import geometry as geo
 from trajlake.operators.risk import RiskConfig
+from trajlake.plans.features import VEHICLES, body_axis, membership, stop_line, to_scene
+from trajlake.sources.scene import Scene
+from trajlake.streaming.ordered import HOUR, Ordered, in_order
 
 CHANGES = "video_id long, t double, state string"
 ALARMS = "video_id long, t double"
 SCORES = "video_id long, frame long, t double, score double"
 
 
-def _watermarked(rows: DataFrame, silence: str):
-    return rows.withWatermark("ts", silence).groupBy("video_id")
+class Changes(Ordered):
+    """Samples at which the state is another than before."""
 
+    def start(self, handle) -> None:
+        self.known = handle.getValueState("known", "state string")
 
-def _new_rows(batches: Iterable[pd.DataFrame], last: float) -> pd.DataFrame | None:
-    parts = [x for x in batches if len(x)]
-    if not parts:
-        return None
-    rows = pd.concat(parts, ignore_index=True)
-    rows = rows[rows["t"] > last].sort_values("t", kind="stable", ignore_index=True)
-    return rows if len(rows) else None
+    def step(self, key, rows, now, ended) -> Iterator[Row]:
+        first = not self.known.exists()
+        known = None if first else self.known.get()[0]
+        for r in rows:
+            if first or r.state != known:
+                yield Row(video_id=key[0], t=r.t, state=r.state)
+            first, known = False, r.state
+        if rows:
+            self.known.update((known,))
 
+    def clear(self) -> None:
+        self.known.clear()
 
-def _wait(state: GroupState, silence_ms: int) -> None:
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + silence_ms)
 
-
-def change_points(samples: DataFrame, silence: str = "1 hour", silence_ms: int = 3_600_000) -> DataFrame:
+def change_points(samples: DataFrame, late: str = "10 seconds", silence: int = HOUR) -> DataFrame:
     """samples (video_id, t, state, ts) at which the state is another than before, and each video's first."""
+    return in_order(samples.select("video_id", "t", "state", "ts"), ["video_id"], Changes, CHANGES, late, silence=silence)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, known = state.get if state.exists else (-np.inf, "")
-        rows = _new_rows(batches, last)
-        if rows is None:
-            return
-        before = rows["state"].shift(fill_value=known)
-        yield rows[rows["state"] != before].assign(video_id=key[0])[["video_id", "t", "state"]]
-        state.update((float(rows["t"].iloc[-1]), str(rows["state"].iloc[-1])))
-        _wait(state, silence_ms)
 
-    by = _watermarked(samples, silence)
-    return by.applyInPandasWithState(step, CHANGES, "last double, state string", "append", GroupStateTimeout.EventTimeTimeout)
+class Alarms(Ordered):
+    """Where runs of high samples begin that lie max_gap or more behind the last high one."""
+
+    def __init__(self, schema: StructType, silence: int, threshold: float, max_gap: float) -> None:
+        super().__init__(schema, silence)
+        self.threshold, self.max_gap = threshold, max_gap
+
+    def start(self, handle) -> None:
+        self.last = handle.getValueState("last", "high boolean, hit double")
+
+    def step(self, key, rows, now, ended) -> Iterator[Row]:
+        high, hit = self.last.get() if self.last.exists() else (False, -math.inf)
+        for r in rows:
+            before, high = high, r.score is not None and r.score >= self.threshold
+            if high and not before and r.t - hit >= self.max_gap:
+                yield Row(video_id=key[0], t=r.t)
+            hit = r.t if high else hit
+        if rows:
+            self.last.update((high, hit))
 
+    def clear(self) -> None:
+        self.last.clear()
 
-def alarms(curve: DataFrame, threshold: float = 0.5, max_gap: float = 2.0, silence: str = "1 hour", silence_ms: int = 3_600_000) -> DataFrame:
-    """Where alarms begin (video_id, t) in a curve (video_id, t, score, ts), told when they do.
+
+def alarms(curve: DataFrame, threshold: float = 0.5, max_gap: float = 2.0, late: str = "10 seconds", silence: int = HOUR) -> DataFrame:
+    """Where alarms begin (video_id, t) in a curve (video_id, t, score, ts).
 
     An alarm is an unbroken run of samples at the threshold or above, or several less than max_gap apart.
     """
+    return in_order(curve.select("video_id", "t", "score", "ts"), ["video_id"], Alarms, ALARMS, late, threshold, max_gap, silence=silence)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, hit = state.get if state.exists else (-np.inf, -np.inf)  # the last sample, and the last one that was high
-        rows = _new_rows(batches, last)
-        if rows is None:
-            return
-        t, high = rows["t"].to_numpy(), (rows["score"] >= threshold).to_numpy()
-        before = np.concatenate([[last], t[:-1]])
-        hits = np.maximum.accumulate(np.concatenate([[hit], np.where(high, t, -np.inf)]))
-        goes_on = np.isfinite(before) & (hits[:-1] == before)
-        opens = high & ~goes_on & (t - hits[:-1] >= max_gap)
-        yield pd.DataFrame({"video_id": key[0], "t": t[opens]})
-        state.update((float(t[-1]), float(hits[-1])))
-        _wait(state, silence_ms)
 
-    by = _watermarked(curve, silence)
-    return by.applyInPandasWithState(step, ALARMS, "last double, hit double", "append", GroupStateTimeout.EventTimeTimeout)
+class Sessions(Ordered):
+    """Unions of intervals less than gap apart: told when the watermark is a gap behind their end."""
+
+    order = ("start", "end")
+
+    def __init__(self, schema: StructType, silence: int, keys: list[str], gap: float) -> None:
+        super().__init__(schema, silence)
+        self.keys, self.gap = keys, gap
 
+    def start(self, handle) -> None:
+        self.open = handle.getValueState("open", "start double, end double, n long, until long")
 
-def faded(samples: DataFrame, config: RiskConfig = RiskConfig(), silence: str = "1 hour", silence_ms: int = 3_600_000) -> DataFrame:
-    """The risk (video_id, frame, t, score) at each frame (video_id, frame, t, score, ts) of a live feed.
+    def step(self, key, rows, now, ended) -> Iterator[Row]:
+        held = self.open.get() if self.open.exists() else None
+        made = Row(*self.keys, "start", "end", "n")
+        told = lambda: made(*key, *held[:3])
+        for r in rows:
+            until = r.at + math.ceil((r.end - r.start + self.gap) * 1000)
+            if held and r.start - held[1] < self.gap:
+                held = (held[0], max(held[1], r.end), held[2] + 1, max(held[3], until))
+                continue
+            if held:
+                yield told()
+            held = (r.start, r.end, 1, until)
+        if held and now >= held[3]:
+            yield told()
+            held = None
+        if held:
+            self.open.update(held)
+            self.handle.registerTimer(held[3])
+        elif self.open.exists():
+            self.open.clear()
 
-    A frame that was looked at has a score, which holds; of the others, with none, the last score fades. 0 before the first.
+    def clear(self) -> None:
+        self.open.clear()
+
+
+def sessions_of(spans: DataFrame, keys: list[str], gap: float, late: str = "10 seconds", silence: int = HOUR) -> DataFrame:
+    """keys, start, end and n of the unions of intervals (keys, start, end, ts of the start) that lie less than gap apart.
+
+    Intervals just the gap apart stay apart. The time of silence must be longer than an interval and the gap.
     """
+    kinds = dict(spans.dtypes)
+    out = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "start double, end double, n long"])
+    rows = spans.select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "ts").filter("end > start OR ts IS NULL OR start IS NULL")
+    return in_order(rows, keys, Sessions, out, late, keys, gap, silence=silence)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, at, score = state.get if state.exists else (-np.inf, 0.0, 0.0)
-        rows = _new_rows(batches, last)
-        if rows is None:
+
+class Motion(Ordered):
+    """A track's rows with speed and heading, each when two more have come, the last two when the track ends.
+
+    Kept are the rows not told yet and two before them: a speed is the median of three differences of neighbours.
+    """
+
+    order = ("t", "frame")
+
+    def start(self, handle) -> None:
+        self.rows = handle.getListState("rows", self.schema)
+        self.told = handle.getValueState("told", "n int")
+
+    @staticmethod
+    def _finite(x: float) -> float:
+        return x if math.isfinite(x) else 0.0
+
+    def _difference(self, rows: list, i: int) -> tuple[float, float]:
+        """Speed and heading at a row from the rows beside it."""
+        before, own, after = rows[max(i - 1, 0)], rows[i], rows[min(i + 1, len(rows) - 1)]
+        step = []
+        for c in ("cx", "cy", "t"):
+            a, b, x = before[c], after[c], own[c]
+            a, b = (x if a is None else a), (x if b is None else b)
+            step.append(math.nan if a is None or b is None else b - a)
+        dt = 0.1 if len(rows) == 1 else max(step[2], 1e-3)
+        return self._finite(math.hypot(step[0], step[1]) / dt), self._finite(math.atan2(step[1], step[0]))
+
+    def step(self, key, rows, now, ended) -> Iterator[Row]:
+        held = [self.row(*r) for r in self.rows.get()] if self.rows.exists() else []
+        make = Row("video_id", "id", *self.row[1:], "speed", "heading_rad")
+        told = self.told.get()[0] if self.told.exists() else 0
+        held += rows
+        upto = len(held) if ended else max(told, len(held) - 2)
+        for i in range(told, upto):
+            near = [self._difference(held, j) for j in range(max(i - 1, 0), min(i + 2, len(held)))]
+            heading = near[min(i, 1)][1]
+            yield make(*key, *held[i][1:], float(median(x[0] for x in near)), heading)
+        if rows and not ended:
+            first = max(0, upto - 2)
+            self.rows.put([tuple(r) for r in held[first:]])
+            self.told.update((upto - first,))
+
+    def clear(self) -> None:
+        self.rows.clear()
+        self.told.clear()
+
+
+def stream_features(tracks: DataFrame, scene: Scene, source_size: tuple[int, int], late: str = "10 seconds", silence: int = HOUR) -> DataFrame:
+    """What extract_features gives of tracks with ts: positions and shapes by columns, motion by state.
+
+    The time of silence must be longer than a track's longest gap: after it a track is a new one.
+    """
+    rows = stop_line(body_axis(membership(to_scene(tracks, scene, source_size), scene), scene), scene)
+    kept = [f for f in rows.schema if f.name not in ("video_id", "id", "ts")]
+    out = StructType([rows.schema["video_id"], rows.schema["id"], *kept, StructField("speed", DoubleType()), StructField("heading_rad", DoubleType())])
+    return in_order(rows, ["video_id", "id"], Motion, out, late, silence=silence)
+
+
+class Risk(Ordered):
+    """Scores a video's frames from its tracks' last three samples and its signal, and fades the score in between.
+
+    Tracks are kept in map state until the video ends, those that brake in another map, which each frame reads as a whole: a
+    track that vanished while it braked counts until it is seen again.
+    """
+
+    order = ("t", "kind", "frame", "id")
+
+    def __init__(self, schema: StructType, silence: int, config: RiskConfig, along: tuple[float, float]) -> None:
+        super().__init__(schema, silence)
+        self.config, self.along = config, along
+
+    def start(self, handle) -> None:
+        self.tracks = handle.getMapState("tracks", "id long", "t double, x double, y double, v double")
+        self.braking = handle.getMapState("braking", "id long", "risk double")
+        self.last = handle.getValueState("last", "state string, at double, score double")
+
+    def _moved(self, r: Row, known: dict, brakes: dict) -> tuple[float, float]:
+        """The velocity of a track at a row; notes whether it brakes."""
+        c = self.config
+        x, y = (math.nan if v is None else v for v in (r.x, r.y))
+        if r.id not in known:
+            known[r.id] = self.tracks.getValue((r.id,)) if self.tracks.containsKey((r.id,)) else None
+        before, velocity, v = known[r.id], (0.0, 0.0), None
+        brakes.pop(r.id, None)
+        if before:
+            t, px, py, earlier = before
+            velocity = tuple((a - b) / max(1e-3, r.t - t) for a, b in ((x, px), (y, py)))
+            dt = max(0.1, r.t - t)
+            v = math.hypot(x - px, y - py) / dt
+            if earlier is not None and earlier >= c.braking_speed and (earlier - v) / dt >= c.braking_from:
+                brakes[r.id] = min(c.braking_most, c.braking_least + ((earlier - v) / dt - c.braking_from) / 100)
+        known[r.id] = (r.t, x, y, v)
+        return velocity
+
+    def _collision(self, rows: list[Row], velocities: list[tuple[float, float]]) -> float:
+        """The highest risk of two moving objects of a frame, not both persons."""
+        c, n = self.config, len(rows)
+        if n < 2:
+            return 0.0
+        at, v = np.array([(r.x, r.y) for r in rows], float), np.array(velocities)
+        radius, person = np.array([r.radius for r in rows], float), np.array([r.cls == 0 for r in rows])
+        i, j = np.triu_indices(n, 1)
+        d, dv = at[j] - at[i], v[j] - v[i]
+        closing = np.sum(dv * dv, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            after = -np.sum(d * dv, axis=1) / closing
+            gap = np.hypot(*(d + dv * after[:, None]).T) - radius[i] - radius[j]
+            fits = ~(person[i] & person[j]) & (closing >= 1e-5) & (after > 0) & (after <= c.horizon) & (gap <= c.clearance)
+        if not fits.any():
+            return 0.0
+        close = 1 / (1 + np.exp(np.clip((gap[fits] - 4.0) / 5.0, -40.0, 40.0)))
+        return float(np.max(close * np.exp(-after[fits] / 4.0) * c.collision_most))
+
+    def _violation(self, rows: list[Row], velocities: list[tuple[float, float]]) -> float:
+        best = 0.0
+        for r, v in zip(rows, velocities, strict=True):
+            if r.cls != 0 and r.in_junction:
+                best = max(best, self.config.on_red)
+            elif r.cls != 0 and r.approaches and (v[0] * self.along[0] + v[1] * self.along[1]) / max(math.hypot(*v), 1e-6) < -0.6:
+                best = max(best, self.config.wrong_way)
+        return best
+
+    def step(self, key, rows, now, ended) -> Iterator[Row]:
+        if not rows:
             return
-        t, known = rows["t"].to_numpy(), rows["score"].notna().to_numpy()
-        nth = np.cumsum(known)  # of the scores so far, the one that counts; 0 is the state's
-        ats, scores = np.concatenate([[at], t[known]]), np.concatenate([[score], rows["score"].to_numpy(float)[known]])
-        now = np.clip(scores[nth] * np.exp(-(t - ats[nth]) / config.fade), 0.0, 1.0)
-        yield pd.DataFrame({"video_id": key[0], "frame": rows["frame"], "t": t, "score": now})
-        state.update((float(t[-1]), float(ats[-1]), float(scores[-1])))
-        _wait(state, silence_ms)
-
-    by = _watermarked(samples, silence)
-    return by.applyInPandasWithState(step, SCORES, "last double, at double, score double", "append", GroupStateTimeout.EventTimeTimeout)
+        state, at, score = self.last.get() if self.last.exists() else ("?", None, 0.0)
+        known: dict = {}
+        brakes = {k[0]: v[0] for k, v in self.braking.iterator()} if self.braking.exists() else {}
+        held = dict(brakes)
+        for (t,), group in groupby(rows, key=lambda r: (r.t,)):
+            group = list(group)
+            ticks, seen = [r for r in group if r.kind == 0], [r for r in group if r.kind == 1]
+            state = ticks[-1].state if ticks else state
+            if seen:
+                objects = [r for r in seen if r.counts]
+                velocities = [self._moved(r, known, brakes) for r in objects]
+                fast = [k for k, v in enumerate(velocities) if math.hypot(*v) >= self.config.moving]
+                moving, speeds = [objects[k] for k in fast], [velocities[k] for k in fast]
+                rule = self._violation(moving, speeds) if state == "R" else 0.0
+                at, score = t, max(0.0, min(1.0, max(self._collision(moving, speeds), rule, *brakes.values(), 0.0)))
+            for r in ticks:
+                yield Row(video_id=key[0], frame=r.frame, t=t, score=0.0 if at is None else score * math.exp(-(t - at) / self.config.fade))
+        for k, v in known.items():
+            self.tracks.updateValue((k,), v)
+        for k in held.keys() - brakes.keys():
+            self.braking.removeKey((k,))
+        for k, v in brakes.items():
+            if held.get(k) != v:
+                self.braking.updateValue((k,), (v,))
+        self.last.update((state, at, score))
+
+    def clear(self) -> None:
+        for s in (self.tracks, self.braking, self.last):
+            s.clear()
+
+
+def stream_risk(tracks: DataFrame, signals: DataFrame, scene: Scene, source_size: tuple[int, int], config: RiskConfig = RiskConfig(), late: str = "10 seconds", silence: int = HOUR) -> DataFrame:
+    """The risk (video_id, frame, t, score) at each signal sample (video_id, frame, t, state, ts), from raw tracks with ts.
+
+    What risk_curve gives of the samples' scores: all that comes up to a sample counts, and nothing later.
+    """
+    rows = to_scene(tracks, scene, source_size)
+    wide, high = (F.col("x2") - F.col("x1")) * F.col("scale_x"), (F.col("y2") - F.col("y1")) * F.col("scale_y")
+    inside = lambda shape: F.coalesce(geo.inside(F.col("cx"), F.col("foot_y"), shape), F.lit(False))
+    seen = rows.select(
+        "video_id", F.lit(1).alias("kind"), "frame", "t", "id", "cls", F.col("cx").alias("x"), F.col("foot_y").alias("y"),
+        F.greatest(F.lit(6.0), F.hypot(wide, high) * 0.25).alias("radius"), ((F.col("cls") == 0) | F.col("cls").isin(*VEHICLES)).alias("counts"),
+        inside(scene.junction).alias("in_junction"), inside(scene.carriageways["near"]).alias("approaches"), F.lit(None).cast("string").alias("state"), "ts",
+    )
+    ticks = signals.select("video_id", F.lit(0).alias("kind"), "frame", "t", F.lit(0).cast("long").alias("id"), "state", "ts")
+    both = seen.unionByName(ticks, allowMissingColumns=True)
+    return in_order(both, ["video_id"], Risk, SCORES, late, config, tuple(scene.directions["near"]), silence=silence)
 
 
 def signals_near(points: DataFrame, samples: DataFrame, reach: float = 0.18, late: str = "10 seconds") -> DataFrame:
