@@ -37,12 +37,29 @@ def inside(x: Column, y: Column, polygon: Points, margin: float = 0.0) -> Column
     """
     if len(polygon) < 3:
         return F.lit(False)
+    xs, ys = zip(*polygon, strict=True)
+    near = x.between(min(xs) - margin, max(xs) + margin) & y.between(min(ys) - margin, max(ys) + margin)
     edges = _edges(polygon, closed=True)
     crossed = [((F.lit(ay) > y) != (F.lit(by) > y)) & (x < F.lit(bx - ax) * (y - ay) / F.lit(by - ay + 1e-12) + ax) for ax, ay, bx, by in edges]
     odd = reduce(lambda a, b: a != b, crossed)
-    if margin <= 0:
-        return odd
-    return odd | (F.least(*(_square(x, y, _nearest(x, y, e)) for e in edges)) <= margin * margin)
+    return near & (odd if margin <= 0 else odd | _close(x, y, edges, margin))
+
+
+def _close(x: Column, y: Column, edges: list[tuple[float, float, float, float]], margin: float) -> Column:
+    """Whether the point lies at most margin from one of the segments.
+
+    Few points come to this test, as those outside the polygon's box and those inside the polygon don't. So it goes over an array of
+    segments, with little code: all segments spelled out make a method too long to be compiled.
+    """
+    items = [F.struct(*(F.lit(float(v)).alias(n) for n, v in (("ax", ax), ("ay", ay), ("dx", bx - ax), ("dy", by - ay), ("square", (bx - ax) ** 2 + (by - ay) ** 2)))) for ax, ay, bx, by in edges]
+
+    def near(e):
+        along = ((x - e["ax"]) * e["dx"] + (y - e["ay"]) * e["dy"]) / F.when(e["square"] > 0, e["square"]).otherwise(1.0)
+        u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        qx, qy = e["ax"] + u * e["dx"], e["ay"] + u * e["dy"]
+        return (x - qx) * (x - qx) + (y - qy) * (y - qy) <= margin * margin
+
+    return F.exists(F.array(*items), near)
 
 
 def first_of(x: Column, y: Column, shapes: dict[str, Points], margin: float = 0.0) -> Column:

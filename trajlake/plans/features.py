@@ -22,7 +22,8 @@ def to_scene(tracks: DataFrame, scene: Scene, source_size: tuple[int, int]) -> D
 
 def membership(rows: DataFrame, scene: Scene) -> DataFrame:
     """Adds road_id, lane_id, crosswalk_id, in_queue, in_junction and in_road of the foot point."""
-    x, y = F.col("foot_x"), F.col("foot_y")
+    x, y = F.col("__x"), F.col("__y")  # never null: what isn't null needs less code
+    rows = rows.withColumns({f"__{c}": F.coalesce(f"foot_{c}", F.lit(float("nan"))) for c in "xy"})
     on_island = F.lit(False)
     for name, polygon in scene.islands.items():
         if name.startswith("island_") and len(polygon) >= 3:
@@ -33,7 +34,7 @@ def membership(rows: DataFrame, scene: Scene) -> DataFrame:
     })
     far = geo.inside(x, y, scene.carriageways["far"], 8.0) if "far" in scene.carriageways else F.lit(False)
     lane = F.coalesce("lane_id", F.when(far, geo.far_lane(x, y, scene.dashed_lines, scene.directions["far"])))
-    return rows.withColumns({"lane_id": lane, "in_road": F.col("road_id").isNotNull() & ~F.col("__island")}).drop("__island")
+    return rows.withColumns({"lane_id": lane, "in_road": F.col("road_id").isNotNull() & ~F.col("__island")}).drop("__island", "__x", "__y")
 
 
 def body_axis(rows: DataFrame, scene: Scene) -> DataFrame:
