@@ -120,18 +120,35 @@ def tiou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
+def point_join(points: DataFrame, spans: DataFrame, keys: list[str], width: float, at: str = "t", start: str = "start", end: str = "end") -> DataFrame:
+    """Pairs of points and spans that agree in keys and in which the point lies in the span, ends included.
+
+    A span goes to the one or two cells that it touches on the level where cells are as long as it is, cells being width long on the
+    lowest level and four times longer on each further one. A point is looked up in its cell on every level that any span has.
+    So a span makes two rows at most however long it is, and each pair meets once. spans are read twice: give a table.
+    """
+    length = F.col(end) - F.col(start)
+    level = F.when(length > width, F.ceil(F.log(4.0, length / width))).otherwise(0).cast("int")
+    cell = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(4.0), F.col("__level"))))
+    levels = spans.agg(F.collect_set(level)).scalar()
+    p = points.withColumn("__level", F.explode(levels)).withColumn("__cell", cell(at))
+    s = spans.withColumn("__level", level).withColumn("__cell", F.explode(F.sequence(cell(start), cell(end))))
+    return p.join(s, [*keys, "__level", "__cell"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__level", "__cell")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: float, how: str = "inner", closed: bool = False) -> DataFrame:
     """Pairs, or with left_semi the left rows, of intervals that overlap and agree in keys; the right side's columns get r_.
 
-    Both sides go to every time bucket of the width that they touch and meet there by equality. A pair is kept in the
-    bucket of its later start alone, so none is repeated and nothing has to be made distinct.
+    Of two that overlap, the one that begins later begins in the other; so each side's starts are looked up in the other side's
+    intervals, and each pair meets once. width is about the length of most intervals; longer ones cost no more.
     """
     names = [c for c in right.columns if c not in keys]
-    b = lambda df, s, e: df.withColumn("b", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
-    r = b(right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in names)), "r_start", "r_end")
-    meet = (F.least("end", "r_end") >= F.greatest("start", "r_start")) if closed else (F.least("end", "r_end") > F.greatest("start", "r_start"))
-    once = F.col("b") == F.floor(F.greatest("start", "r_start") / width)
+    left = materialize(left.withColumn("__id", F.monotonically_increasing_id()), "left_spans")
+    right = materialize(right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in names)), "right_spans")
+    later_right = point_join(right, left, keys, width, "r_start").filter("r_start >= start")
+    later_left = point_join(left, right, keys, width, "start", "r_start", "r_end").filter("start > r_start")
+    both = later_right.unionByName(later_left)
+    both = both.filter((F.least("end", "r_end") >= F.greatest("start", "r_start")) if closed else (F.least("end", "r_end") > F.greatest("start", "r_start")))
     if how == "left_semi":
-        l_id = left.withColumn("l_id", F.monotonically_increasing_id())
-        return b(l_id, "start", "end").join(r, [*keys, "b"]).filter(meet & once).dropDuplicates(["l_id"]).select(*left.columns)
-    return b(left, "start", "end").join(r, [*keys, "b"]).filter(meet & once).drop("b")
+        both = both.dropDuplicates(["__id"]).select(*left.columns)
+    return both.drop("__id")

@@ -10,27 +10,24 @@ from trajlake.functions.intervals import scanned, segment
 from trajlake.sources.files import materialize
 
 
-def _side_by_side(points: DataFrame, ticks: DataFrame, value: str, way: int) -> DataFrame:
+def _looked_up(points: DataFrame, ticks: DataFrame, value: str, keys: list[str], way: int, strict: bool) -> DataFrame:
     left = points.withColumns({"__tick": F.lit(0), "__v": F.lit(None).cast(ticks.schema[value].dataType)})
-    right = ticks.select("video_id", "t", F.lit(1).alias("__tick"), F.col(value).alias("__v"))
-    return left.unionByName(right, allowMissingColumns=True).withColumns({"__at": F.col("t") * way, "__late": -F.col("__tick")}).withColumn("__seg", segment("__at"))
-
-
-def _looked_up(points: DataFrame, ticks: DataFrame, value: str, way: int) -> DataFrame:
-    both = materialize(_side_by_side(points, ticks, value, way), "side_by_side")
-    found = scanned(both, ["video_id"], ["__at", "__late"], "__found", F.col("__v"), "last")
+    right = ticks.select(*keys, "t", F.lit(1).alias("__tick"), F.col(value).alias("__v"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumns({"__at": F.col("t") * way, "__late": F.col("__tick") * (1 if strict else -1)})
+    both = materialize(both.withColumn("__seg", segment("__at")), "side_by_side")
+    found = scanned(both, keys, ["__at", "__late"], "__found", F.col("__v"), "last")
     return found.filter("__tick = 0").withColumn(value, F.col("__found")).drop("__tick", "__v", "__at", "__late", "__seg", "__found")
 
 
 def backward(points: DataFrame, ticks: DataFrame, value: str, default: Column | None = None) -> DataFrame:
     """points with the value of the last tick of their video at or before their time, else the default."""
-    out = _looked_up(points, ticks, value, 1)
+    out = _looked_up(points, ticks, value, ["video_id"], 1, False)
     return out if default is None else out.withColumn(value, F.coalesce(value, default))
 
 
-def forward(points: DataFrame, ticks: DataFrame, value: str) -> DataFrame:
-    """points with the value of the first tick of their video at or after their time, else null."""
-    return _looked_up(points, ticks, value, -1)
+def forward(points: DataFrame, ticks: DataFrame, value: str, keys: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """points with the value of the first tick of their video (or keys) at or after their time, or after it (strict), else null."""
+    return _looked_up(points, ticks, value, keys or ["video_id"], -1, strict)
 
 
 def within(points: DataFrame, ticks: DataFrame, reach: float) -> DataFrame:

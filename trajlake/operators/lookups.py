@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.functions.intervals import point_join
+from trajlake.sources.files import materialize
+
 
 def active_at(points: DataFrame, events: DataFrame, width: float = 8.0) -> DataFrame:
     """video_id, t and labels of the points at which events last (ends included): each label once, by its earliest event.
 
-    Events and points meet in time buckets of width seconds.
+    width is about the length of most events.
     """
-    e = events.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    at = points.select("video_id", "t", F.floor(F.col("t") / width).alias("bucket")).distinct()
-    hits = at.join(e, ["video_id", "bucket"]).filter(F.col("t").between(F.col("start"), F.col("end")))
+    hits = point_join(points.select("video_id", "t").distinct(), materialize(events, "events"), ["video_id"], width)
     first = hits.groupBy("video_id", "t", "label").agg(F.min(F.struct("start", "end")).alias("first"))
     names = F.transform(F.array_sort(F.collect_list(F.struct("first", "label"))), lambda x: x["label"])
     return first.groupBy("video_id", "t").agg(F.array_join(names, ",").alias("labels"))
@@ -52,11 +53,28 @@ def not_near_duplicates(new: DataFrame, known: DataFrame, within: float = 0.05)
     fresh = new.withColumn("cell", cell("start")).alias("n")
     same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in ("video_id", "label", "cell")]
     fresh = fresh.join(old.alias("o"), [*same, near], "left_anti").drop("cell")
-    per = fresh.groupBy("video_id", "label").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end"))).alias("all"))
+    fresh = materialize(fresh.select("video_id", "label", "idx", "start", "end"), "fresh_events")
+    keys = ["video_id", "label"]
+    a = fresh.select(*keys, F.col("idx").alias("a"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.explode(F.array(*(cell("start") + i for i in (-1, 0, 1)))).alias("cell"))
+    b = fresh.select(*keys, F.col("idx").alias("b"), "start", "end", cell("start").alias("cell"))
+    close = (F.abs(F.col("start") - F.col("a_start")) < within) & (F.abs(F.col("end") - F.col("a_end")) < within)
+    near_pairs = a.join(b, [*keys, "cell"]).filter((F.col("a") < F.col("b")) & close).select(*keys, "a", "b")
+    gone = _after_kept(materialize(near_pairs, "near_pairs"), keys)
+    return fresh.join(gone, [*keys, "idx"], "left_anti").select("video_id", "label", "idx", "start", "end")
+
 
-    def keep(done, x):
-        again = F.exists(done, lambda y: (F.abs(x["start"] - y["start"]) < within) & (F.abs(x["end"] - y["end"]) < within))
-        return F.when(again, done).otherwise(F.concat(done, F.array(x)))
+def _after_kept(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and idx of what goes when, in the order of idx, each row stays unless it is near one that stayed before (a before b).
 
-    kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), keep)
-    return per.select("video_id", "label", F.inline(kept))
+    In rounds: what nothing open stands before stays, so what is near it goes, and neither is open any more.
+    """
+    gone = pairs.select(*keys, F.col("b").alias("idx")).limit(0)
+    while not pairs.isEmpty():
+        stays = pairs.select(*keys, "a").distinct().join(pairs.select(*keys, F.col("b").alias("a")), [*keys, "a"], "left_anti")
+        goes = materialize(pairs.join(stays, [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("idx")).distinct(), "near_gone")
+        gone = gone.unionByName(goes)
+        left = pairs.join(stays, [*keys, "a"], "left_anti")
+        for side in "ab":
+            left = left.join(goes.withColumnRenamed("idx", side), [*keys, side], "left_anti")
+        pairs = materialize(left, "near_pairs")
+    return gone

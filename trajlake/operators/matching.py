@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trajlake.functions.intervals import alarm_runs, overlap_join, tiou
+from trajlake.functions.intervals import alarm_runs, overlap_join, point_join, scanned, segment, tiou
+from trajlake.operators.asof import forward
+from trajlake.sources.files import materialize
 
 #: Overlaps from which a match counts.
 THRESHOLDS = (0.3, 0.5, 0.7)
@@ -16,26 +18,46 @@ def _numbered(events: DataFrame) -> DataFrame:
     return events.withColumn("i", F.row_number().over(W.partitionBy("video_id", "label").orderBy("start", "end")))
 
 
-def _greedy(pairs: Column) -> Column:
-    """How many pairs (iou, i, r_i) match one to one, by falling overlap, then falling numbers."""
+def _round(pairs: DataFrame, left: list[str], right: list[str], rank: Column) -> DataFrame:
+    """One round: open pairs that rank first on both their sides are taken, and what they touch is closed."""
+    by_left, by_right = W.partitionBy(*left), W.partitionBy(*right)
+    best = F.when(F.col("__open"), rank)
+    out = pairs.withColumn("__best_l", F.max(best).over(by_left)).withColumn("__best_r", F.max(best).over(by_right))
+    first = F.col("__open") & (rank == F.col("__best_l")) & (rank == F.col("__best_r"))
+    out = out.withColumn("__taken", F.col("__taken") | first)
+    out = out.withColumn("__hit_r", F.max("__taken").over(by_right)).withColumn("__hit_l", F.max("__taken").over(by_left))
+    return out.withColumn("__open", F.col("__open") & ~F.col("__hit_l") & ~F.col("__hit_r")).drop("__best_l", "__best_r", "__hit_l", "__hit_r")
 
-    def take(state, x):
-        used = F.array_contains(state["i"], x["i"]) | F.array_contains(state["j"], x["r_i"])
-        return F.when(used, state).otherwise(F.struct(F.concat(state["i"], F.array(x["i"])).alias("i"), F.concat(state["j"], F.array(x["r_i"])).alias("j")))
 
-    none = F.array().cast("array<int>")
-    return F.aggregate(F.sort_array(pairs, asc=False), F.struct(none.alias("i"), none.alias("j")), take, lambda x: F.size(x["i"]).cast("long"))
+def mutual_best(pairs: DataFrame, left: list[str], right: list[str], rank: Column) -> DataFrame:
+    """The pairs of a greedy one-to-one matching by falling rank, which must differ between pairs that share a side.
+
+    left and right are the columns that tell the two sides' members. A pair that ranks first among those of its left member and
+    among those of its right one is in the matching whatever happens elsewhere; so all of these are taken at once, and the pairs
+    they touch go, until none is left. No task holds more than the pairs of one member. There are as many rounds as the longest
+    chain of pairs in which each has a better neighbour that falls away; two rounds are made for each table that is written.
+    """
+    taken, left_over = None, pairs.withColumns({"__open": F.lit(True), "__taken": F.lit(False)})
+    while True:
+        done = materialize(_round(_round(left_over, left, right, rank), left, right, rank), "matched_pairs")
+        found = done.filter("__taken").drop("__open", "__taken")
+        taken = found if taken is None else taken.unionByName(found)
+        left_over = done.filter("__open")
+        if left_over.isEmpty():
+            return taken
 
 
 def match_segments(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """video_id, label, tau, tp, fp and fn of each label of a video that either side has.
 
-    Only overlapping pairs meet, in time buckets; those of a video and label are few, and matched together. What is found in
-    videos that the truth lacks counts nothing, but its labels have a row.
+    Only overlapping pairs meet; they are matched by falling overlap, then falling numbers, in rounds of mutual_best(). What is
+    found in videos that the truth lacks counts nothing, but its labels have a row.
     """
     pairs = overlap_join(_numbered(truth), _numbered(found), ["video_id", "label"], 8.0)
     pairs = pairs.withColumn("iou", tiou(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).withColumn("tau", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= tau")
-    tp = pairs.groupBy("video_id", "label", "tau").agg(_greedy(F.collect_list(F.struct("iou", "i", "r_i"))).alias("tp"))
+    keys = ["video_id", "label", "tau"]
+    taken = mutual_best(pairs.select(*keys, "iou", "i", "r_i"), [*keys, "i"], [*keys, "r_i"], F.struct("iou", "i", "r_i"))
+    tp = taken.groupBy(*keys).agg(F.count("*").alias("tp"))
     known = truth.select("video_id").distinct().withColumn("known", F.lit(1))
     real = truth.select("video_id", "label", F.lit(1).alias("n_true"), F.lit(0).alias("n_found"))
     rest = found.join(known, "video_id", "left").select("video_id", "label", F.lit(0).alias("n_true"), F.coalesce("known", F.lit(0)).alias("n_found"))
@@ -96,14 +118,13 @@ def model_score(a: DataFrame, b: DataFrame) -> DataFrame:
 def frame_labels(curve: DataFrame, accidents: DataFrame, horizon: float = 5.0) -> DataFrame:
     """curve with label: 1 up to horizon before an accident, null within one or around a near miss, else 0.
 
-    Within an accident counts first, then before one, then a near miss. Samples and accidents meet in time buckets.
+    Within an accident counts first, then before one, then a near miss.
     """
-    width = 4 * horizon
     a = accidents.select("video_id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("label").alias("kind"))
-    a = a.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - horizon) / width), F.floor(F.col("e") / width))))
+    a = materialize(a.withColumn("s_before", F.col("s") - horizon), "accident_spans")
     t = F.col("t")
     hit = F.col("kind") == "accident"
-    flags = curve.withColumn("bucket", F.floor(t / width)).join(a, ["video_id", "bucket"]).groupBy("video_id", "idx").agg(
+    flags = point_join(curve, a, ["video_id"], 4 * horizon, "t", "s_before", "e").groupBy("video_id", "idx").agg(
         F.max(hit & t.between(F.col("s"), F.col("e"))).alias("during"), F.max(hit & (t >= F.col("s") - horizon) & (t < F.col("s"))).alias("ahead"), F.max(~hit & t.between(F.col("s") - horizon, F.col("e"))).alias("near")
     )
     label = F.when(F.coalesce("during", F.lit(False)), None).when(F.coalesce("ahead", F.lit(False)), 1).when(F.coalesce("near", F.lit(False)), None).otherwise(0)
@@ -129,25 +150,59 @@ def average_precision(scored: DataFrame, cells: int = 4096) -> DataFrame:
     return total.select("n", "positives", ap.alias("ap"), F.when(rate < 1, F.greatest(F.lit(0.0), (ap - rate) / (1 - rate))).otherwise(0.0).alias("ap_over_chance"))
 
 
+def chain(nodes: DataFrame, keys: list[str], node: str, following: str) -> DataFrame:
+    """The nodes (keys and node) on the path that begins at each group's least node and goes on to `following` (null: it ends).
+
+    By pointer doubling: with each round the pointers lead twice as far, and what they reach from the path joins it, so a path
+    of n nodes takes log(n) rounds of two joins by node, whatever the size of a group.
+    """
+    jumps = materialize(nodes.select(*keys, F.col(node).alias("__at"), F.col(following).alias("__to")), "pointers")
+    path = jumps.groupBy(*keys).agg(F.min("__at").alias("__at"))
+    while True:
+        far = jumps.filter("__to IS NOT NULL")
+        reached = path.join(far, [*keys, "__at"]).select(*keys, F.col("__to").alias("__at"))
+        path = materialize(path.unionByName(reached), "path")
+        ahead = far.select(*keys, F.col("__at").alias("__to"), F.col("__to").alias("__next"))
+        jumps = materialize(far.join(ahead, [*keys, "__to"]).select(*keys, "__at", F.col("__next").alias("__to")), "pointers")
+        if jumps.isEmpty():
+            return path.withColumnRenamed("__at", node)
+
+
+def _counted(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number in their video, from 1, by order, whose first column is a time; a table."""
+    rows = materialize(rows.withColumns({"__seg": segment(order[0]), "__one": F.lit(1)}), "counted")
+    return materialize(scanned(rows, ["video_id"], order, name, F.col("__one"), "sum").drop("__seg", "__one"), "counted")
+
+
 def match_alarms(curve: DataFrame, accidents: DataFrame, lead: float = 10.0) -> DataFrame:
     """video_id, start and tta of accidents: seconds from the alarm each gets, 0 without one.
 
     Accidents in order each take the earliest alarm left within lead seconds before them; alarms in ignored frames don't count.
-    """
-    alarms = valid_alarms(curve, accidents).groupBy("video_id").agg(F.sort_array(F.collect_list("t")).alias("alarms"))
-    hits = accidents.filter("label = 'accident'").groupBy("video_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    both = hits.join(alarms, "video_id", "left").withColumn("alarms", F.coalesce("alarms", F.array().cast("array<double>")))
-
-    def take(state, s):
-        free = F.filter(state["left"], lambda a: (a >= s - lead) & (a < s))
-        got = F.when(F.size(free) > 0, F.element_at(free, 1))
-        return F.struct(
-            F.when(got.isNull(), state["left"]).otherwise(F.filter(state["left"], lambda a: a != got)).alias("left"),
-            F.concat(state["out"], F.array(F.struct(s.alias("start"), F.coalesce(s - got, F.lit(0.0)).alias("tta")))).alias("out"),
-        )
 
-    start = F.struct(F.col("alarms").alias("left"), F.array().cast("array<struct<start:double,tta:double>>").alias("out"))
-    return both.select("video_id", F.inline(F.aggregate("starts", start, take, lambda x: x["out"])))
+    The windows move on with the accidents, so the alarms taken do too. Of accidents with an alarm in their window, the one after
+    the k-th, which took alarm n, that gets another is the first one later than k that begins after alarm n + 1, and it takes
+    n + 1 or the first alarm of its window. So each pair of an accident and an alarm of its window points to another such pair,
+    and the matching is the path from the first.
+    """
+    alarms = _counted(valid_alarms(curve, accidents).distinct(), ["t"], "n")
+    hits = accidents.filter("label = 'accident'").select("video_id", F.col("start").cast("double").alias("start")).withColumn("tie", F.monotonically_increasing_id())
+    hits = materialize(hits, "accidents")
+    width = 2 * lead
+    cells = F.array_distinct(F.array(F.floor((F.col("start") - lead) / width), F.floor(F.col("start") / width)))
+    ahead = hits.withColumn("cell", F.explode(cells)).join(alarms.withColumn("cell", F.floor(F.col("t") / width)), ["video_id", "cell"])
+    ahead = materialize(ahead.filter((F.col("t") >= F.col("start") - lead) & (F.col("t") < F.col("start"))).drop("cell"), "alarms_ahead")
+    served = _counted(ahead.groupBy("video_id", "start", "tie").agg(F.min("n").alias("first")), ["start", "tie"], "k")
+    # For each alarm the first accident after it, under the number of the alarm before.
+    after = forward(alarms, served.groupBy("video_id", F.col("start").alias("t")).agg(F.min("k").alias("k_after")), "k_after", strict=True)
+    after = after.select("video_id", (F.col("n") - 1).alias("n"), "k_after")
+    pairs = ahead.join(served.select("video_id", "tie", "k"), ["video_id", "tie"]).join(after, ["video_id", "n"], "left")
+    pairs = pairs.withColumn("k_next", F.when(F.col("k_after").isNotNull(), F.greatest(F.col("k") + 1, "k_after")))
+    following = served.select("video_id", F.col("k").alias("k_next"), F.col("first").alias("first_next"))
+    pairs = pairs.join(following, ["video_id", "k_next"], "left").withColumn("node", F.struct("k", "n"))
+    target = F.when(F.col("first_next").isNotNull(), F.struct(F.col("k_next").alias("k"), F.greatest("first_next", F.col("n") + 1).alias("n")))
+    taken = chain(pairs.withColumn("target", target), ["video_id"], "node", "target").select("video_id", "node.*")
+    got = taken.join(served.select("video_id", "tie", "k"), ["video_id", "k"]).join(alarms, ["video_id", "n"]).select("video_id", "tie", F.col("t").alias("alarm"))
+    return hits.join(got, ["video_id", "tie"], "left").select("video_id", "start", F.coalesce(F.col("start") - F.col("alarm"), F.lit(0.0)).alias("tta"))
 
 
 def valid_alarms(curve: DataFrame, accidents: DataFrame) -> DataFrame:
@@ -176,10 +231,9 @@ def clean_events(events: DataFrame, labels: tuple[str, ...], duration: float) ->
     cut = events.filter(F.col("label").isin(*labels)).withColumn("end", F.least(F.col("end"), F.lit(duration))).filter("start >= 0 AND start < end")
     rank = F.col("idx").cast("double") if "idx" in events.columns else F.round("end", 3)
     cut = cut.select("video_id", "label", F.round("start", 3).alias("start"), rank.alias("rank"), F.round("end", 3).alias("end"))
-    per = cut.groupBy("video_id", "label").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("all"))
-
-    def keep(done, x):
-        late = (F.size(done) > 0) & (x["start"] < F.element_at(done, -1)["end"])
-        return F.when(late, done).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-    return per.select("video_id", "label", F.inline(F.aggregate("all", F.array().cast("array<struct<start:double,end:double>>"), keep)))
+    keys = ["video_id", "label"]
+    node = F.struct("start", "rank", "end").alias("node")
+    nodes = cut.select(*keys, node).distinct()  # of equal events, one can be kept
+    ticks = nodes.groupBy(*keys, F.col("node.start").alias("t")).agg(F.min("node").alias("following"))
+    nodes = forward(nodes.withColumn("t", F.col("node.end")), ticks, "following", keys)
+    return chain(nodes, keys, "node", "following").select(*keys, "node.start", "node.end")

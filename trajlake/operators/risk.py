@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajlake.functions import geometry as geo
+from trajlake.functions.intervals import point_join
 from trajlake.operators.asof import backward
 from trajlake.plans.features import VEHICLES, to_scene
+from trajlake.sources.files import materialize
 from trajlake.sources.scene import Scene
 
 TRACK = ["video_id", "id"]
@@ -67,8 +69,8 @@ def collision(objects: DataFrame, config: RiskConfig = RiskConfig()) -> DataFram
 def braking(objects: DataFrame, samples: DataFrame, config: RiskConfig = RiskConfig(), width: float = 2.0) -> DataFrame:
     """video_id, t and braking, the highest of the risks by which a track's last three samples show that it brakes.
 
-    A track's risk holds from its sample until its next one; after its last one, to the end of the video. The former meet the
-    samples in time buckets of width seconds, the latter add up in one running maximum.
+    A track's risk holds from its sample until its next one; after its last one, to the end of the video. The former are looked
+    up as spans, of which most are width seconds long or less, the latter add up in one running maximum.
     """
     by = W.partitionBy(*TRACK).orderBy("t", "frame")
     moved = F.hypot(F.col("x") - F.lag("x").over(by), F.col("y") - F.lag("y").over(by))
@@ -82,8 +84,7 @@ def braking(objects: DataFrame, samples: DataFrame, config: RiskConfig = RiskCon
     running = F.max("risk").over(W.partitionBy("video_id").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
     left = samples.join(ended, ["video_id", "t"], "left").select("video_id", "t", running.alias("risk"))
     spans = rows.filter("until IS NOT NULL").select("video_id", F.col("t").alias("since"), "until", "risk")
-    spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("since") / width), F.floor(F.col("until") / width))))
-    held = samples.withColumn("bucket", F.floor(F.col("t") / width)).join(spans, ["video_id", "bucket"]).filter("t >= since AND t < until").select("video_id", "t", "risk")
+    held = point_join(samples, materialize(spans, "braking_spans"), ["video_id"], width, "t", "since", "until").filter("t < until").select("video_id", "t", "risk")
     return left.unionByName(held).groupBy("video_id", "t").agg(F.max("risk").alias("braking")).filter("braking IS NOT NULL")
 
 
