@@ -7,6 +7,7 @@ from trajlake.plans import (
     catalog_features,
     catalog_labels,
     catalog_leads,
+    catalog_places,
     catalog_reviews,
     catalog_risk,
     catalog_rules,
@@ -26,4 +27,5 @@ QUERIES: dict = {
     **catalog_risk.QUERIES,
     **catalog_evaluation.QUERIES,
     **catalog_streaming.QUERIES,
+    **catalog_places.QUERIES,
 }

@@ -40,18 +40,31 @@ def read_tracks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _finished(path: str) -> str:
+    return path.rstrip("/") + "-finished"
+
+
 def cached_videos(spark: SparkSession, path: str) -> DataFrame:
-    """video_id of the videos that a cache has; none where there is no cache."""
+    """video_id of the videos that a cache has in full, by its list of finished ones; none where there is no cache."""
     try:
-        return spark.read.option("basePath", path).parquet(path).select(F.col("video_id").cast("long").alias("video_id")).distinct()
+        return spark.read.schema("video_id long").parquet(_finished(path)).distinct()
     except AnalysisException:
         return spark.createDataFrame([], "video_id long")
 
 
-def cache_tracks(tracks: DataFrame, path: str) -> None:
-    """Add to a cache the tracks of the videos that it lacks. A large video may be several files."""
-    missing = tracks.join(cached_videos(tracks.sparkSession, path), "video_id", "left_anti")
-    missing.repartition("video_id", F.floor(F.col("frame") / 100_000)).sortWithinPartitions("video_id", "frame").write.partitionBy("video_id").mode("append").parquet(path)
+def cache_tracks(tracks: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Add to a cache the tracks of the videos that it lacks, or with overwrite of all that tracks has. A large video may be several
+    files.
+
+    The folders of the videos written are replaced as the job ends, others stay. Only then do the videos join the list of finished
+    ones, so what a failed job has left counts as missing, and is replaced by the next one.
+    """
+    spark = tracks.sparkSession
+    rows = tracks if overwrite else tracks.join(cached_videos(spark, path), "video_id", "left_anti")
+    rows = materialize(rows, "tracks_to_cache")  # the list must name what was written
+    spread = rows.repartition("video_id", F.floor(F.col("frame") / 100_000)).sortWithinPartitions("video_id", "frame")
+    spread.write.partitionBy("video_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    rows.select("video_id").distinct().coalesce(1).write.mode("append").parquet(_finished(path))
 
 
 def write_candidates(found: DataFrame, path: str) -> None:

@@ -25,6 +25,23 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "2 days") ->
     return by.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def sketched_counts(rows: DataFrame, keys: list[str], member: str, width: str = "1 second", late: str = "10 seconds", lg_k: int = 12) -> DataFrame:
+    """keys, start and sketch of each window of a stream: a HyperLogLog sketch of its distinct members, told in append mode.
+
+    State is a sketch of a few KB at most for each window that is open, however many members it has.
+    """
+    by = rows.withWatermark("ts", late).filter(F.col(member).isNotNull() | F.col("ts").isNull()).groupBy(*keys, F.window("ts", width).alias("w"))
+    return by.agg(F.hll_sketch_agg(member, lg_k).alias("sketch")).select(*keys, F.col("w.start").alias("start"), "sketch")
+
+
+def rolled_up(sketches: DataFrame, keys: list[str], start: Column) -> DataFrame:
+    """keys, start and members: the estimate of distinct members of several windows, from their sketches alone.
+
+    With lg_k of 12 the standard error is 1.6 % (1.04 / 64); few members, up to some hundreds, are counted nearly exactly.
+    """
+    return sketches.groupBy(*keys, start.alias("start")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("members"))
+
+
 def run_to_end(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
     """Drive a stream over what is there and return its result as a table of the shared folder.
 
@@ -47,6 +64,7 @@ def run_to_end(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
 
 #: Microseconds at which a feed begins (2020-01-01): a time of 0 would be late before the first watermark.
 _BEGIN = 1_577_836_800_000_000
+BEGIN_SECONDS = _BEGIN // 1_000_000
 
 
 def at_time(t: str) -> Column:
