@@ -51,7 +51,7 @@ def _close(x: Column, y: Column, edges: list[tuple[float, float, float, float]],
     Few points come to this test, as those outside the polygon's box and those inside the polygon don't. So it goes over an array of
     segments, with little code: all segments spelled out make a method too long to be compiled.
     """
-    items = [F.struct(*(F.lit(float(v)).alias(n) for n, v in (("ax", ax), ("ay", ay), ("dx", bx - ax), ("dy", by - ay), ("square", (bx - ax) ** 2 + (by - ay) ** 2)))) for ax, ay, bx, by in edges]
+    items = ", ".join(f"named_struct('ax', {ax!r}D, 'ay', {ay!r}D, 'dx', {bx - ax!r}D, 'dy', {by - ay!r}D, 'square', {(bx - ax) ** 2 + (by - ay) ** 2!r}D)" for ax, ay, bx, by in (map(float, e) for e in edges))
 
     def near(e):
         along = ((x - e["ax"]) * e["dx"] + (y - e["ay"]) * e["dy"]) / F.when(e["square"] > 0, e["square"]).otherwise(1.0)
@@ -59,7 +59,7 @@ def _close(x: Column, y: Column, edges: list[tuple[float, float, float, float]],
         qx, qy = e["ax"] + u * e["dx"], e["ay"] + u * e["dy"]
         return (x - qx) * (x - qx) + (y - qy) * (y - qy) <= margin * margin
 
-    return F.exists(F.array(*items), near)
+    return F.exists(F.expr(f"array({items})"), near)
 
 
 def first_of(x: Column, y: Column, shapes: dict[str, Points], margin: float = 0.0) -> Column:
