@@ -11,7 +11,7 @@ from trajlake.operators import checks, matching
 from trajlake.operators.lookups import not_near_duplicates
 from trajlake.plans import leads
 from trajlake.plans.catalog_features import rounded
-from trajlake.plans.catalog_labels import MATCH, RISK
+from trajlake.plans.catalog_labels import MATCH, RISK, rated
 from trajlake.plans.catalog_leads import CTES as LEADS
 from trajlake.plans.features import to_scene
 from trajlake.plans.oracle import sql
@@ -89,6 +89,19 @@ def _renamed(ctes: dict[str, str], names: list[str]) -> dict[str, str]:
 
 _rates = "tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
 _EARLY = _renamed({k: v for k, v in MATCH.items() if k != "taus"}, ["labels_pred"]) | {"labels_pred_b": "SELECT * FROM labels_pred WHERE start < 150"}
+_ALIKE = _renamed({k: v for k, v in MATCH.items() if k != "taus"}, ["labels_pred", "labels_gt"]) | {f"labels_{x}_b": f"""SELECT video_id, start, "end", '' AS label FROM labels_{x}""" for x in ("gt", "pred")}
+_ALIKE |= {"all_labels": "SELECT tau, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM pool GROUP BY tau", "micro": rated("all_labels")}
+_IMPORTED = {
+    "moved": """SELECT video_id, label, idx, start + (idx % 5) * 0.02::DOUBLE AS start, "end" + (idx % 5) * 0.02::DOUBLE AS "end" FROM numbered WHERE start < "end" """,
+    "imported": """SELECT * FROM moved UNION ALL SELECT video_id, label, idx + 100000000, start + 0.03::DOUBLE, "end" FROM moved""",
+    "fresh": """SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY idx) AS rn FROM imported n WHERE NOT EXISTS (SELECT 1 FROM labels_raw k
+      WHERE k.video_id = n.video_id AND k.label = n.label AND abs(n.start - k.start) < 0.05 AND abs(n."end" - k."end") < 0.05)""",
+    # A step looks at the next event of each video and label, which is kept unless it is near one in the list of those kept before.
+    "looked": """SELECT video_id, label, idx, start, "end", rn, true AS keep, [{'s': start, 'e': "end"}] AS kept FROM fresh WHERE rn = 1 UNION ALL
+      SELECT video_id, label, idx, start, "end", rn, keep, CASE WHEN keep THEN list_append(kept, {'s': start, 'e': "end"}) ELSE kept END FROM (
+        SELECT n.*, l.kept, len(list_filter(l.kept, lambda k: abs(n.start - k.s) < 0.05 AND abs(n."end" - k.e) < 0.05)) = 0 AS keep
+        FROM looked l JOIN fresh n ON n.video_id = l.video_id AND n.label = l.label AND n.rn = l.rn + 1) q""",
+}
 _official = ", ".join(f"'{x}'" for x in OFFICIAL)
 _LOGS = {"logs": "SELECT *, duration * (video_id % 8) * 0.5 AS total_sec FROM video_durations WHERE video_id % 10 <> 3"}
 _DOCS = {
@@ -146,7 +159,14 @@ QUERIES = {
         lambda s, d: checks.unofficial(adapters.labels_raw(s, d), OFFICIAL),
         sql(f"SELECT DISTINCT label FROM labels_raw WHERE label NOT IN ({_official})"),
     ),
-    "near_duplicate_anti_join": (lambda s, d: rounded(not_near_duplicates(_imported(s, d), adapters.labels_raw(s, d)), 4), None),
+    "near_duplicate_anti_join": (
+        lambda s, d: rounded(not_near_duplicates(_imported(s, d), adapters.labels_raw(s, d)), 4),
+        sql('SELECT video_id, label, idx, round(start, 4) AS start, round("end", 4) AS "end" FROM looked WHERE keep', **_IMPORTED),
+    ),
+    "confusion_pool_all": (
+        lambda s, d: rounded(matching.pooled_all(adapters.labels_gt(s, d), adapters.labels_pred(s, d))),
+        sql(f"SELECT 'class' AS kind, label, tau, {_rates} FROM pooled UNION ALL SELECT 'micro', NULL, tau, {_rates} FROM micro UNION ALL SELECT 'agnostic', NULL, tau, {_rates} FROM pooled_b", **(MATCH | _ALIKE)),
+    ),
     "scan_predictions_json": (
         lambda s, d: rounded(_predictions(s, d)[0].filter("label IS NOT NULL"), 4),
         sql("""SELECT video_id::VARCHAR AS video, (row_number() OVER (PARTITION BY video_id ORDER BY start, "end", label) - 1)::INT AS i, round(start, 4) AS start, round("end", 4) AS "end", label FROM labels_pred"""),

@@ -12,7 +12,8 @@ from trajlake.plans.catalog_features import rounded
 from trajlake.plans.oracle import merged, sql
 from trajlake.sources import adapters
 from trajlake.sources.adapters import LABELS
-from trajlake.sources.labels_json import truth_from_text, videos_to_json
+from trajlake.sources.files import list_videos, new_folder
+from trajlake.sources.labels_json import read_text, truth_from_text, write_truth
 
 _gt, _pred, _raw, _risk, _acc = adapters.labels_gt, adapters.labels_pred, adapters.labels_raw, adapters.risk, adapters.labels_accident
 _matches = lambda s, d: matching.match_segments(_gt(s, d), _pred(s, d))
@@ -20,14 +21,15 @@ _iou = '(least(a."end", b."end") - greatest(a.start, b.start)) / ((a."end" - a.s
 _or = 'round(start, 3) AS start, round("end", 3) AS "end"'
 
 
-def _round(k: int) -> dict[str, str]:
-    """Pairs that are the best left for both of their sides; those of a round don't meet the next."""
-    src = "cand" if k == 1 else f"left{k - 1}"
-    best = lambda i: f"row_number() OVER (PARTITION BY video_id, label, tau, {i} ORDER BY iou DESC, i DESC, j DESC)"
-    return {
-        f"won{k}": f"SELECT * FROM (SELECT *, {best('i')} AS ri, {best('j')} AS rj FROM {src}) x WHERE ri = 1 AND rj = 1",
-        f"left{k}": f"SELECT c.* FROM {src} c WHERE NOT EXISTS (SELECT 1 FROM won{k} w WHERE w.video_id = c.video_id AND w.label = c.label AND w.tau = c.tau AND (w.i = c.i OR w.j = c.j))",
-    }
+def _truth_files(s, d, videos: int) -> str:
+    """A new folder of truth files with so many videos each."""
+    path = new_folder(s, "truth")
+    write_truth(_gt(s, d), path, F.expr(f"video_id DIV {videos}"))
+    return path
+
+
+def rated(src: str) -> str:
+    return f"SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM {src}"
 
 
 MATCH = {
@@ -35,13 +37,18 @@ MATCH = {
     "prn": 'SELECT *, row_number() OVER (PARTITION BY video_id, label ORDER BY start, "end") AS i FROM labels_pred',
     "taus": "SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE]) AS tau",
     "cand": f'SELECT * FROM (SELECT a.video_id, a.label, a.i, b.i AS j, {_iou} AS iou FROM gtn a JOIN prn b ON a.video_id = b.video_id AND a.label = b.label AND least(a."end", b."end") > greatest(a.start, b.start)) x JOIN taus ON iou >= tau',
-    **_round(1), **_round(2), **_round(3), **_round(4),
-    "tps": "SELECT video_id, label, tau, count(*) AS tp FROM (SELECT video_id, label, tau FROM won1 UNION ALL SELECT video_id, label, tau FROM won2 UNION ALL SELECT video_id, label, tau FROM won3 UNION ALL SELECT video_id, label, tau FROM won4) u GROUP BY ALL",
+    "ranks": "SELECT *, row_number() OVER (PARTITION BY video_id, label, tau ORDER BY iou DESC, i DESC, j DESC) AS rn FROM cand",
+    # A step looks at each group's next pair, which is taken if neither side is in the lists of those taken before.
+    "steps": """SELECT video_id, label, tau, rn, [i] AS used_i, [j] AS used_j FROM ranks WHERE rn = 1 UNION ALL
+      SELECT c.video_id, c.label, c.tau, c.rn, CASE WHEN list_contains(used_i, i) OR list_contains(used_j, j) THEN used_i ELSE list_append(used_i, i) END,
+        CASE WHEN list_contains(used_i, i) OR list_contains(used_j, j) THEN used_j ELSE list_append(used_j, j) END
+      FROM steps f JOIN ranks c ON c.video_id = f.video_id AND c.label = f.label AND c.tau = f.tau AND c.rn = f.rn + 1""",
+    "tps": "SELECT video_id, label, tau, max(len(used_i)) AS tp FROM steps GROUP BY ALL",
     "sides": """SELECT video_id, label, sum(g) AS g, sum(p) AS p FROM (SELECT video_id, label, 1 AS g, 0 AS p FROM labels_gt
       UNION ALL SELECT video_id, label, 0, (video_id IN (SELECT video_id FROM labels_gt))::INT FROM labels_pred) u GROUP BY ALL""",
     "matched": "SELECT s.video_id, s.label, taus.tau, coalesce(tp, 0) AS tp, (p - coalesce(tp, 0))::BIGINT AS fp, (g - coalesce(tp, 0))::BIGINT AS fn FROM sides s CROSS JOIN taus LEFT JOIN tps ON tps.video_id = s.video_id AND tps.label = s.label AND tps.tau = taus.tau",
     "pool": "SELECT label, tau, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM matched GROUP BY ALL",
-    "pooled": "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM pool",
+    "pooled": rated("pool"),
 }
 RISK = {
     "flags": """SELECT r.video_id, r.idx, r.t, r.score, bool_or(r.t BETWEEN h.start AND h."end") AS during, bool_or(r.t >= h.start - 5 AND r.t < h.start) AS ahead, coalesce(bool_or(r.t BETWEEN m.start - 5 AND m."end"), false) AS near
@@ -95,12 +102,24 @@ def event_histogram_bins(events, labels):
     return grid.join(counts, ["video_id", "label", "bin"], "left").select("video_id", "label", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def timeline(events):
-    """left and width of each event as a share of its video's duration, in per cent; width 0.7 at least."""
+def timeline(events, *more):
+    """left and width of each event as a share of its video's duration, in per cent; width 0.7 at least. more are columns to keep."""
     dur = events.groupBy("video_id").agg(F.greatest(F.max("end"), F.lit(1.0)).alias("d"))
     left = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("start") / F.col("d") * 100))
     width = F.greatest(F.lit(0.7), F.least(F.lit(100.0) - left, (F.col("end") - F.col("start")) / F.col("d") * 100))
-    return events.join(dur, "video_id").select("video_id", "label", left.alias("left"), width.alias("width"))
+    return events.join(dur, "video_id").select("video_id", "label", left.alias("left"), width.alias("width"), *more)
+
+
+def timeline_rows(events, labels):
+    """timeline() with i, each event's number in its row (a video and label) by time, and n, how many events the row has.
+
+    Each video has a row of each of labels; one without events is a single row with n 0 and else nulls. Other labels have none.
+    """
+    placed = timeline(events, "start", "end").filter(F.col("label").isin(*labels))
+    row = W.partitionBy("video_id", "label")
+    placed = placed.withColumn("i", F.row_number().over(row.orderBy("start", "end"))).withColumn("n", F.count("*").over(row)).drop("start", "end")
+    every = events.select("video_id").distinct().withColumn("label", F.explode(F.array(*map(F.lit, labels))))
+    return every.join(placed, ["video_id", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def overlaps(events):
@@ -129,6 +148,13 @@ QUERIES = {
         lambda s, d: rounded(timeline(_gt(s, d)), 4),
         sql('SELECT video_id, label, round(l, 4) AS "left", round(greatest(0.7, least(100 - l, ("end" - start) / d * 100)), 4) AS width FROM (SELECT *, greatest(0, least(100, start / d * 100)) AS l FROM labels_gt JOIN (SELECT video_id, greatest(max("end"), 1) AS d FROM labels_gt GROUP BY video_id) q USING (video_id)) x'),
     ),
+    "timeline_rows": (
+        lambda s, d: rounded(timeline_rows(_gt(s, d), LABELS), 4),
+        sql("""SELECT video_id, label, round(l, 4) AS "left", CASE WHEN n > 0 THEN round(greatest(0.7, least(100 - l, ("end" - start) / d * 100)), 4) END AS width, i::INT AS i, coalesce(n, 0) AS n FROM (
+          SELECT DISTINCT video_id, label, d FROM grid JOIN (SELECT video_id, greatest(max("end"), 1) AS d FROM labels_gt GROUP BY video_id) q USING (video_id)) r LEFT JOIN (
+          SELECT video_id, label, start, "end", greatest(0, least(100, start / greatest(max("end") OVER (PARTITION BY video_id), 1) * 100)) AS l,
+            row_number() OVER (PARTITION BY video_id, label ORDER BY start, "end") AS i, count(*) OVER (PARTITION BY video_id, label) AS n FROM labels_gt) x USING (video_id, label)""", grid=GRID),
+    ),
     "tiou": (
         lambda s, d: rounded(overlap_join(_gt(s, d), _pred(s, d), ["video_id", "label"], 8.0).select("video_id", "label", "start", "r_start", tiou(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")).alias("iou")), 5),
         sql(f'SELECT a.video_id, a.label, round(a.start, 5) AS start, round(b.start, 5) AS r_start, round({_iou}, 5) AS iou FROM labels_gt a JOIN labels_pred b ON a.video_id = b.video_id AND a.label = b.label AND least(a."end", b."end") > greatest(a.start, b.start)'),
@@ -147,7 +173,6 @@ QUERIES = {
     ),
     "match_segments": (_matches, sql("SELECT * FROM matched", **MATCH)),
     "confusion_pool": (lambda s, d: rounded(matching.pooled(_matches(s, d))), sql("SELECT label, tau, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pooled", **MATCH)),
-    "confusion_pool_all": (lambda s, d: rounded(matching.pooled_all(_gt(s, d), _pred(s, d))), None),
     "score_a": (lambda s, d: rounded(matching.score_a(_matches(s, d))), sql("SELECT round(avg(f), 6) AS score_a FROM (SELECT label, avg(f1) AS f FROM pooled GROUP BY label) x", **MATCH)),
     "class_gate": (
         lambda s, d: matching.pooled(_matches(s, d)).filter("tau = 0.5 AND precision >= 0.7").select("label"),
@@ -178,9 +203,13 @@ QUERIES = {
     ),
     "validate_risk_full": (lambda s, d: risk_breaks(_risk(s, d)), sql("SELECT video_id, min(idx) AS idx FROM risk WHERE score < 0 OR score > 1 GROUP BY video_id")),
     "scan_labels_json": (
-        lambda s, d: rounded(truth_from_text(videos_to_json(_gt(s, d)).select("value")).select(F.col("video").cast("long").alias("video_id"), "start", "end", "label"), 3),
+        lambda s, d: rounded(truth_from_text(read_text(s, _truth_files(s, d, 8))).select(F.col("video").cast("long").alias("video_id"), "start", "end", "label"), 3),
         sql(f"SELECT video_id, {_or}, label FROM labels_gt"),
     ),
+    "list_videos": (
+        lambda s, d: list_videos(s, _truth_files(s, d, 1), "TXT").select(F.element_at(F.split("path", "/"), -2).alias("folder")),
+        sql("SELECT DISTINCT 'file_no=' || video_id AS folder FROM labels_gt"),
+    ),
     "label_union": (lambda s, d: _gt(s, d).select("label").union(_pred(s, d).select("label")).distinct(), sql("SELECT label FROM labels_gt UNION SELECT label FROM labels_pred")),
     "distinct_ids": (lambda s, d: adapters.tracks(s, d).groupBy("video_id").agg(F.count_distinct("id").alias("n")), sql("SELECT video_id, count(DISTINCT id) AS n FROM tracks GROUP BY video_id")),
 }
