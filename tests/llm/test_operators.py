@@ -368,7 +368,7 @@ def test_language_model_of_many_languages_is_bounded(spark, monkeypatch):
 
 
 def test_quality_classifier_minimises_the_loss_of_its_pairs(spark):
-    """The weights leave no gradient over all pairs of good and bad documents of the one group, weighed as they are paired."""
+    """The loss over all pairs of good and bad documents falls, and the threshold splits the scores at the share of bad ones."""
     r = random.Random(6)
     rows = []
     for i in range(60):
@@ -386,6 +386,57 @@ def test_quality_classifier_minimises_the_loss_of_its_pairs(spark):
     assert scores[0] <= threshold <= scores[-1] and abs(sum(s < threshold for s in scores) / 60 - 1 / 3) < 0.06
 
 
+def _gradient(w, mean, spread, good, bad):
+    """Of the pairs' mean loss and the ridge at w, pair by pair."""
+    total = np.zeros(len(w))
+    for a in good:
+        d = (a - bad) / spread
+        total -= (d / (1 + np.exp(d @ w))[:, None]).sum(0)
+    return total / (len(good) * len(bad)) + quality_classifier.RIDGE * w
+
+
+def _labelled(spark, x, quality, copies=None):
+    rows = [(i, [float(v) for v in row], int(q)) for i, (row, q) in enumerate(zip(x, quality)) for _ in range(1 if copies is None else copies[i])]
+    return spark.createDataFrame(rows, "doc_id long, x array<double>, quality int")
+
+
+def test_quality_fit_leaves_no_gradient_over_its_pairs(spark, monkeypatch):
+    """With as many partners as there are rows of the rarer kind, the pairs of the one group are all pairs."""
+    monkeypatch.setattr(quality_classifier, "PARTNERS", 120)
+    r = np.random.default_rng(3)
+    x, quality = r.normal(2, 3, (240, quality_classifier.N_FEATURES)), np.arange(240) % 2
+    x[quality == 1, :3] += 1.5
+    mean, spread, w, _ = quality_classifier.fit(_labelled(spark, x, quality))
+    assert np.allclose(mean, x.mean(0)) and np.allclose(spread, x.std(0))
+    good, bad = x[quality == 1], x[quality == 0]
+    assert np.abs(_gradient(np.zeros_like(w), mean, spread, good, bad)).max() > 0.1
+    assert np.abs(_gradient(w, mean, spread, good, bad)).max() < 1e-6
+
+
+@pytest.mark.parametrize("rare", [0, 1])
+def test_quality_fit_with_one_rare_row_in_ten_thousand(spark, monkeypatch, rare):
+    """Every group gets the rare row, so that each of the others meets it once."""
+    monkeypatch.setattr(quality_classifier, "GROUP", 256)
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (10_000, quality_classifier.N_FEATURES))
+    x[77] = 0.3
+    quality = np.full(10_000, 1 - rare)
+    quality[77] = rare
+    mean, spread, w, _ = quality_classifier.fit(_labelled(spark, x, quality))
+    assert np.abs(w).max() > 0.05
+    assert np.abs(_gradient(w, mean, spread, x[quality == 1], x[quality == 0])).max() < 1e-6
+
+
+def test_quality_groups_hold_both_kinds_and_split_copies(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "GROUP", 100)
+    quality = np.arange(2000) % 20 == 0
+    copies = [1500 if i == 7 else 1 for i in range(2000)]  # one row is three sevenths of all
+    table = _labelled(spark, np.zeros((2000, 1)), quality, copies).groupBy("doc_id", "x", "quality").count().withColumnRenamed("count", "copies")
+    groups = quality_classifier.deal(table, 3499, 100).groupBy("g", "quality").count().collect()
+    assert len({x.g for x in groups}) == 35 and sum(x["count"] for x in groups if x.quality == 0) == 3399
+    assert {x.g for x in groups if x.quality == 1} == set(range(35)) and max(x["count"] for x in groups) < 200
+
+
 def test_texts_longer_than_a_piece(spark):
     """A text of several pieces' size, with a word longer than the hash's tables, gets exact figures."""
     word = "y" * (5 << 19)

@@ -21,6 +21,8 @@ from trajlake.llm.quality_rules import _SYMBOL, _repeats
 
 #: Rows whose pairs are made together, partners of a row, Newton steps, ridge, and the score at the threshold.
 GROUP, PARTNERS, STEPS, RIDGE, AT_THRESHOLD = 4096, 4, 8, 1e-3, 0.3
+#: How many rows of the rarer kind a group has on average, if there are that many; the odds of a group without any are below 1e-13.
+RARE = 32
 
 _UPPER = _text._class(lambda b: 65 <= b <= 90)
 _DIGIT = _text._class(lambda b: 48 <= b <= 57)
@@ -86,28 +88,51 @@ def _step(mean: np.ndarray, spread: np.ndarray, w: np.ndarray):
         good, bad = x[rows["quality"] == 1], x[rows["quality"] == 0]
         total = np.zeros(N_FEATURES * (N_FEATURES + 1) + 1)
         if len(good) and len(bad):
-            i = np.arange(max(len(good), len(bad), PARTNERS * min(len(good), len(bad))))
-            total = _sums(good[i % len(good)] - bad[(i + i // len(good)) % len(bad)], w)
+            few, many, sign = (good, bad, 1) if len(good) <= len(bad) else (bad, good, -1)
+            i = np.arange(max(len(many), min(PARTNERS, len(many)) * len(few)))
+            at = i % len(many)  # each round over the commoner kind moves on by one of the rarer, so no pair comes twice
+            total = _sums(sign * (few[(at + i // len(many)) % len(few)] - many[at]), w)
         return pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
     return step
 
 
+def _each(table: DataFrame) -> DataFrame:
+    """A row for each of a row's copies, numbered from 1 by copy."""
+    return table.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+
+
+def deal(table: DataFrame, n: int, good: int) -> DataFrame:
+    """table (doc_id, x, quality, copies) with g: its n rows, of which good are, in groups of about GROUP that have both kinds.
+
+    The commoner kind is dealt into groups by a hash. The rarer one is dealt into parts of about RARE rows, and each part joins
+    every group whose number leaves its own; so a rare row may meet several groups, and what is shuffled for it stays below
+    RARE rows a group. Copies of a row are dealt one by one, so none makes a group large.
+    """
+    groups, rarer = max(1, round(n / GROUP)), 1 if good <= n - good else 0
+    parts = min(groups, max(1, min(good, n - good) // RARE))
+    each = _each(table).withColumn("h", F.xxhash64("doc_id", "copy"))
+    part = F.pmod("h", F.lit(parts).cast("long"))
+    of = F.when(F.col("quality") == rarer, F.sequence(part, F.lit(groups - 1).cast("long"), F.lit(parts).cast("long")))
+    return each.withColumn("g", F.explode(F.coalesce(of, F.array(F.pmod("h", F.lit(groups).cast("long")))))).drop("copy", "copies", "h")
+
+
 def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Mean and spread of the features, weights and threshold, from rows (doc_id, x, quality).
 
-    Rows are dealt into groups of about GROUP by a hash; in a group each row of the rarer kind meets PARTNERS times as
-    many of the other, or the other's all once. Only sums go to the driver.
+    Rows are dealt into groups with both kinds, see deal(); in a group each row of the rarer kind meets about
+    PARTNERS of the other, or more, so that each of these is met once. Rows that repeat count each time. Only sums go to the driver.
     """
-    table = materialize(labelled.filter(F.col("quality").isin(0, 1)).select("doc_id", "x", F.col("quality").cast("int").alias("quality")), "labelled")
-    n, good = table.agg(F.count("*"), F.sum("quality")).first()
+    known = labelled.filter(F.col("quality").isin(0, 1)).select("doc_id", "x", F.col("quality").cast("int").alias("quality"))
+    table = materialize(known.groupBy("doc_id", "x", "quality").agg(F.count("*").alias("copies")), "labelled")
+    n, good = table.agg(F.sum("copies"), F.sum(F.col("quality") * F.col("copies"))).first()
     if not n or good in (0, n):
         return np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0
-    moments = table.agg(*(f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(N_FEATURES))).first()
-    mean, spread = np.array(moments[:N_FEATURES]), np.array(moments[N_FEATURES:])
+    at = [F.col("x")[i] for i in range(N_FEATURES)]
+    mean = np.array(table.agg(*(F.sum(x * F.col("copies")) for x in at)).first()) / n
+    spread = np.sqrt(np.array(table.agg(*(F.sum((x - float(m)) * (x - float(m)) * F.col("copies")) for x, m in zip(at, mean, strict=True))).first()) / n)
     spread = np.where(spread > 1e-12, spread, 1.0)
-    groups = max(1, round(n / GROUP))
-    dealt = materialize(table.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))), "labelled_groups")
+    dealt = materialize(deal(table, n, good), "labelled_groups")
     w = np.zeros(N_FEATURES)
     for _ in range(STEPS):
         rows = dealt.groupBy("g").applyInPandas(_step(mean, spread, w), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
@@ -118,7 +143,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]
         move = np.linalg.solve(h, g)
         w = w - move * min(1.0, 4.0 / (np.abs(move).max() + 1e-12))
     value = sum(F.lit(float(a / s)) * (F.col("x")[i] - F.lit(float(m))) for i, (a, s, m) in enumerate(zip(w, spread, mean, strict=True)))
-    return mean, spread, w, float(table.agg(F.percentile_approx(value, 1 - good / n, 100_000)).first()[0])
+    return mean, spread, w, float(_each(table).agg(F.percentile_approx(value, 1 - good / n, 100_000)).first()[0])
 
 
 def held_out() -> F.Column:
