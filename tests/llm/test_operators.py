@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from tests.llm import brute
 from trajlake.llm import (
+    _text,
     decontamination,
     language_id,
     license_scan,
@@ -360,11 +361,45 @@ def test_language_id_against_brute_force(spark):
         assert abs(found[k].score - 1 / sum(math.exp(v - log[best]) for v in log.values())) < 1e-4
 
 
-def test_language_model_of_many_languages_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "CELLS", 64)
-    rows = [(i, chr(97 + i % 20) * 8, f"l{i % 20:02}", None, 0) for i in range(200)]
-    langs, logp = language_id.fit(spark.createDataFrame(rows, SCHEMA))
-    assert len(langs) == 20 and logp.shape == (20, 3)
+@pytest.mark.parametrize("n, block", [(20, 7), (21, 7), (1000, 128)])
+def test_languages_in_blocks(spark, monkeypatch, n, block):
+    """Any number of models of all buckets gives what one model of all languages gives, ties and rows without letters too."""
+    r = random.Random(n)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(12)), f"l{i % n:04}", None, 0) for i in range(3 * n)]
+    rows += [(3 * n, None, None, None, 0), (3 * n + 1, "12 !", None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    models = list(language_id.fit(docs))
+    assert [len(x) for x, _ in models] == [block] * (n // block) + [n % block] * (n % block > 0) and all(p.shape[1] == language_id.BUCKETS for _, p in models)
+    split = {x.c0: x for x in language_id.predict(docs, iter(models)).collect()}
+    whole = {x.c0: x for x in language_id.predict(docs, iter([([a for x, _ in models for a in x], np.concatenate([p for _, p in models]))])).collect()}
+    assert len(split) == len(rows) and {k: x.pred for k, x in split.items()} == {k: x.pred for k, x in whole.items()}
+    assert all(abs(split[k].score - whole[k].score) < 1e-9 for k in whole) and split[3 * n + 1].pred == "und"
+
+
+def test_language_ngrams_in_plain_loops():
+    import pyarrow as pa
+
+    def grams(text):
+        code = [0]
+        for c in text:
+            x = ord(c.lower()) if c.isalpha() else 0
+            if x or code[-1]:
+                code.append(x)
+        code += [0] if code[-1] else []
+        for n in language_id.SIZES:
+            for i in range(len(code) - n + 1):
+                part = code[i : i + n]
+                if n == 2 or part[n // 2]:
+                    h = 0
+                    for x in part:
+                        h = (h * 0x100000001B3 + x) % 2**64
+                    yield int(_text.mix(np.array([h * (2 * n + 1) % 2**64], np.uint64))[0]) % language_id.BUCKETS
+
+    texts = ["", "a", "Ab  c!", "..x", "one two\nthree", "\u00c9t\u00e9 \u4e2d\u6587", "123"]
+    bucket, of, letters = language_id._grams(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert sorted(bucket[of == i].tolist()) == sorted(grams(text)) and letters[i] == sum(map(str.isalpha, text))
 
 
 def test_quality_classifier_minimises_the_loss_of_its_pairs(spark):

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm import _text
+from trajlake.llm._shared import drop, materialize
 
-#: Buckets of the hashed n-grams. A model has CELLS log-probabilities at most: with more languages it has fewer buckets.
-BUCKETS, CELLS = 1 << 15, 1 << 22
+#: Buckets of the hashed n-grams, and languages of a model: more of them make several models, one scored after the other.
+BUCKETS, BLOCK = 1 << 15, 128
 SIZES = (1, 2, 3)
 _tables: list[np.ndarray] = []
 
@@ -28,11 +29,7 @@ def _letters() -> np.ndarray:
     return _tables[0]
 
 
-def _buckets(langs: int) -> int:
-    return min(BUCKETS, max(1, CELLS // max(1, langs)))
-
-
-def _grams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of a piece's texts with their text's number, and each text's count of letters.
 
     What isn't a letter counts as one blank a run, so that n-grams see where words begin and end.
@@ -52,62 +49,98 @@ def _grams(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
             h = h * np.uint64(0x100000001B3) + c[j : j + len(h)]
         of_h = owner[n // 2 : n // 2 + len(h)]
         solid = (c[n // 2 : n // 2 + len(h)] > 0) if n % 2 else of_h >= 0  # so none reaches into the next text
-        found.append((_text.mix(h * np.uint64(2 * n + 1)) % np.uint64(buckets)).astype(np.int64)[solid])
+        found.append((_text.mix(h * np.uint64(2 * n + 1)) % np.uint64(BUCKETS)).astype(np.int64)[solid])
         of.append(of_h[solid])
     return np.concatenate(found), np.concatenate(of), n_letters
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages and their log-probabilities by bucket, counted over all rows with a language.
+def fit(docs: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Models of BLOCK languages at most, in order: the languages and their log-probabilities by bucket, over all rows of theirs.
 
-    Counting is a sum over partitions of at most CELLS rows (or a row a language, if there are more), whatever the input.
+    Each model is counted when it is asked for; counting is a sum over partitions of BUCKETS rows a language at most, whatever
+    the input. There is one model at least, without languages if no row has one.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(labelled.select("lang").distinct().toArrow().column("lang").to_pylist())
-    buckets = _buckets(len(langs))
-
+    names, last = labelled.select("lang").distinct().orderBy("lang"), None
+    while True:
+        rest = names if last is None else names.filter(F.col("lang") > last)
+        langs = sorted(rest.limit(BLOCK).toArrow().column("lang").to_pylist())
+        if langs or last is None:
+            yield langs, _log_probabilities(labelled, langs)
+        if len(langs) < BLOCK:
+            return
+        last = langs[-1]
+
+
+def _log_probabilities(labelled: DataFrame, langs: list[str]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for piece in _text.pieces(batches):
-            bucket, of, _ = _grams(piece.column("text"), buckets)
+            bucket, of, _ = _grams(piece.column("text"))
             lang = piece.column("lang").dictionary_encode()
             names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
-            both = np.bincount(code[of].astype(np.int64) * buckets + bucket, minlength=len(names) * buckets).reshape(-1, buckets)
+            both = np.bincount(code[of].astype(np.int64) * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
             for name, row in zip(names, both, strict=True):
                 total[name] = total.get(name, 0) + row
         for name, row in total.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(row[at])], names=["lang", "bucket", "n"])
 
-    rows = labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.full((len(langs), buckets), 0.5)
+    matrix = np.full((len(langs), BUCKETS), 0.5)
+    if not langs:
+        return matrix
+    within = labelled.filter(F.col("lang").between(langs[0], langs[-1]))
+    rows = within.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     number = {x: i for i, x in enumerate(langs)}
     np.add.at(matrix, ([number[x] for x in rows.column("lang").to_pylist()], rows.column("bucket").to_numpy()), rows.column("n").to_numpy())
-    return langs, np.log(matrix / matrix.sum(1, keepdims=True)) if langs else matrix
+    return np.log(matrix / matrix.sum(1, keepdims=True))
 
 
-def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, with_text: bool = False) -> DataFrame:
-    """The columns of docs as c0, c1 and so on (text only on demand, as text), pred and score.
-
-    score is the posterior of the predicted language, with even priors. Without a letter or a model: `und` and 0.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T, np.float32))
+def _scored(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
+    """rows with the state of their scores after one more model: pred, top (the best log-likelihood) and total (the sum of all
+    likelihoods so far, the best being 1); nulls where there is no letter or no language."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T, np.float32))
+    later = "pred" in rows.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
-            bucket, of, letters = _grams(piece.column("text"), _buckets(len(langs)))
+            bucket, of, letters = _grams(piece.column("text"))
             n, model = piece.num_rows, shared.value
-            total = np.stack([np.bincount(of, model[bucket, i], n) for i in range(len(langs))], 1) if langs else np.zeros((n, 1))
-            best = total.argmax(1)
-            odds = np.exp(total - total.max(1, keepdims=True))
+            each = np.stack([np.bincount(of, model[bucket, i], n) for i in range(len(langs))], 1) if langs else np.zeros((n, 1))
+            best, top = each.argmax(1), each.max(1)
+            total = np.exp(each - top[:, None]).sum(1)
             known = (letters > 0) & bool(langs)
-            pred = pa.array(np.array([*langs, "und"], object)[np.where(known, best, len(langs))], pa.string())
-            names = [c for c in piece.schema.names if with_text or c != "text"]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pred, pa.array(np.where(known, 1 / odds.sum(1), 0.0))], names=[*names, "pred", "score"])
+            pred = np.array([*langs, None], object)[np.where(known, best, len(langs))]
+            if later:
+                before, sums = (np.nan_to_num(piece.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in ("top", "total"))
+                stays, highest = before >= top, np.maximum(before, top)
+                pred = np.where(stays, np.array(piece.column("pred").to_pylist(), object), pred)
+                total, top = sums * np.exp(before - highest) + total * np.exp(top - highest), highest
+            names = [c for c in piece.schema.names if c not in ("pred", "top", "total")]
+            state = [pa.array(pred, pa.string()), pa.array(top, mask=~known), pa.array(total, mask=~known)]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *state], names=[*names, "pred", "top", "total"])
 
-    named = [(f, "text" if f.name == "text" else f"c{i}") for i, f in enumerate(docs.schema)]
-    schema = ", ".join([*(f"{x} {f.dataType.simpleString()}" for f, x in named if with_text or x != "text"), "pred string", "score double"])
-    return docs.toDF(*(x for _, x in named)).mapInArrow(score, schema)
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("pred", "top", "total")]
+    return rows.mapInArrow(score, ", ".join([*schema, "pred string", "top double", "total double"]))
+
+
+def predict(docs: DataFrame, models: Iterator[tuple[list[str], np.ndarray]], with_text: bool = False) -> DataFrame:
+    """The columns of docs as c0, c1 and so on (text only on demand, as text), pred and score.
+
+    score is the posterior of the predicted language among those of all models, with even priors. Without a letter or a
+    language: `und` and 0. A pass is made over docs for each model; after each but the last the rows are written with their state.
+    """
+    named = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows, waiting = docs.toDF(*named), None
+    for model in models:
+        if waiting is not None:
+            before, rows = rows, materialize(_scored(rows, *waiting), "language_scores")
+            if "pred" in before.columns:
+                drop(before)
+        waiting = model
+    known = F.col("pred").isNotNull()
+    kept = [c for c in named if with_text or c != "text"]
+    return _scored(rows, *waiting).select(*kept, F.coalesce("pred", F.lit("und")).alias("pred"), F.when(known, 1 / F.col("total")).otherwise(0.0).alias("score"))
 
 
 def held_out() -> F.Column:
@@ -124,7 +157,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     """
     model = fit(docs.filter(~held_out()))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(), F.lit(True)), F.col("text").cast("string").alias("text"))
-    return predict(rows, *model).toDF("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows, model).toDF("doc_id", "held_out", "lang_pred", "score")
 
 
 def language_filter(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
@@ -133,7 +166,7 @@ def language_filter(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     Null text and text without a letter go, as do all if no row has a language. Rows without a doc_id are judged but not
     learned from; repeated rows stay or go together. No rows give no rows.
     """
-    scored = predict(docs, *fit(docs.filter(~held_out())), with_text=True)
+    scored = predict(docs, fit(docs.filter(~held_out())), with_text=True)
     return scored.filter((F.col("pred") != "und") & (F.col("score") >= min_score)).drop("pred", "score").toDF(*docs.columns)
 
 
