@@ -1,46 +1,96 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-The corpus is dealt by hash into chunks. A chunk asks for the counts of its distinct n-grams; the questions are dealt by
-n-gram hash, where the count tables are summed up, and the answers joined back to the chunk's documents and summed.
+A table of counts for each order, partitioned by the n-gram's hash, becomes a table of scores from the lowest order up: an
+n-gram that counts looks up its context, any other the score of the n-gram without its first word, so each needs one join.
+The documents' n-grams, a row for each distinct one of a document, are joined to the scores and summed by document.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm import _text
+from trajlake.llm._shared import materialize, scratch
+
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 1 << 22
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's hash, its text, and its place in the text."""
+    data, bounds = _text.raw(texts)
+    starts, ends, first = _text.spans(data, bounds, _text.NOT_SPACE)
+    text = _text.owners(first)
+    return _text.hashes(data, starts, ends), text, np.arange(len(starts)) - first[:-1][text]
 
-def _planes(x: np.ndarray) -> bytes:
-    """The array's bytes, all lowest ones first and so on: small numbers then compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
+def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
+    """gram, suffix, context, starts and count of every n-gram of the texts: n consecutive words, as 64-bit hashes.
 
-def _unplanes(blob: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    suffix is the n-gram without its first word, context that without its last (both null for one word); starts tells whether
+    some text begins with it. Null or empty texts and texts of fewer words have none.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _text.pieces(batches):
+            words, _, place = _words(piece.column("text"))
+            ends = np.flatnonzero(place >= n - 1)
+            gram, at, times = np.unique(_text.windows(words, n)[ends - n + 1], return_index=True, return_counts=True)
+            starts = np.isin(gram, _text.windows(words, n)[ends[place[ends] == n - 1] - n + 1])
+            shorter = [_text.windows(words, n - 1)[ends[at] - n + 1 + k].view(np.int64) for k in (1, 0)] if n > 1 else [np.full(len(gram), None)] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *(pa.array(x, pa.int64()) for x in shorter), pa.array(starts), pa.array(times)], names=["gram", "suffix", "context", "starts", "count"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, suffix long, context long, starts boolean, count long")
+    return rows.groupBy("gram").agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.max("starts").alias("starts"), F.sum("count").alias("count"))
+
+
+def ngram_scores(docs: DataFrame, order: int, alpha: float, min_count: int) -> DataFrame:
+    """gram and score: the log of the stupid-backoff score of the last word of every n-gram of order words, or that begins a text."""
+    lower = materialize(ngram_counts(docs, 1), "ngram_counts")
+    total = lower.agg(F.sum("count")).first()[0] or 1
+    lower = lower.select("gram", "starts", "count", F.log(F.col("count") / total).alias("score"))
+    scores = lower.filter("starts") if order > 1 else lower
+    for n in range(2, order + 1):
+        known = F.col("count") >= min_count
+        below = lower.select(F.col("gram").alias("below"), F.col("count").alias("below_count"), F.col("score").alias("below_score"))
+        looked = ngram_counts(docs, n).withColumn("below", F.when(known, F.col("context")).otherwise(F.col("suffix"))).drop("suffix", "context").join(below, "below")
+        score = F.when(known, F.log(F.col("count") / F.col("below_count"))).otherwise(math.log(alpha) + F.col("below_score"))
+        lower = looked.select("gram", "starts", "count", score.alias("score"))
+        if n < order:
+            lower = materialize(lower, "ngram_scores")
+        scores = scores.unionByName(lower.filter("starts") if n < order else lower)
+    return scores.select("gram", "score")
+
+
+def document_ngrams(docs: DataFrame, order: int) -> DataFrame:
+    """key, gram and times: for each word of a text the n-gram of order words that ends there, or all words up to it if fewer.
+
+    key is a hash of doc_id and text. Rows equal in both bring their n-grams once each.
+    """
 
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _text.pieces(batches):
+            words, text, place = _words(piece.column("text"))
+            gram = words.copy()
+            for n in range(1, order + 1):
+                ends = np.flatnonzero(place == n - 1 if n < order else place >= n - 1)
+                gram[ends] = _text.windows(words, n)[ends - n + 1]
+            ranked = np.lexsort((gram, text))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(gram[ranked]) != 0) | (np.diff(text[ranked]) != 0)])) if len(gram) else ranked
+            key = piece.column("key").to_numpy()[text[ranked[new]]]
+            times = np.diff(np.append(new, len(gram))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gram[ranked[new]].view(np.int64)), pa.array(times)], names=["key", "gram", "times"])
 
-def _grams(texts: pd.Series, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the n-gram that ends at each word (of words with enough before them in their text), and text bounds."""
-    words, counts = [], []
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    for piece in _text.pieces(iter([batch])):
-        data, bounds = _text.raw(piece.column("text"))
-        starts, ends, first = _text.spans(data, bounds, _text.NOT_SPACE)
-        words.append(_text.hashes(data, starts, ends))
-        counts.append(np.diff(first))
-    words, first = np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-    return [_text.windows(words, n)[place[n - 1 :] >= n - 1] if len(words) >= n else words[:0] for n in range(1, order + 1)], first
+    return docs.select(_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "key long, gram long, times int")
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
@@ -53,73 +103,33 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
     Null, empty or blank text: n_words 0, log_score 0. Null doc_ids and repeated rows are rows of their own, and all count.
     No rows give no rows. Other columns are ignored.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shift = np.uint64(64 - max(1, (parts - 1).bit_length()))
-    chunks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", chunk).groupBy("chunk")
-
-    def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        grams, first = _grams(rows["text"], order)
-        out = [(0, 0, key[0], b"", np.array([first[-1]], np.uint64).tobytes())]
-        for n, x in enumerate(grams, 1):
-            x, c = np.unique(x, return_counts=True)
-            bucket = x >> shift
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(x) else []
-            for a, b in zip(at, [*at[1:], len(x)], strict=False):
-                out.append((n, int(bucket[a]), key[0], _planes(np.diff(x[a:b], prepend=np.uint64(0))), _planes(c[a:b].astype(np.uint64))))
-        return pd.DataFrame(out, columns=["n", "bucket", "chunk", "grams", "counts"])
-
-    def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if key[0] == 0:
-            total = np.sum([np.frombuffer(x, np.uint64) for x in rows["counts"]], dtype=np.uint64)
-            return pd.DataFrame({"chunk": rows["chunk"], "n": 0, "bucket": 0, "counts": np.array([total]).tobytes()})
-        grams = [np.cumsum(_unplanes(x, np.uint64)) for x in rows["grams"]]
-        _, of = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(of, np.concatenate([_unplanes(x, np.uint64) for x in rows["counts"]]).astype(np.float64))[of].astype(np.uint64)
-        cuts = np.cumsum([len(x) for x in grams])[:-1]
-        return pd.DataFrame({"chunk": rows["chunk"], "n": key[0], "bucket": key[1], "counts": [_planes(x) for x in np.split(total, cuts)]})
-
-    def score(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        grams, first = _grams(rows["text"], order)
-        told = told.sort_values(["n", "bucket"])
-        total = float(np.frombuffer(told["counts"].iloc[0], np.uint64)[0])
-        counts = []
-        for n, x in enumerate(grams, 1):
-            blobs = told["counts"][told["n"] == n]
-            known = np.concatenate([_unplanes(b, np.uint64) for b in blobs]).astype(np.float64) if len(blobs) else np.zeros(0)
-            counts.append(known[np.unique(x, return_inverse=True)[1]] if len(x) else np.zeros(0))
-        n_words = np.diff(first)
-        place = np.arange(first[-1]) - np.repeat(first[:-1], n_words)
-        full = []  # by order, the count of the n-gram that ends at each word, 0 where there is none
-        for n, c in enumerate(counts, 1):
-            full.append(np.zeros(first[-1]))
-            full[-1][place >= n - 1] = c
-        value = np.log(full[0] / total) if first[-1] else np.zeros(0)
-        for n in range(2, order + 1):
-            context = np.concatenate([[1.0], full[n - 2][:-1]]) if first[-1] else np.zeros(0)
-            found, able = full[n - 1] >= min_count, place >= n - 1
-            with np.errstate(divide="ignore", invalid="ignore"):
-                value = np.where(found, np.log(full[n - 1] / context), value + np.where(able, np.log(alpha), 0.0))
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        by_text = np.add.reduceat(np.append(value, 0.0), np.minimum(first[:-1], len(value))) * (n_words > 0) if len(n_words) else sums[:0]
-        return pd.DataFrame({"doc_id": rows["doc_id"], "n_words": n_words, "log_score": by_text})
-
-    asked = dealt.applyInPandas(ask, "n int, bucket long, chunk long, grams binary, counts binary")
-    told = asked.groupBy("n", "bucket").applyInPandas(answer, "chunk long, n int, bucket long, counts binary")
-    return dealt.cogroup(told.toDF("chunk", "n", "bucket", "counts").groupBy("chunk")).applyInPandas(score, "doc_id long, n_words long, log_score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"))
+    found = document_ngrams(docs, order).join(ngram_scores(docs, order, alpha, min_count), "gram")
+    found = found.groupBy("key").agg(F.sum("times").alias("words"), F.sum(F.col("times") * F.col("score")).alias("score"))
+    # Rows equal in doc_id and text were summed up together.
+    found = found.join(rows.groupBy("key").agg(F.count("*").alias("copies")), "key")
+    found = found.select("key", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), (F.col("score") / F.col("copies")).alias("log_score"))
+    return rows.join(found, "key", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("log_score", F.round("log_score", 4))
+    with scratch(spark):
+        scores = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("log_score", F.round("log_score", 4))
+        return materialize(scores, "lm_scores", keep=True)
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d)),
-u AS (SELECT b AS w, count(*) AS c FROM t GROUP BY b),
-g AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
-s AS (SELECT doc_id, sum(CASE WHEN g.c IS NOT NULL THEN ln(g.c / ua.c) ELSE ln(ub.c / (SELECT count(*) FROM t)) + CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END END) AS v
-  FROM t JOIN u ub ON ub.w = t.b LEFT JOIN u ua ON ua.w = t.a LEFT JOIN g ON g.a = t.a AND g.b = t.b GROUP BY doc_id)
+t AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d)),
+u AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+g AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+h AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 2),
+x AS (SELECT doc_id, CASE
+    WHEN h.n IS NOT NULL THEN ln(h.n / gc.n)
+    WHEN g.n >= 2 THEN ln(g.n / ub.n) + CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END
+    ELSE ln(u.n / (SELECT count(*) FROM t)) + CASE WHEN t.b IS NULL THEN 0 WHEN t.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS v
+  FROM t JOIN u ON u.c = t.c LEFT JOIN u ub ON ub.c = t.b LEFT JOIN g ON g.b = t.b AND g.c = t.c
+  LEFT JOIN g gc ON gc.b = t.a AND gc.c = t.b LEFT JOIN h ON h.a = t.a AND h.b = t.b AND h.c = t.c),
+s AS (SELECT doc_id, sum(v) AS v FROM x GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(v, 0), 4) AS log_score FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """
