@@ -1,7 +1,8 @@
-"""Licence scan: TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory.
+"""Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a whole text is a candidate header or licence statement. Its terms weigh by how rare they are among all lines
-of the corpus; only the templates' terms need counting, as any other term takes part in a line's length alone, as a rare one.
+Every line of a whole text is a candidate statement, every paragraph (a run of lines with words) a header that may be wrapped
+over lines, and the whole text a licence file. Terms weigh by how rare they are among all lines of the corpus; only the
+templates' terms need counting, as any other term takes part in a unit's length alone, as a rare one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,22 @@ from trajlake.llm._shared import materialize
 
 MIN_COSINE = 0.8
 
+#: Notices of headers and bodies of licence files, in the words of the licences themselves: fixed values.
+NOTICES = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+)
 #: Statements by which files usually name their licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -34,6 +51,7 @@ TEMPLATES = (
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    *NOTICES,
 )
 #: Names of files that speak for their directory and all below it.
 LICENSE_FILE = r"(?i)^(LICEN[CS]E|COPYING|NOTICE)(\..*)?$"
@@ -70,6 +88,12 @@ class _Model:
         return np.where(self.vocab[at] == words, at, -1)
 
 
+def _units(line: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each word's line, its paragraph (lines with words that follow one another in a text), and its text."""
+    paragraph = np.cumsum(np.concatenate([[True], (np.diff(line) > 1) | (np.diff(text) != 0)])[: len(line)])
+    return line, paragraph, text
+
+
 def _per_line(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line: one place of each, its line, and how often it occurs in it."""
     order = np.lexsort((words, line))
@@ -81,7 +105,8 @@ def _per_line(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def license_lines(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """row, license and cosine of the likest template of every row of docs (row, text); null where none reaches min_cosine.
 
-    Of equally like lines and templates the licence that sorts first counts. A line without words is like nothing.
+    A template is compared with each line, each paragraph and the text as a whole. Of equally like ones the licence that sorts
+    first counts. A line or text without words is like nothing.
     """
     model = _Model(templates)
 
@@ -104,18 +129,21 @@ def license_lines(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
             words, line, text, _ = _lines(piece.column("text"))
             n = piece.num_rows
             best, name = np.zeros(n), np.full(n, None, object)
-            at, k, tf = _per_line(words, line)
-            ids, k = np.unique(k, return_inverse=True)
-            term = model.terms(words[at])
-            weight = tf * np.where(term >= 0, model.idf[term], model.rare)
-            norm = np.sqrt(np.bincount(k, weight**2, len(ids)))
-            owner = np.zeros(len(ids), np.int64)
-            owner[k] = text[at]
-            inside = term >= 0
+            units = []
+            for unit in _units(line, text):
+                at, k, tf = _per_line(words, unit)
+                ids, k = np.unique(k, return_inverse=True)
+                term = model.terms(words[at])
+                weight = tf * np.where(term >= 0, model.idf[term], model.rare)
+                owner = np.zeros(len(ids), np.int64)
+                owner[k] = text[at]
+                inside = term >= 0
+                units.append((owner, np.sqrt(np.bincount(k, weight**2, len(ids))), k[inside], term[inside], weight[inside]))
             for t in np.argsort(model.names, kind="stable"):
-                cosine = np.round(np.bincount(k[inside], weight[inside] * model.units[t][term[inside]], len(ids)) / np.maximum(norm, 1e-300), 9)
                 top = np.zeros(n)
-                np.maximum.at(top, owner, cosine)
+                for owner, norm, k, term, weight in units:
+                    dot = np.bincount(k, weight * model.units[t][term], len(norm))
+                    np.maximum.at(top, owner, np.round(dot / np.maximum(norm, 1e-300), 9))
                 better = (top >= min_cosine) & (top > best)
                 best[better], name[better] = top[better], model.names[t]
             yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(name, pa.string()), pa.array(best, mask=best == 0)], names=["row", "license", "cosine"])
@@ -162,15 +190,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = rf"""
-WITH RECURSIVE m AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))}) t(k, license, text)),
+WITH RECURSIVE m AS (SELECT * FROM (VALUES {", ".join(f"""({i}, '{name}', '{text.replace("'", "''")}')""" for i, (name, text) in enumerate(TEMPLATES))}) t(k, license, text)),
 mt AS (SELECT k, w, count(*) AS tf FROM (SELECT k, unnest({_TERMS.format("text")}) AS w FROM m) GROUP BY k, w),
-l AS (SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
-lw AS (SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest({_TERMS.format("s")}) AS w FROM l) GROUP BY doc_id, line, w),
+l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+lt AS (SELECT doc_id, i, {_TERMS.format("s")} AS w FROM l),
+lu AS (SELECT doc_id, i, w, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM lt WHERE len(w) > 0),
+un AS (SELECT doc_id, 'l' || i AS line, w FROM lu UNION ALL SELECT doc_id, 'p' || p, w FROM lu UNION ALL SELECT doc_id, 't', w FROM lu),
+uw AS (SELECT doc_id, line, w, count(*) AS tf FROM (SELECT doc_id, line, unnest(w) AS w FROM un) GROUP BY doc_id, line, w),
+lw AS (SELECT * FROM uw WHERE line LIKE 'l%'),
 n AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, line FROM lw)),
 v AS (SELECT w, ln((1 + (SELECT n FROM n)) / (1 + count(lw.w))) + 1 AS idf FROM (SELECT DISTINCT w FROM mt) x LEFT JOIN lw USING (w) GROUP BY w),
 mn AS (SELECT k, sqrt(sum((tf * idf) ** 2)) AS norm FROM mt JOIN v USING (w) GROUP BY k),
-ln_ AS (SELECT doc_id, line, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1)) ** 2)) AS norm FROM lw LEFT JOIN v USING (w) GROUP BY doc_id, line),
-dot AS (SELECT doc_id, line, mt.k, sum(lw.tf * mt.tf * idf * idf) AS d FROM lw JOIN mt USING (w) JOIN v USING (w) GROUP BY doc_id, line, mt.k),
+ln_ AS (SELECT doc_id, line, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1)) ** 2)) AS norm FROM uw LEFT JOIN v USING (w) GROUP BY doc_id, line),
+dot AS (SELECT doc_id, line, mt.k, sum(uw.tf * mt.tf * idf * idf) AS d FROM uw JOIN mt USING (w) JOIN v USING (w) GROUP BY doc_id, line, mt.k),
 c AS (SELECT doc_id, license, max(round(d / ln_.norm / mn.norm, 9)) AS cosine FROM dot JOIN ln_ USING (doc_id, line) JOIN mn USING (k) JOIN m USING (k) GROUP BY doc_id, license),
 b AS (SELECT doc_id, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS r FROM c WHERE cosine >= {MIN_COSINE}) WHERE r = 1),
 f AS (SELECT doc_id, concat_ws('/', source, (doc_id // 2000)::VARCHAR, CASE WHEN doc_id % 40 <> 0 THEN (doc_id // 200)::VARCHAR END) AS dir,
