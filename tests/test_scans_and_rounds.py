@@ -152,3 +152,10 @@ def test_near_duplicates_of_a_long_chain(spark):
         if not any(a == v and abs(b - s) < 0.05 and abs(c - e) < 0.05 for a, b, c, _ in kept):
             kept.append((v, s, e, i))
     assert sorted((x.video_id, x.idx) for x in found.collect()) == sorted((k[0], k[3]) for k in kept)
+
+
+def test_tied_rows_share_a_run(spark):
+    """Of equal intervals one may open a run; the others belong to it wherever a second sort leaves them."""
+    rows = spark.createDataFrame([(1, 0, 5.0, 7.0, 0), (1, 0, 5.0, 7.0, 1), (1, 0, 1.0, 2.0, 1)], "k long, __seg long, start double, end double, new long").coalesce(1)
+    runs = intervals.scanned(rows, ["k"], ["start", "end"], "run", F.col("new"), "sum", peers=True)
+    assert sorted((r.start, r.run) for r in runs.collect()) == [(1.0, 1), (5.0, 2), (5.0, 2)]
