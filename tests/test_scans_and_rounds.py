@@ -159,3 +159,28 @@ def test_tied_rows_share_a_run(spark):
     rows = spark.createDataFrame([(1, 0, 5.0, 7.0, 0), (1, 0, 5.0, 7.0, 1), (1, 0, 1.0, 2.0, 1)], "k long, __seg long, start double, end double, new long").coalesce(1)
     runs = intervals.scanned(rows, ["k"], ["start", "end"], "run", F.col("new"), "sum", peers=True)
     assert sorted((r.start, r.run) for r in runs.collect()) == [(1.0, 1), (5.0, 2), (5.0, 2)]
+
+
+def test_matching_of_each_threshold_in_one_pass(spark, monkeypatch):
+    """Each threshold's counts are those of a loop by falling overlap, and a pair is matched once, not once a threshold."""
+    r = random.Random(11)
+    sides = [[(v, a / 4, a / 4 + r.randrange(4, 30) / 4, r.choice("ab")) for v in (1, 2) for a in (r.randrange(160) for _ in range(40))] for _ in range(2)]
+    passed = []
+    write = matching.materialize
+    monkeypatch.setattr(matching, "materialize", lambda df, name: (passed.append((name, df.count())), write(df, name))[1])
+    got = {(x.video_id, x.label, x.tau): (x.tp, x.fp, x.fn) for x in matching.match_segments(*(spark.createDataFrame(x, EVENT) for x in sides)).collect()}
+    pairs = 0
+    for v in (1, 2):
+        for label in "ab":
+            a, b = (sorted((s, e) for w, s, e, x in side if (w, x) == (v, label)) for side in sides)
+            inter = {(i, j): min(p[1], q[1]) - max(p[0], q[0]) for i, p in enumerate(a) for j, q in enumerate(b)}
+            ranked = sorted(((o / (a[i][1] - a[i][0] + b[j][1] - b[j][0] - o), i, j) for (i, j), o in inter.items() if o > 0), reverse=True)
+            pairs += sum(x[0] >= 0.3 for x in ranked)
+            for tau in matching.THRESHOLDS:
+                used_a, used_b = set(), set()
+                for iou, i, j in ranked:
+                    if iou >= tau and i not in used_a and j not in used_b:
+                        used_a.add(i)
+                        used_b.add(j)
+                assert got[v, label, tau] == (len(used_a), len(b) - len(used_a), len(a) - len(used_a))
+    assert next(n for name, n in passed if name == "matched_pairs") == pairs
