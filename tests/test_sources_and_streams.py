@@ -198,3 +198,12 @@ def test_windows_are_told_once_and_late_rows_dropped(spark, tmp_path):
     feed = _feed(spark, tmp_path, schema, [row(1, 0.0), row(2, 5 * day)], [row(3, 9 * day)], [row(4, 10.0), row(5, 20 * day)])
     found = counts.run_to_end(counts.tumbling_counts(feed), spark, "append")
     assert sorted((r.start.day, r.n) for r in found.collect()) == [(1, 1), (6, 1), (10, 1)]
+
+
+def test_truth_files_are_written_by_many_tasks(spark, tmp_path):
+    """Small files are dealt to as many tasks as a shuffle has, not put into one by their few bytes."""
+    rows = spark.createDataFrame([(v, 0.0, 1.0, "a") for v in range(40)], "video_id long, start double, end double, label string")
+    labels_json.write_truth(rows, str(tmp_path / "truth"), F.col("video_id"))
+    names = [p.name for p in (tmp_path / "truth").glob("file_no=*/part-*.txt")]
+    assert len(names) == 40
+    assert len({n.split("-")[1] for n in names}) > 1
