@@ -13,6 +13,7 @@ from trajlake.plans.features import extract_features, motion
 from trajlake.sources import adapters, files, labels_json
 from trajlake.sources.scene import crossroads
 from trajlake.streaming import counts, state
+from trajlake.streaming.ordered import PROVIDER
 
 EVENT = "video_id long, start double, end double, label string"
 
@@ -207,3 +208,32 @@ def test_truth_files_are_written_by_many_tasks(spark, tmp_path):
     names = [p.name for p in (tmp_path / "truth").glob("file_no=*/part-*.txt")]
     assert len(names) == 40
     assert len({n.split("-")[1] for n in names}) > 1
+
+
+def test_state_of_features_is_by_video(spark, tmp_path):
+    """Rows that wait are a value by video and batch, not by track; tracks end one by one, and nulls come back."""
+    rows = [(1, 3 * f, f / 10, k, 2, None if k == 3 else 0.9, None if (k, f) == (2, 4) else 900.0 + 9 * f * k, 900.0, 990.0 + 9 * f * k, 990.0) for k in range(12) for f in range(6 if k == 5 else 40)]
+    later = [(1, 3000 + 3 * f, 100 + f / 10, k, 2, 0.9, 900.0 + f, 900.0, 990.0 + f, 990.0) for k in (5, 6) for f in range(3)]
+    others = [[(2, 30 * t, float(t), 1, 2, 0.9, 900.0, 900.0, 990.0, 990.0)] for t in (60, 61)]
+    feed = _feed(spark, tmp_path, adapters.TRACKS, rows[::2], rows[1::2], *others, later)
+    stream, seen = state.stream_features(feed, crossroads(), adapters.SOURCE_SIZE, silence=30_000), []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    done = stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, _: seen.extend(b.collect())).start()
+    done.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress) <= 4
+    apart = [(1, f, t, k + (50 if t >= 100 else 0), *x) for _, f, t, k, *x in rows + later]
+    want = extract_features(spark.createDataFrame(apart, adapters.TRACKS), crossroads(), adapters.SOURCE_SIZE).withColumn("id", F.col("id") % 50)
+    names = sorted(want.columns)
+    near = lambda found: sorted((tuple(round(r[c], 7) if isinstance(r[c], float) else r[c] for c in ("id", "frame", *names)) for r in found if r.video_id == 1), key=lambda r: r[:2])
+    assert near(seen) == near(want.collect())
+
+
+def test_files_of_a_feed_grow_with_its_stretches(spark):
+    """Stretches of many rows are dealt to several files, all of them in one batch."""
+    rows = spark.range(50_000).select((F.col("id") % 20 / 10.0).alias("t"), "id")
+    feed, batches = counts.as_stream(rows, 1.0), []
+    done = feed.writeStream.trigger(availableNow=True).foreachBatch(lambda b, _: batches.append((b.count(), len(b.filter("id IS NOT NULL").select(F.floor("t")).distinct().collect()), len(b.inputFiles())))).start()
+    done.awaitTermination()
+    assert [b[:2] for b in batches] == [(25_000, 1), (25_000, 1), (1, 0)]
+    assert [len(p["sources"]) for p in done.recentProgress if p["numInputRows"]] == [1, 1, 1] and batches[0][2] == 2

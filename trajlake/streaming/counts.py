@@ -72,25 +72,36 @@ def at_time(t: str) -> Column:
     return F.timestamp_micros(F.lit(_BEGIN) + F.round(F.col(t) * 1_000_000).cast("long"))
 
 
+#: Rows of a stretch for which it gets another file.
+_FILE_ROWS = 10_000
+
+
 def as_stream(rows: DataFrame, seconds: float, t: str = "t", swap: bool = False) -> DataFrame:
-    """A stream of rows with ts, the time that t tells, from one file for each stretch of so many seconds, one a batch.
+    """A stream of rows with ts, the time that t tells, from the files of a stretch of so many seconds, one stretch a batch.
 
     Stretches are counted from 0, so feeds of the same seconds go on together. A last file has a row without values three hours
     later, as other cameras would send it, which moves the watermark past all rows. With swap, stretches 1 and 2, 3 and 4, ...
     change places for every other row, as rows of a bad connection come late or early.
+
+    All stretches have the same number of files, as a batch is so many: one for each 10,000 rows of the smallest stretch, but no
+    more than a shuffle has partitions. Then rows dealt out in turn leave no file empty.
     """
     spark, path = rows.sparkSession, new_folder(rows.sparkSession, "feed")
     rows = rows.withColumn("ts", at_time(t))
     schema, stretch = rows.schema, F.floor(F.col(t) / seconds).cast("long")
     if swap:
         stretch = F.when((stretch > 0) & (F.crc32(F.col(t).cast("string")) % 2 == 0), stretch + F.when(stretch % 2 == 1, 1).otherwise(-1)).otherwise(stretch)
-    rows = materialize(rows.withColumn("__stretch", stretch), "feed_rows")
-    last = rows.agg(F.max("__stretch"), F.max(t)).first()
-    for k in range(-1 if last[0] is None else last[0] + 1):
-        rows.filter(F.col("__stretch") == k).drop("__stretch").coalesce(1).write.mode("append").parquet(path)
-    beat = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "ts"), F.timestamp_micros(F.lit(_BEGIN + int(((last[1] or 0) + 10_800) * 1_000_000))).alias("ts"))
+    rows = materialize(rows.withColumn("__stretch", stretch), "feed_rows", "__stretch")
+    sizes = {r[0]: r[1] for r in rows.filter("__stretch >= 0").groupBy("__stretch").agg(F.count("*")).collect()}
+    last = rows.agg(F.max(t)).first()[0]
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), min(sizes.values(), default=0) // _FILE_ROWS))
+    for k in range(max(sizes, default=-1) + 1):
+        # A stretch without rows is a batch without any: files of no rows, one by one.
+        for part in [rows.filter(F.col("__stretch") == k).repartition(files)] if k in sizes else [spark.createDataFrame([], schema)] * files:
+            (part if files > 1 and k in sizes else part.coalesce(1)).select(*schema.names).write.mode("append").parquet(path)
+    beat = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "ts"), F.timestamp_micros(F.lit(_BEGIN + int(((last or 0) + 10_800) * 1_000_000))).alias("ts"))
     beat.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"

@@ -1,6 +1,6 @@
 """Operators of a live feed that keep state: features, risk, signal changes, alarms and sessions.
 
-All but the stream join are Ordered: rows may come out of order within the watermark's delay (late), and what is told is what
+All but the stream join are Ordered or Chunked: rows may come out of order within the watermark's delay (late), and what is told is what
 the operator of the same name tells of the whole table, however the feed falls into batches. State is small: a few rows for each
 track or video, besides those that wait for the watermark.
 """
@@ -8,20 +8,21 @@ track or video, besides those that wait for the watermark.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Generator, Iterator
 from itertools import groupby
-from statistics import median
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from trajlake.functions import geometry as geo
 from trajlake.operators.risk import RiskConfig
 from trajlake.plans.features import VEHICLES, body_axis, membership, stop_line, to_scene
 from trajlake.sources.scene import Scene
-from trajlake.streaming.ordered import HOUR, Ordered, in_order
+from trajlake.streaming.ordered import HOUR, Chunked, Ordered, in_chunks, in_order, joined, picked
 
 CHANGES = "video_id long, t double, state string"
 ALARMS = "video_id long, t double"
@@ -133,62 +134,78 @@ def sessions_of(spans: DataFrame, keys: list[str], gap: float, late: str = "10 s
     return in_order(rows, keys, Sessions, out, late, keys, gap, silence=silence)
 
 
-class Motion(Ordered):
-    """A track's rows with speed and heading, each when two more have come, the last two when the track ends.
+class Motion(Chunked):
+    """The rows of a video's tracks with speed and heading, each when two more have come, the last two when the track ends.
 
-    Kept are the rows not told yet and two before them: a speed is the median of three differences of neighbours.
+    Kept are each track's rows not told yet and two before them: a speed is the median of three differences of neighbours.
     """
 
     order = ("t", "frame")
 
     def start(self, handle) -> None:
-        self.rows = handle.getListState("rows", self.schema)
-        self.told = handle.getValueState("told", "n int")
+        self.held = handle.getValueState("held", "rows binary")
 
-    @staticmethod
-    def _finite(x: float) -> float:
-        return x if math.isfinite(x) else 0.0
-
-    def _difference(self, rows: list, i: int) -> tuple[float, float]:
-        """Speed and heading at a row from the rows beside it."""
-        before, own, after = rows[max(i - 1, 0)], rows[i], rows[min(i + 1, len(rows) - 1)]
-        step = []
+    def _differences(self, rows: dict, before: np.ndarray, after: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Speed and heading at each row from the rows beside it; what is null, not a number or infinite counts as no motion."""
+        step = {}
         for c in ("cx", "cy", "t"):
-            a, b, x = before[c], after[c], own[c]
-            a, b = (x if a is None else a), (x if b is None else b)
-            step.append(math.nan if a is None or b is None else b - a)
-        dt = 0.1 if len(rows) == 1 else max(step[2], 1e-3)
-        return self._finite(math.hypot(step[0], step[1]) / dt), self._finite(math.atan2(step[1], step[0]))
-
-    def step(self, key, rows, now, ended) -> Iterator[Row]:
-        held = [self.row(*r) for r in self.rows.get()] if self.rows.exists() else []
-        make = Row("video_id", "id", *self.row[1:], "speed", "heading_rad")
-        told = self.told.get()[0] if self.told.exists() else 0
-        held += rows
-        upto = len(held) if ended else max(told, len(held) - 2)
-        for i in range(told, upto):
-            near = [self._difference(held, j) for j in range(max(i - 1, 0), min(i + 2, len(held)))]
-            heading = near[min(i, 1)][1]
-            yield make(*key, *held[i][1:], float(median(x[0] for x in near)), heading)
-        if rows and not ended:
-            first = max(0, upto - 2)
-            self.rows.put([tuple(r) for r in held[first:]])
-            self.told.update((upto - first,))
-
-    def clear(self) -> None:
-        self.rows.clear()
-        self.told.clear()
+            x, null = rows[c].astype(float), self.is_null(rows, c)
+            x = np.where(null, np.nan, x)
+            a, b = (np.where(null[k], x, x[k]) for k in (before, after))
+            step[c] = b - a
+        with np.errstate(all="ignore"):
+            raw = np.sqrt(step["cx"] * step["cx"] + step["cy"] * step["cy"]) / np.where(alone, 0.1, np.maximum(step["t"], 1e-3))
+            turn = np.arctan2(step["cy"], step["cx"])
+        return np.where(np.isfinite(raw), raw, 0.0), np.where(np.isfinite(turn), turn, 0.0)
+
+    def step(self, key, due, left, now) -> Generator[pd.DataFrame, None, int | None]:
+        known = self.held.get()
+        due["told"] = np.zeros(len(due["at"]), bool)
+        rows = joined([pickle.loads(known[0]), due]) if known else due
+        if not len(rows["at"]):
+            return None
+        waits = set(zip(left["id"].tolist(), self.is_null(left, "id").tolist(), strict=True))
+        rows = picked(rows, np.lexsort((self.is_null(rows, "id"), rows["id"])))
+        null, name, at = self.is_null(rows, "id"), rows["id"], rows["at"]
+        n = len(name)
+        first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (null[1:] != null[:-1])]))
+        size = np.diff(np.append(first, n))
+        seen = at[first + size - 1]
+        quiet = np.array([k not in waits for k in zip(name[first].tolist(), null[first].tolist(), strict=True)])
+        ended = quiet & (seen + self.silence <= now)
+        place, length = np.arange(n) - np.repeat(first, size), np.repeat(size, size)
+        before, after = np.arange(n) - (place > 0), np.arange(n) + (place < length - 1)
+        speed, heading = self._differences(rows, before, after, length == 1)
+        middle = np.median(np.stack([speed[before], speed, speed[after]]), axis=0)
+        # At an end two differences count, not three.
+        middle = np.where(before == np.arange(n), (speed + speed[after]) / 2, np.where(after == np.arange(n), (speed[before] + speed) / 2, middle))
+        tell = ~rows["told"] & (np.repeat(ended, size) | (place < length - 2))
+        if tell.any():
+            made = {c: rows[c][tell] for c in rows if c not in ("at", "told")}
+            yield pd.DataFrame({"video_id": key[0], **made, "speed": middle[tell], "heading_rad": heading[tell]})
+        upto = np.add.reduceat((rows["told"] | tell).astype(int), first)
+        keep = ~np.repeat(ended, size) & (place >= np.repeat(upto, size) - 2)
+        if not keep.any():
+            self.held.clear()
+            return None
+        rows["told"] = rows["told"] | tell
+        self.held.update((pickle.dumps(picked(rows, keep)),))
+        silent = seen[quiet & ~ended]
+        return int(silent.min()) + self.silence if len(silent) else None
 
 
 def stream_features(tracks: DataFrame, scene: Scene, source_size: tuple[int, int], late: str = "10 seconds", silence: int = HOUR) -> DataFrame:
-    """What extract_features gives of tracks with ts: positions and shapes by columns, motion by state.
+    """What extract_features gives of tracks with ts: motion by state, then positions and shapes by columns, so that state holds
+    only what a track brings and its middle.
 
     The time of silence must be longer than a track's longest gap: after it a track is a new one.
     """
-    rows = stop_line(body_axis(membership(to_scene(tracks, scene, source_size), scene), scene), scene)
-    kept = [f for f in rows.schema if f.name not in ("video_id", "id", "ts")]
-    out = StructType([rows.schema["video_id"], rows.schema["id"], *kept, StructField("speed", DoubleType()), StructField("heading_rad", DoubleType())])
-    return in_order(rows, ["video_id", "id"], Motion, out, late, silence=silence)
+    rows = to_scene(tracks, scene, source_size).select(*tracks.columns, "cx", "cy")
+    kept = [f for f in rows.schema if f.name not in ("video_id", "ts")]
+    out = StructType([rows.schema["video_id"], StructField("nulls", LongType()), *kept, StructField("speed", DoubleType()), StructField("heading_rad", DoubleType())])
+    moved = in_chunks(rows, ["video_id"], Motion, out, late, silence=silence).drop("cx", "cy")
+    found = stop_line(body_axis(membership(to_scene(moved, scene, source_size), scene), scene), scene)
+    return found.select("video_id", "id", *(c for c in found.columns if c not in ("video_id", "id", "speed", "heading_rad")), "speed", "heading_rad")
 
 
 class Risk(Ordered):
