@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trajlake.functions import intervals
@@ -237,3 +238,20 @@ def test_files_of_a_feed_grow_with_its_stretches(spark):
     done.awaitTermination()
     assert [b[:2] for b in batches] == [(25_000, 1), (25_000, 1), (1, 0)]
     assert [len(p["sources"]) for p in done.recentProgress if p["numInputRows"]] == [1, 1, 1] and batches[0][2] == 2
+
+
+def test_rows_of_a_batch_wait_as_one_value():
+    """Whatever the rows of a key and a batch, risk puts one value into state."""
+
+    class State:
+        def __init__(self):
+            self.put, self.timers = [], []
+
+        appendValue, registerTimer = (lambda s, v: s.put.append(v)), (lambda s, t: s.timers.append(t))
+        getListState = getMapState = getValueState = lambda s, *_: s
+
+    handle = State()
+    op = state.Risk(["video_id", "ts", "at", "nulls", "t"], {"t": 0}, 1000, risk.RiskConfig(), (1.0, 0.0))
+    op.init(handle)
+    assert not list(op.handleInputRows((1,), iter([pd.DataFrame([(1, None, k, 0, k / 1000) for k in range(500)])]), None))
+    assert len(handle.put) == 1 and handle.timers == [499]

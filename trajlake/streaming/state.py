@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections import namedtuple
 from collections.abc import Generator, Iterator
 from itertools import groupby
 
@@ -208,7 +209,7 @@ def stream_features(tracks: DataFrame, scene: Scene, source_size: tuple[int, int
     return found.select("video_id", "id", *(c for c in found.columns if c not in ("video_id", "id", "speed", "heading_rad")), "speed", "heading_rad")
 
 
-class Risk(Ordered):
+class Risk(Chunked):
     """Scores a video's frames from its tracks' last three samples and its signal, and fades the score in between.
 
     Tracks are kept in map state until the video ends, those that brake in another map, which each frame reads as a whole: a
@@ -217,14 +218,23 @@ class Risk(Ordered):
 
     order = ("t", "kind", "frame", "id")
 
-    def __init__(self, schema: StructType, silence: int, config: RiskConfig, along: tuple[float, float]) -> None:
-        super().__init__(schema, silence)
+    def __init__(self, columns: list[str], bits: dict[str, int], silence: int, config: RiskConfig, along: tuple[float, float]) -> None:
+        super().__init__(columns, bits, silence)
         self.config, self.along = config, along
 
     def start(self, handle) -> None:
         self.tracks = handle.getMapState("tracks", "id long", "t double, x double, y double, v double")
         self.braking = handle.getMapState("braking", "id long", "risk double")
-        self.last = handle.getValueState("last", "state string, at double, score double")
+        self.last = handle.getValueState("last", "state string, at double, score double, seen long")
+
+    def _rows(self, due: dict) -> list[tuple]:
+        """The rows as tuples by name, with their nulls again."""
+        names = [c for c in self.columns if c not in ("video_id", "ts", "nulls")]
+        values = []
+        for c in names:
+            x, null = due[c].tolist(), self.is_null(due, c) if c in self.bits else None
+            values.append([None if gone else v for v, gone in zip(x, null.tolist(), strict=True)] if null is not None and null.any() else x)
+        return list(map(namedtuple("Seen", names)._make, zip(*values, strict=True)))
 
     def _moved(self, r: Row, known: dict, brakes: dict) -> tuple[float, float]:
         """The velocity of a track at a row; notes whether it brakes."""
@@ -272,10 +282,24 @@ class Risk(Ordered):
                 best = max(best, self.config.wrong_way)
         return best
 
-    def step(self, key, rows, now, ended) -> Iterator[Row]:
-        if not rows:
-            return
-        state, at, score = self.last.get() if self.last.exists() else ("?", None, 0.0)
+    def step(self, key, due, left, now) -> Generator[pd.DataFrame, None, int | None]:
+        last = self.last.get()
+        state, at, score, seen = last or ("?", None, 0.0, None)
+        rows, told = self._rows(due), []
+        if rows:
+            seen = rows[-1].at
+            state, at, score = self._scored(rows, state, at, score, told)
+            self.last.update((state, at, score, seen))
+        if told:
+            yield pd.DataFrame(told, columns=["frame", "t", "score"]).assign(video_id=key[0])[["video_id", "frame", "t", "score"]]
+        if not len(left["at"]) and seen is not None and now >= seen + self.silence:
+            for s in (self.tracks, self.braking, self.last):
+                s.clear()
+            return None
+        return None if seen is None else seen + self.silence
+
+    def _scored(self, rows: list[tuple], state: str, at: float | None, score: float, told: list) -> tuple[str, float | None, float]:
+        """State, time and score after the rows; adds to told the samples (frame, t, score)."""
         known: dict = {}
         brakes = {k[0]: v[0] for k, v in self.braking.iterator()} if self.braking.exists() else {}
         held = dict(brakes)
@@ -291,7 +315,7 @@ class Risk(Ordered):
                 rule = self._violation(moving, speeds) if state == "R" else 0.0
                 at, score = t, max(0.0, min(1.0, max(self._collision(moving, speeds), rule, *brakes.values(), 0.0)))
             for r in ticks:
-                yield Row(video_id=key[0], frame=r.frame, t=t, score=0.0 if at is None else score * math.exp(-(t - at) / self.config.fade))
+                told.append((r.frame, t, 0.0 if at is None else score * math.exp(-(t - at) / self.config.fade)))
         for k, v in known.items():
             self.tracks.updateValue((k,), v)
         for k in held.keys() - brakes.keys():
@@ -299,11 +323,7 @@ class Risk(Ordered):
         for k, v in brakes.items():
             if held.get(k) != v:
                 self.braking.updateValue((k,), (v,))
-        self.last.update((state, at, score))
-
-    def clear(self) -> None:
-        for s in (self.tracks, self.braking, self.last):
-            s.clear()
+        return state, at, score
 
 
 def stream_risk(tracks: DataFrame, signals: DataFrame, scene: Scene, source_size: tuple[int, int], config: RiskConfig = RiskConfig(), late: str = "10 seconds", silence: int = HOUR) -> DataFrame:
@@ -321,7 +341,7 @@ def stream_risk(tracks: DataFrame, signals: DataFrame, scene: Scene, source_size
     )
     ticks = signals.select("video_id", F.lit(0).alias("kind"), "frame", "t", F.lit(0).cast("long").alias("id"), "state", "ts")
     both = seen.unionByName(ticks, allowMissingColumns=True)
-    return in_order(both, ["video_id"], Risk, SCORES, late, config, tuple(scene.directions["near"]), silence=silence)
+    return in_chunks(both, ["video_id"], Risk, SCORES, late, config, tuple(scene.directions["near"]), silence=silence)
 
 
 def signals_near(points: DataFrame, samples: DataFrame, reach: float = 0.18, late: str = "10 seconds") -> DataFrame:
