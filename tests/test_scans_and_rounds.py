@@ -1,11 +1,14 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from trajlake.functions import intervals
+from trajlake.functions.intervals import sample_step
 from trajlake.operators import lookups, matching
 from trajlake.operators.asof import backward, forward
+from trajlake.plans.features import motion
 from trajlake.sources.files import materialize
 
 EVENT = "video_id long, start double, end double, label string"
@@ -184,3 +187,23 @@ def test_matching_of_each_threshold_in_one_pass(spark, monkeypatch):
                         used_b.add(j)
                 assert got[v, label, tau] == (len(used_a), len(b) - len(used_a), len(a) - len(used_a))
     assert next(n for name, n in passed if name == "matched_pairs") == pairs
+
+
+def test_sampling_steps_come_from_one_shuffle(spark):
+    nan = float("nan")
+    rows = [(1, 1, t) for t in (0.0, 0.5, 0.5, 2.0, 1.0)] + [(1, 2, 3.0), (1, 2, 3.0), (2, 1, None), (2, 1, 1.0), (2, 1, 1.25), (3, 1, 1.0), (3, 1, 3.0), (3, 1, nan), (3, 1, nan)]
+    found = sample_step(spark.createDataFrame(rows, "video_id long, id long, t double").repartition(3), ["video_id", "id"])
+    steps = {(r.video_id, r.id): r.step for r in found.collect()}
+    assert steps.pop((3, 1)) != 2.0  # the step to what is no number counts once
+    assert steps == {(1, 1): 0.5, (1, 2): 0.1, (2, 1): 0.25}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_speed_is_the_median_of_up_to_three_differences(spark):
+    rows = [(1, i, i / 10.0, 1, x, 0.0) for i, x in enumerate([0.0, 1.0, 5.0, 5.5, 4.0])] + [(2, 0, 0.0, 1, 7.0, 0.0)] + [(3, i, i / 10.0, 1, 3.0 * i, 0.0) for i in range(2)]
+    found = motion(spark.createDataFrame(rows, "video_id long, frame long, t double, id long, cx double, cy double").repartition(3))
+    raw = {1: [10.0, 25.0, 22.5, 5.0, 15.0], 2: [0.0], 3: [30.0, 30.0]}
+    for r in found.collect():
+        near = raw[r.video_id][max(0, r.frame - 1) : r.frame + 2]
+        assert r.speed == pytest.approx(statistics.median(near))
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -72,8 +72,14 @@ def motion(rows: DataFrame) -> DataFrame:
     dt = F.greatest(F.when(F.col("__n") == 1, 0.1).otherwise(F.col("__dt")), F.lit(1e-3))
     rows = rows.withColumn("__raw", F.sqrt(F.col("__dcx") * F.col("__dcx") + F.col("__dcy") * F.col("__dcy")) / dt)
     rows = rows.withColumn("__turn", F.atan2("__dcy", "__dcx"))
-    rows = rows.withColumns({"__speed": finite("__raw"), "heading_rad": finite("__turn")}).withColumn("speed", F.expr("percentile(__speed, 0.5)").over(by.rowsBetween(-1, 1)))
-    return rows.drop("__dcx", "__dcy", "__dt", "__n", "__raw", "__turn", "__speed")
+    rows = rows.withColumns({"__speed": finite("__raw"), "heading_rad": finite("__turn")})
+    rows = rows.withColumns({"__before": F.lag("__speed").over(by), "__after": F.lead("__speed").over(by)})
+    # Not percentile() over the window: it builds a map of values for each row.
+    a, b, c = F.col("__before"), F.col("__speed"), F.col("__after")
+    two = F.coalesce(a, c) * 0.5 + b * 0.5
+    three = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+    rows = rows.withColumn("speed", F.when(F.col("__n") == 1, b).when(a.isNull() | c.isNull(), two).otherwise(three))
+    return rows.drop("__dcx", "__dcy", "__dt", "__n", "__raw", "__turn", "__speed", "__before", "__after")
 
 
 def extract_features(tracks: DataFrame, scene: Scene, source_size: tuple[int, int]) -> DataFrame:

@@ -97,7 +97,7 @@ def jaywalking(features: DataFrame, scene: Scene, config: RuleConfig = RuleConfi
     return _events(merge_intervals(found, ["video_id"], config.merge_gap, config.jaywalk_seconds), "jaywalking")
 
 
-def crosswalk_occupancy(rows: DataFrame, scene: Scene, persons: bool, margin: float = 12.0) -> DataFrame:
+def crosswalk_occupancy(rows: DataFrame, scene: Scene, persons: bool, margin: float = 12.0, steps: DataFrame | None = None) -> DataFrame:
     """video_id, id, crossing, start and end of a track's stays on each crossing; a vehicle's body counts with both ends."""
     points = ["foot"] if persons else ["foot", "front", "rear"]
     on = []
@@ -106,7 +106,7 @@ def crosswalk_occupancy(rows: DataFrame, scene: Scene, persons: bool, margin: fl
         on.append(F.when(reduce(lambda a, b: a | b, inside), F.lit(name)))
     stays = rows.select(*TRACK, "t", F.explode(F.array_compact(F.array(*on))).alias("crossing"))
     keys = [*TRACK, "crossing"]
-    runs = mask_intervals(stays, keys, F.lit(True), gap=0.25, steps=sample_step(rows, TRACK))
+    runs = mask_intervals(stays, keys, F.lit(True), gap=0.25, steps=sample_step(rows, TRACK) if steps is None else steps)
     return merge_intervals(runs, keys, 0.25, 0.15)
 
 
@@ -114,13 +114,14 @@ def _fast(cls: str, config: RuleConfig) -> Column:
     return F.when(F.col(cls) == 1, 3.0).otherwise(config.yield_speed)
 
 
-def failure_to_yield(features: DataFrame, scene: Scene, config: RuleConfig = RuleConfig()) -> DataFrame:
+def failure_to_yield(features: DataFrame, scene: Scene, config: RuleConfig = RuleConfig(), steps: DataFrame | None = None) -> DataFrame:
+    """steps has the sampling step of each vehicle, where it is known; so too in the other rules."""
     at = F.struct("t", "frame")
     vehicles = _vehicles(features)
     moving = vehicles.groupBy(*TRACK).agg(F.count("*").alias("n"), F.expr("percentile(speed, 0.5)").alias("v"), _travel("cx", "cy").alias("d"), F.min_by("cls", at).alias("c0"))
     moving = moving.filter((F.col("n") >= 2) & (F.col("v") >= _fast("c0", config)) & (F.col("d") >= 8.0)).select(*TRACK)
     rows = materialize(vehicles.join(moving, TRACK).select(*TRACK, "frame", "t", "cls", "speed", *(f"{p}_{c}" for p in ("foot", "front", "rear") for c in "xy"), "cx", "cy"), "moving_vehicles")
-    stays = crosswalk_occupancy(rows, scene, persons=False)
+    stays = crosswalk_occupancy(rows, scene, persons=False, steps=steps)
     local = _spanned(rows, stays, 0.12, 0.12).groupBy(*TRACK, "s_crossing", "s_start", "s_end").agg(F.count("*").alias("n"), F.expr("percentile(speed, 0.5)").alias("v"), _travel("cx", "cy").alias("d"), F.min_by("cls", at).alias("c0"))
     passing = local.filter((F.col("n") >= 2) & (F.col("v") >= _fast("c0", config)) & (F.col("d") >= 8.0))
     passing = passing.select("video_id", "id", F.col("s_crossing").alias("crossing"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
@@ -178,19 +179,19 @@ def red_light(features: DataFrame, signals: DataFrame, duration: DataFrame, conf
     return _events(went.withColumn("end", F.greatest(F.col("start") + 0.1, F.least("duration", F.col("last_t") + 0.1))), "red_light")
 
 
-def stopped_vehicle(features: DataFrame, duration: DataFrame) -> DataFrame:
+def stopped_vehicle(features: DataFrame, duration: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     rows = _vehicles(features)
     share = rows.groupBy(*TRACK).agg(F.avg(F.col("in_queue").cast("double")).alias("q"), F.avg(F.coalesce(F.col("road_id") == "far", F.lit(False)).cast("double")).alias("f"))
     rows = rows.join(share.filter("q <= 0.15 AND f <= 0.5").select(*TRACK), TRACK)
-    runs = mask_intervals(rows, TRACK, F.col("in_road") & (F.col("speed") <= 2.5), gap=0.5).filter("end - start >= 10.0")
+    runs = mask_intervals(rows, TRACK, F.col("in_road") & (F.col("speed") <= 2.5), gap=0.5, steps=steps).filter("end - start >= 10.0")
     return _events(runs.join(duration, "video_id").withColumn("end", F.least("duration", "end")), "stopped_vehicle")
 
 
-def wrong_way(features: DataFrame, scene: Scene) -> DataFrame:
+def wrong_way(features: DataFrame, scene: Scene, steps: DataFrame | None = None) -> DataFrame:
     along = {k: F.cos("heading_rad") * F.lit(x) + F.sin("heading_rad") * F.lit(y) for k, (x, y) in scene.directions.items()}
     against = F.when(F.col("road_id") == "near", along["near"]).when(F.col("road_id") == "far", along["far"])
     mask = F.coalesce(F.col("lane_id").isNotNull() & (F.col("lane_id") != "near_curb") & ~F.col("in_junction") & (against < -0.55) & (F.col("speed") > 5.0), F.lit(False))
-    return _events(mask_intervals(_vehicles(features), TRACK, mask, gap=0.35).filter("end - start >= 1.0"), "wrong_way")
+    return _events(mask_intervals(_vehicles(features), TRACK, mask, gap=0.35, steps=steps).filter("end - start >= 1.0"), "wrong_way")
 
 
 def solid_line(features: DataFrame, scene: Scene) -> DataFrame:
@@ -227,9 +228,11 @@ def contact(features: DataFrame) -> DataFrame:
 
 def generate_events(features: DataFrame, signals: DataFrame, scene: Scene, duration: DataFrame, config: RuleConfig = RuleConfig(), more: tuple = ()) -> DataFrame:
     """The events of all rules that are validated (and of more, your own functions of features), cut, merged, of a least length."""
-    found = [congestion(features, config), failure_to_yield(features, scene, config), red_light(features, signals, duration, config)]
+    # Rules keep whole tracks or none where they ask for steps, so the vehicles' serve all of them.
+    duration, steps = materialize(duration, "durations"), materialize(sample_step(_vehicles(features), TRACK), "vehicle_steps")
+    found = [congestion(features, config), failure_to_yield(features, scene, config, steps), red_light(features, signals, duration, config)]
     if config.unvalidated:
-        found += [stopped_vehicle(features, duration), wrong_way(features, scene), solid_line(features, scene), contact(features)]
+        found += [stopped_vehicle(features, duration, steps), wrong_way(features, scene, steps), solid_line(features, scene), contact(features)]
     found += [rule(features) for rule in more]
     events = found[0]
     for rule in found[1:]:
