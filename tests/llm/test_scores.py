@@ -1,7 +1,9 @@
 """Language-model scores of repeated rows, null ids, very long texts and hot words, by value."""
 
+import time
 from collections import Counter
 from math import log
+from pathlib import Path
 
 from trajlake.llm import lm_scoring
 
@@ -28,3 +30,23 @@ def test_repeats_null_ids_and_long_texts_by_value(spark):
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-9 * max(1, abs(b[2]))
+
+
+def test_rounds_share_the_ngrams_and_tables_keep_only_what_counts(spark):
+    docs = spark.createDataFrame([(1, "a b c a b d"), (2, "a b c x"), (3, None)], "doc_id long, text string")
+    once = sorted(map(tuple, lm_scoring.ngram_counts(docs, 2).collect()))
+    shares = [list(map(tuple, lm_scoring.ngram_counts(docs, 2, 2, k).collect())) for k in range(2)]
+    assert sorted(sum(shares, [])) == once and sum(r[2] for r in once) == 8
+    assert [t.count() for t in lm_scoring.ngram_gains(docs, 3, 0.4, 2)] == [5, 2, 1]
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    local = Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {f for f in local.rglob("shuffle_*.data")}
+    before = files()
+    lm_scoring.lm_scores(spark.createDataFrame([(k, f"a b c w{k}") for k in range(50)], "doc_id long, text string").repartition(4))
+    for _ in range(40):
+        if files() <= before:
+            break
+        time.sleep(0.5)
+    assert files() <= before

@@ -1,24 +1,32 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-A table of counts for each order, partitioned by the n-gram's hash, becomes a table of scores from the lowest order up: an
-n-gram that counts looks up its context, any other the score of the n-gram without its first word, so each needs one join.
-The documents' n-grams, a row for each distinct one of a document, are joined to the scores and summed by document.
+A document's score is that of its single words plus, for each longer n-gram of it that counts, what this adds to the score of the
+n-gram without its first word. So each order has a table of counts by n-gram hash, kept where the count is high enough, joined to
+the table of the order below, and joined in turn to the documents' n-grams, a row for each distinct one of a document, which are
+summed by document. What is found in this way of the longer orders is a small part of all n-grams, and only that is kept.
+
+The longer orders go in rounds, a share of all n-grams by hash in each: each reads all texts again, but shuffles only its share.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from trajlake.llm import _text
-from trajlake.llm._shared import materialize, scratch
+from trajlake.llm._shared import drop, materialize, scratch, shuffles_freed
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+# Fixed value: rounds of each order beyond single words.
+ROUNDS = 2
 
 
 def _key() -> Column:
@@ -33,46 +41,74 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _text.hashes(data, starts, ends), text, np.arange(len(starts)) - first[:-1][text]
 
 
-def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
-    """gram, suffix, context, starts and count of every n-gram of the texts: n consecutive words, as 64-bit hashes.
+def _joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those without the last and without the first word."""
+    return _text.mix(context * _text._BASE + suffix)
+
+
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive words, from those of its context and suffix."""
+    return words if n == 1 else _joined(*(lambda g: (g[:-1], g[1:]))(_grams(words, n - 1)))
+
+
+def _mine(gram: np.ndarray, rounds: int, turn: int) -> np.ndarray:
+    """Which n-grams the round has."""
+    return (gram >> np.uint64(8)) % np.uint64(rounds) == np.uint64(turn)
 
-    suffix is the n-gram without its first word, context that without its last (both null for one word); starts tells whether
-    some text begins with it. Null or empty texts and texts of fewer words have none.
+
+def ngram_counts(docs: DataFrame, n: int, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """context, suffix and count of every n-gram of the texts: n consecutive words, as 64-bit hashes.
+
+    context is the n-gram without its last word, suffix that without its first; of one word, context is 0 and suffix the word.
+    Of several rounds, one has the n-grams of its share. Null or empty texts and texts of fewer words have none.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
             words, _, place = _words(piece.column("text"))
-            ends = np.flatnonzero(place >= n - 1)
-            gram, at, times = np.unique(_text.windows(words, n)[ends - n + 1], return_index=True, return_counts=True)
-            starts = np.isin(gram, _text.windows(words, n)[ends[place[ends] == n - 1] - n + 1])
-            shorter = [_text.windows(words, n - 1)[ends[at] - n + 1 + k].view(np.int64) for k in (1, 0)] if n > 1 else [np.full(len(gram), None)] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *(pa.array(x, pa.int64()) for x in shorter), pa.array(starts), pa.array(times)], names=["gram", "suffix", "context", "starts", "count"])
+            shorter, gram = _grams(words, max(1, n - 1)), _grams(words, n)
+            at = np.flatnonzero(place >= n - 1) - n + 1
+            at = at[_mine(gram[at], rounds, turn)]
+            _, first, times = np.unique(gram[at], return_index=True, return_counts=True)
+            at = at[first]
+            context, suffix = (shorter[at], shorter[at + 1]) if n > 1 else (np.zeros(len(at), np.uint64), gram[at])
+            ranked = np.argsort(context)  # equal ones beside each other take less room
+            yield pa.RecordBatch.from_arrays([pa.array(context[ranked].view(np.int64)), pa.array(suffix[ranked].view(np.int64)), pa.array(times[ranked])], names=["context", "suffix", "count"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "context long, suffix long, count long")
+    return rows.groupBy("context", "suffix").agg(F.sum("count").alias("count"))
+
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, suffix long, context long, starts boolean, count long")
-    return rows.groupBy("gram").agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.max("starts").alias("starts"), F.sum("count").alias("count"))
+@F.pandas_udf(LongType())
+def _gram(context: pd.Series, suffix: pd.Series) -> pd.Series:
+    return pd.Series(_joined(context.to_numpy(np.int64).view(np.uint64), suffix.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
-def ngram_scores(docs: DataFrame, order: int, alpha: float, min_count: int) -> DataFrame:
-    """gram and score: the log of the stupid-backoff score of the last word of every n-gram of order words, or that begins a text."""
-    lower = materialize(ngram_counts(docs, 1), "ngram_counts")
-    total = lower.agg(F.sum("count")).first()[0] or 1
-    lower = lower.select("gram", "starts", "count", F.log(F.col("count") / total).alias("score"))
-    scores = lower.filter("starts") if order > 1 else lower
+def ngram_gains(docs: DataFrame, order: int, alpha: float, min_count: int) -> Iterator[DataFrame]:
+    """For each order a table of gram and gain: for single words the log of their share of all words, for longer n-grams with a
+    count of min_count or more what the log of count / count of context is beyond log alpha and the score of the suffix.
+
+    The suffix of an n-gram that counts has no smaller count, so its score is the log of its count / count of its context.
+    """
+    words = materialize(ngram_counts(docs, 1), "ngram_counts")
+    total = words.agg(F.sum("count")).first()[0] or 1
+    lower = words.select(F.col("suffix").alias("gram"), "count", F.log(F.col("count") / total).alias("score"))
+    yield lower.select("gram", F.col("score").alias("gain"))
+    held = words
     for n in range(2, order + 1):
-        known = F.col("count") >= min_count
-        below = lower.select(F.col("gram").alias("below"), F.col("count").alias("below_count"), F.col("score").alias("below_score"))
-        looked = ngram_counts(docs, n).withColumn("below", F.when(known, F.col("context")).otherwise(F.col("suffix"))).drop("suffix", "context").join(below, "below")
-        score = F.when(known, F.log(F.col("count") / F.col("below_count"))).otherwise(math.log(alpha) + F.col("below_score"))
-        lower = looked.select("gram", "starts", "count", score.alias("score"))
-        if n < order:
-            lower = materialize(lower, "ngram_scores")
-        scores = scores.unionByName(lower.filter("starts") if n < order else lower)
-    return scores.select("gram", "score")
+        parts = [materialize(ngram_counts(docs, n, ROUNDS, k).filter(F.col("count") >= min_count), "ngram_counts") for k in range(ROUNDS)]
+        context = lower.select(F.col("gram").alias("context"), F.col("count").alias("before"))
+        suffix = lower.select(F.col("gram").alias("suffix"), F.col("score").alias("shorter"))
+        table = reduce(DataFrame.unionByName, parts).join(context, "context").join(suffix, "suffix")
+        score = F.log(F.col("count") / F.col("before"))
+        table = materialize(table.select(_gram("context", "suffix").alias("gram"), "count", score.alias("score"), (score - math.log(alpha) - F.col("shorter")).alias("gain")), "ngram_gains")
+        drop(held, *parts)
+        yield table.select("gram", "gain")
+        lower = held = table
 
 
-def document_ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """key, gram and times: for each word of a text the n-gram of order words that ends there, or all words up to it if fewer.
+def document_ngrams(docs: DataFrame, n: int, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """key, gram and times: the distinct n-grams of n words of each text, of several rounds those of one.
 
     key is a hash of doc_id and text. Rows equal in both bring their n-grams once each.
     """
@@ -80,19 +116,31 @@ def document_ngrams(docs: DataFrame, order: int) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
             words, text, place = _words(piece.column("text"))
-            gram = words.copy()
-            for n in range(1, order + 1):
-                ends = np.flatnonzero(place == n - 1 if n < order else place >= n - 1)
-                gram[ends] = _text.windows(words, n)[ends - n + 1]
+            ends = np.flatnonzero(place >= n - 1)
+            gram, text = _grams(words, n)[ends - n + 1], text[ends]
+            mine = _mine(gram, rounds, turn)
+            gram, text = gram[mine], text[mine]
             ranked = np.lexsort((gram, text))
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(gram[ranked]) != 0) | (np.diff(text[ranked]) != 0)])) if len(gram) else ranked
-            key = piece.column("key").to_numpy()[text[ranked[new]]]
+            gram, text = gram[ranked], text[ranked]
+            new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])])) if len(gram) else ranked
             times = np.diff(np.append(new, len(gram))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gram[ranked[new]].view(np.int64)), pa.array(times)], names=["key", "gram", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(piece.column("key").to_numpy()[text[new]]), pa.array(gram[new].view(np.int64)), pa.array(times)], names=["key", "gram", "times"])
 
     return docs.select(_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "key long, gram long, times int")
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, key and n_words of every row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _text.pieces(batches):
+            first = _text.spans(*_text.raw(piece.column("text")), _text.NOT_SPACE)[2]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(np.diff(first).astype(np.int64))], names=["doc_id", "key", "n_words"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(count, "doc_id long, key long, n_words long")
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words and log_score of every document: the sum over its words of the log of their stupid-backoff scores.
 
@@ -103,13 +151,20 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
     Null, empty or blank text: n_words 0, log_score 0. Null doc_ids and repeated rows are rows of their own, and all count.
     No rows give no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"))
-    found = document_ngrams(docs, order).join(ngram_scores(docs, order, alpha, min_count), "gram")
-    found = found.groupBy("key").agg(F.sum("times").alias("words"), F.sum(F.col("times") * F.col("score")).alias("score"))
+    rows = materialize(_sizes(docs), "document_sizes")
+    sums = []
+    with shuffles_freed(docs.sparkSession):
+        for n, gains in enumerate(ngram_gains(docs, order, alpha, min_count), 1):
+            rounds = ROUNDS if n > 1 else 1
+            for k in range(rounds):
+                found = document_ngrams(docs, n, rounds, k).join(gains, "gram")
+                sums.append(materialize(found.groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain")), "document_gains"))
+    found = reduce(DataFrame.unionByName, sums).groupBy("key").agg(F.sum("gain").alias("gain"))
     # Rows equal in doc_id and text were summed up together.
-    found = found.join(rows.groupBy("key").agg(F.count("*").alias("copies")), "key")
-    found = found.select("key", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), (F.col("score") / F.col("copies")).alias("log_score"))
-    return rows.join(found, "key", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    found = found.join(rows.groupBy("key").agg(F.count("*").alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
+    m, last = F.col("n_words"), order - 1
+    short = F.when(m > last, last * (last - 1) // 2 + last * (m - last)).otherwise(m * (m - 1) / 2)  # words that all n-grams fall short, if all are single words
+    return rows.join(found, "key", "left").select("doc_id", "n_words", F.when(m > 0, F.col("gain") + short * math.log(alpha)).otherwise(0.0).alias("log_score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
