@@ -5,7 +5,10 @@ from collections import Counter
 from math import log
 from pathlib import Path
 
-from trajlake.llm import lm_scoring
+import numpy as np
+import pytest
+
+from trajlake.llm import _text, lm_scoring
 
 
 def brute(texts, order=3, alpha=0.4, least=2):
@@ -50,3 +53,37 @@ def test_shuffle_files_go_with_their_step(spark):
             break
         time.sleep(0.5)
     assert files() <= before
+
+
+@pytest.mark.parametrize("common", [1, 40, 1 << 40])
+def test_common_and_other_ngrams_by_value(spark, monkeypatch, common):
+    """None are common, some or all; ranges of hashes of a few words each."""
+    monkeypatch.setattr(lm_scoring, "COMMON", common)
+    monkeypatch.setattr(lm_scoring, "RANGE", 50)
+    texts = [" ".join(f"w{(i * k) % 23} the x{i % 5}" for i in range(40)) for k in range(9)] + ["the the the the", None, " ", "the", "rare one"]
+    rows = [(k % 11, t) for k, t in enumerate([*texts, texts[3]])]
+    found = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = sorted(((k, *x) for (k, _), x in zip(rows, brute([t for _, t in rows]), strict=True)), key=str)
+    assert len(found) == len(want)
+    for a, b in zip(sorted(map(tuple, found), key=lambda r: (str(r[0]), r[1:])), sorted(want, key=lambda r: (str(r[0]), r[1:])), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-9 * max(1, abs(b[2]))
+
+
+def test_counts_by_ranges_and_rows_without_common_ngrams(spark):
+    docs = spark.createDataFrame([(k, f"a b c a b w{k}") for k in range(30)], "doc_id long, text string").repartition(4)
+    once = sorted(map(tuple, lm_scoring.ngram_counts(docs, 2).collect()))
+    assert sorted(map(tuple, lm_scoring.ngram_counts(docs, 2, ranges=7).collect())) == once
+    often = sorted(map(tuple, lm_scoring.ngram_counts(docs, 2, ranges=7, least=2).collect()))
+    assert often == [r for r in once if r[2] >= 2] and sorted(r[2] for r in often) == [30, 30, 60]
+    grams = np.sort(np.array([r[3] for r in often], np.int64).view(np.uint64))
+    rows = lm_scoring.document_ngrams(docs, {2: np.zeros(0, np.uint64)}, 7)
+    assert rows.count() == 30 * 4 and rows.agg({"times": "sum"}).first()[0] == 30 * 5
+    assert lm_scoring.document_ngrams(docs, {2: grams}, 7).count() == 30  # only those with the word of its own
+
+
+def test_hashes_in_blocks_are_those_of_the_bytes(monkeypatch):
+    data = np.frombuffer(b"ab " * 50_000 + b"x" * 200_000 + b" ab " + b"y" * 3_000_000 + b" ab", np.uint8)
+    starts, ends, _ = _text.spans(data, np.array([0, len(data)]), _text.NOT_SPACE)
+    found = _text.hashes(data, starts, ends)
+    monkeypatch.setattr(_text, "_BLOCK", 1 << 20)
+    assert (found == _text.hashes(data, starts, ends)).all() and len(set(found.tolist())) == 3

@@ -5,7 +5,9 @@ n-gram without its first word. So each order has a table of counts by n-gram has
 the table of the order below, and joined in turn to the documents' n-grams, a row for each distinct one of a document, which are
 summed by document. What is found in this way of the longer orders is a small part of all n-grams, and only that is kept.
 
-The longer orders go in rounds, a share of all n-grams by hash in each: each reads all texts again, but shuffles only its share.
+The longer orders are counted in rounds, a share of all n-grams by hash in each: each reads all texts again, but shuffles only its share.
+On the way n-grams lie in arrays, one for each block of texts and range of hashes, and become rows again where they meet.
+N-grams that make up a fixed part of the corpus, of which there can't be many, are told to all tasks and not joined.
 """
 
 from __future__ import annotations
@@ -15,18 +17,18 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from trajlake.llm import _text
-from trajlake.llm._shared import drop, materialize, scratch, shuffles_freed
+from trajlake.llm._shared import drop, materialize, scratch, setting, shuffles_freed
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-# Fixed value: rounds of each order beyond single words.
-ROUNDS = 2
+# Rounds in which each order beyond single words is counted, words of the corpus for a range of hashes, and the part of all words from
+# which an n-gram is told to all tasks (so there are at most as many of an order; all of them go the same way to the same score).
+ROUNDS, RANGE, COMMON = 2, 1 << 20, 1 << 21
 
 
 def _key() -> Column:
@@ -53,92 +55,145 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
 
 def _mine(gram: np.ndarray, rounds: int, turn: int) -> np.ndarray:
     """Which n-grams the round has."""
-    return (gram >> np.uint64(8)) % np.uint64(rounds) == np.uint64(turn)
+    return (gram & np.uint64(0xFFFFFFFF)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(turn)
 
 
-def ngram_counts(docs: DataFrame, n: int, rounds: int = 1, turn: int = 0) -> DataFrame:
-    """context, suffix and count of every n-gram of the texts: n consecutive words, as 64-bit hashes.
+def _ranked(gram: np.ndarray) -> np.ndarray:
+    """The order of the n-grams by hash, equal ones by place. Hashes that differ in their last bits only may mix."""
+    low = np.uint64((1 << len(gram).bit_length()) - 1)
+    return (np.sort(gram & ~low | np.arange(len(gram), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def _range(gram: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of hashes that each n-gram is of."""
+    return ((gram >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    differ = reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))
+    return np.flatnonzero(np.concatenate([[True], differ])) if len(columns[0]) else np.zeros(0, np.int64)
+
+
+def _arrays(part: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part, which are in order, with its values as arrays."""
+    new = _new(part)
+    bounds = pa.array(np.append(new, len(part)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(c.view(np.int64) if c.dtype == np.uint64 else c)) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(part[new]), *lists], names=["part", *columns])
+
+
+def ngram_counts(docs: DataFrame, n: int, rounds: int = 1, turn: int = 0, ranges: int = 1, least: int = 1) -> DataFrame:
+    """context, suffix, count and gram of every n-gram of the texts with a count of least or more: n consecutive words, as 64-bit hashes.
 
     context is the n-gram without its last word, suffix that without its first; of one word, context is 0 and suffix the word.
     Of several rounds, one has the n-grams of its share. Null or empty texts and texts of fewer words have none.
+    Blocks of texts bring counts of their own, which are summed up for each range of hashes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
             words, _, place = _words(piece.column("text"))
-            shorter, gram = _grams(words, max(1, n - 1)), _grams(words, n)
+            shorter = _grams(words, max(1, n - 1))
+            gram = words if n == 1 else _joined(shorter[:-1], shorter[1:])
             at = np.flatnonzero(place >= n - 1) - n + 1
             at = at[_mine(gram[at], rounds, turn)]
-            _, first, times = np.unique(gram[at], return_index=True, return_counts=True)
+            at = at[_ranked(gram[at])]
+            first = _new(gram[at])
+            times = np.diff(np.append(first, len(at))).astype(np.int32)
             at = at[first]
             context, suffix = (shorter[at], shorter[at + 1]) if n > 1 else (np.zeros(len(at), np.uint64), gram[at])
-            ranked = np.argsort(context)  # equal ones beside each other take less room
-            yield pa.RecordBatch.from_arrays([pa.array(context[ranked].view(np.int64)), pa.array(suffix[ranked].view(np.int64)), pa.array(times[ranked])], names=["context", "suffix", "count"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "context long, suffix long, count long")
-    return rows.groupBy("context", "suffix").agg(F.sum("count").alias("count"))
+            yield _arrays(_range(gram[at], ranges), context=context, suffix=suffix, count=times)
 
+    def total(table: pa.Table) -> pa.Table:
+        context, suffix = (pc.list_flatten(table.column(c)).to_numpy().view(np.uint64) for c in ("context", "suffix"))
+        gram = _joined(context, suffix) if n > 1 else suffix
+        ranked = np.argsort(gram)
+        first = _new(gram[ranked])
+        counts = np.add.reduceat(pc.list_flatten(table.column("count")).to_numpy()[ranked], first, dtype=np.int64)
+        at, counts = ranked[first][counts >= least], counts[counts >= least]
+        return pa.table({"context": context[at].view(np.int64), "suffix": suffix[at].view(np.int64), "count": counts, "gram": gram[at].view(np.int64)})
 
-@F.pandas_udf(LongType())
-def _gram(context: pd.Series, suffix: pd.Series) -> pd.Series:
-    return pd.Series(_joined(context.to_numpy(np.int64).view(np.uint64), suffix.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, context array<long>, suffix array<long>, count array<int>")
+    return rows.groupBy("part").applyInArrow(total, "context long, suffix long, count long, gram long")
 
 
 def ngram_gains(docs: DataFrame, order: int, alpha: float, min_count: int) -> Iterator[DataFrame]:
-    """For each order a table of gram and gain: for single words the log of their share of all words, for longer n-grams with a
-    count of min_count or more what the log of count / count of context is beyond log alpha and the score of the suffix.
+    """For each order a table of gram, gain and count: for single words the log of their share of all words, for longer n-grams with
+    a count of min_count or more what the log of count / count of context is beyond log alpha and the score of the suffix.
 
     The suffix of an n-gram that counts has no smaller count, so its score is the log of its count / count of its context.
+    A table lasts until the next is asked for, that of single words until the one after that.
     """
-    words = materialize(ngram_counts(docs, 1), "ngram_counts")
+    words = materialize(ngram_counts(docs, 1, ranges=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("gram", "count"), "ngram_counts")
     total = words.agg(F.sum("count")).first()[0] or 1
-    lower = words.select(F.col("suffix").alias("gram"), "count", F.log(F.col("count") / total).alias("score"))
-    yield lower.select("gram", F.col("score").alias("gain"))
+    lower = words.select("gram", "count", F.log(F.col("count") / total).alias("score"))
+    yield lower.select("gram", F.col("score").alias("gain"), "count")
     held = words
     for n in range(2, order + 1):
-        parts = [materialize(ngram_counts(docs, n, ROUNDS, k).filter(F.col("count") >= min_count), "ngram_counts") for k in range(ROUNDS)]
+        parts = [materialize(ngram_counts(docs, n, ROUNDS, k, -(-total // (RANGE * ROUNDS)), min_count), "ngram_counts") for k in range(ROUNDS)]
+        lower = lower.filter(F.col("count") >= min_count)  # as all have that are a part of an n-gram that counts
         context = lower.select(F.col("gram").alias("context"), F.col("count").alias("before"))
         suffix = lower.select(F.col("gram").alias("suffix"), F.col("score").alias("shorter"))
         table = reduce(DataFrame.unionByName, parts).join(context, "context").join(suffix, "suffix")
         score = F.log(F.col("count") / F.col("before"))
-        table = materialize(table.select(_gram("context", "suffix").alias("gram"), "count", score.alias("score"), (score - math.log(alpha) - F.col("shorter")).alias("gain")), "ngram_gains")
-        drop(held, *parts)
-        yield table.select("gram", "gain")
+        table = table.select("gram", "count", *[score.alias("score")] * (n < order), (score - math.log(alpha) - F.col("shorter")).alias("gain"))
+        table = materialize(table, "ngram_gains")
+        drop(*parts, *[held] * (n > 2))
+        yield table.select("gram", "gain", "count")
+        drop(*[held] * (n == 2))
         lower = held = table
 
 
-def document_ngrams(docs: DataFrame, n: int, rounds: int = 1, turn: int = 0) -> DataFrame:
-    """key, gram and times: the distinct n-grams of n words of each text, of several rounds those of one.
+def _found(gram: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each n-gram would stand among the common ones, which are in order, and whether it is one."""
+    at = np.minimum(np.searchsorted(common, gram), len(common) - 1)
+    return at, common[at] == gram if len(common) else np.zeros(len(gram), bool)
 
-    key is a hash of doc_id and text. Rows equal in both bring their n-grams once each.
+
+def document_ngrams(docs: DataFrame, common: dict[int, np.ndarray], ranges: int) -> DataFrame:
+    """part, gram, key and times: the distinct n-grams of each text but for common ones, which are given in order by number of words.
+
+    part is the range of hashes, by which the rows are dealt. key is a hash of doc_id and text. Rows equal in both bring their
+    n-grams once each.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
             words, text, place = _words(piece.column("text"))
-            ends = np.flatnonzero(place >= n - 1)
-            gram, text = _grams(words, n)[ends - n + 1], text[ends]
-            mine = _mine(gram, rounds, turn)
-            gram, text = gram[mine], text[mine]
-            ranked = np.lexsort((gram, text))
-            gram, text = gram[ranked], text[ranked]
-            new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])])) if len(gram) else ranked
-            times = np.diff(np.append(new, len(gram))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(piece.column("key").to_numpy()[text[new]]), pa.array(gram[new].view(np.int64)), pa.array(times)], names=["key", "gram", "times"])
+            keys = piece.column("key").to_numpy()
+            for n, known in common.items():
+                ends = np.flatnonzero(place >= n - 1)
+                gram = _grams(words, n)[ends - n + 1]
+                ranked = _ranked(gram)
+                ranked = ranked[~_found(gram[ranked], known)[1]]
+                gram, owner = gram[ranked], text[ends[ranked]]
+                new = _new(gram, owner)
+                times = np.diff(np.append(new, len(gram))).astype(np.int32)
+                yield _arrays(_range(gram[new], ranges), gram=gram[new], key=keys[owner[new]], times=times)
 
-    return docs.select(_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "key long, gram long, times int")
+    rows = docs.select(_key().alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(explode, "part int, gram array<long>, key array<long>, times array<int>")
+    rows = rows.repartition("part").select("part", F.posexplode("gram").alias("at", "gram"), "key", "times")
+    return rows.select("part", "gram", F.get("key", F.col("at")).alias("key"), F.get("times", F.col("at")).alias("times"))
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, key and n_words of every row."""
+def _sizes(docs: DataFrame, common: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """doc_id, key and n_words of every row, and what it gains by common n-grams: of each order these in order and their gains."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text.pieces(batches):
-            first = _text.spans(*_text.raw(piece.column("text")), _text.NOT_SPACE)[2]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(np.diff(first).astype(np.int64))], names=["doc_id", "key", "n_words"])
+            words, text, place = _words(piece.column("text"))
+            known, gram = np.zeros(len(piece)), words
+            for n, (grams, gains) in common.items():
+                gram = gram if n == 1 else _joined(gram[:-1], gram[1:])
+                ends = np.flatnonzero(place >= n - 1)
+                ends = ends[_ranked(gram[ends - n + 1])]
+                at, found = _found(gram[ends - n + 1], grams)
+                known += np.bincount(text[ends[found]], gains[at[found]], len(piece))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(np.bincount(text, minlength=len(piece))), pa.array(known)], names=["doc_id", "key", "n_words", "known"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, key long, n_words long")
+    return rows.mapInArrow(count, "doc_id long, key long, n_words long, known double")
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
@@ -151,20 +206,34 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
     Null, empty or blank text: n_words 0, log_score 0. Null doc_ids and repeated rows are rows of their own, and all count.
     No rows give no rows. Other columns are ignored.
     """
-    rows = materialize(_sizes(docs), "document_sizes")
-    sums = []
-    with shuffles_freed(docs.sparkSession):
+    spark, sums, common, waiting = docs.sparkSession, [], {}, {}
+    # Ranges of hashes deal both sides of the join below, which is by range and hash.
+    with shuffles_freed(spark), setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", False):
         for n, gains in enumerate(ngram_gains(docs, order, alpha, min_count), 1):
-            rounds = ROUNDS if n > 1 else 1
-            for k in range(rounds):
-                found = document_ngrams(docs, n, rounds, k).join(gains, "gram")
-                sums.append(materialize(found.groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain")), "document_gains"))
+            if n == 1:
+                total = gains.agg(F.sum("count")).first()[0] or 1
+            often = F.col("count") * COMMON >= total
+            known = gains.filter(often).select("gram", "gain").toArrow()
+            grams = known.column("gram").to_numpy().view(np.uint64)
+            ranked = np.argsort(grams)
+            common[n] = grams[ranked], known.column("gain").to_numpy()[ranked]
+            waiting[n] = gains.filter(~often).select("gram", "gain")
+            if n == 1 < order:  # goes with pairs of words
+                continue
+            ranges = -(-total // RANGE)
+            part = F.shiftright(F.shiftrightunsigned("gram", 32) * F.lit(ranges).cast("long"), 32).cast("int")
+            rest = reduce(DataFrame.unionByName, waiting.values()).withColumn("part", part)
+            found = document_ngrams(docs, {k: common[k][0] for k in waiting}, ranges).join(rest, ["gram", "part"])
+            sums.append(materialize(found.groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gain")), "document_gains"))
+            waiting = {}
+        rows = materialize(_sizes(docs, common), "document_sizes")
     found = reduce(DataFrame.unionByName, sums).groupBy("key").agg(F.sum("gain").alias("gain"))
     # Rows equal in doc_id and text were summed up together.
     found = found.join(rows.groupBy("key").agg(F.count("*").alias("copies")), "key").select("key", (F.col("gain") / F.col("copies")).alias("gain"))
     m, last = F.col("n_words"), order - 1
     short = F.when(m > last, last * (last - 1) // 2 + last * (m - last)).otherwise(m * (m - 1) / 2)  # words that all n-grams fall short, if all are single words
-    return rows.join(found, "key", "left").select("doc_id", "n_words", F.when(m > 0, F.col("gain") + short * math.log(alpha)).otherwise(0.0).alias("log_score"))
+    gain = F.col("known") + F.coalesce("gain", F.lit(0.0))
+    return rows.join(found, "key", "left").select("doc_id", "n_words", F.when(m > 0, gain + short * math.log(alpha)).otherwise(0.0).alias("log_score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
