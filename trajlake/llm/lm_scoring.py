@@ -28,7 +28,7 @@ from trajlake.llm._shared import drop, materialize, scratch, setting, shuffles_f
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 # Rounds in which each order beyond single words is counted, words of the corpus for a range of hashes, and the part of all words from
 # which an n-gram is told to all tasks (so there are at most as many of an order; all of them go the same way to the same score).
-ROUNDS, RANGE, COMMON = 2, 1 << 20, 1 << 21
+ROUNDS, RANGE, COMMON = 2, 1 << 20, 1 << 22
 
 
 def _key() -> Column:
@@ -127,20 +127,19 @@ def ngram_gains(docs: DataFrame, order: int, alpha: float, min_count: int) -> It
     """
     words = materialize(ngram_counts(docs, 1, ranges=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("gram", "count"), "ngram_counts")
     total = words.agg(F.sum("count")).first()[0] or 1
-    lower = words.select("gram", "count", F.log(F.col("count") / total).alias("score"))
-    yield lower.select("gram", F.col("score").alias("gain"), "count")
+    lower = words.select("gram", "count", F.lit(total).cast("long").alias("before"))
+    yield lower.select("gram", F.log(F.col("count") / F.col("before")).alias("gain"), "count")
     held = words
     for n in range(2, order + 1):
         parts = [materialize(ngram_counts(docs, n, ROUNDS, k, -(-total // (RANGE * ROUNDS)), min_count), "ngram_counts") for k in range(ROUNDS)]
         lower = lower.filter(F.col("count") >= min_count)  # as all have that are a part of an n-gram that counts
         context = lower.select(F.col("gram").alias("context"), F.col("count").alias("before"))
-        suffix = lower.select(F.col("gram").alias("suffix"), F.col("score").alias("shorter"))
+        suffix = lower.select(F.col("gram").alias("suffix"), F.col("count").alias("shorter"), F.col("before").alias("shorter_before"))
         table = reduce(DataFrame.unionByName, parts).join(context, "context").join(suffix, "suffix")
-        score = F.log(F.col("count") / F.col("before"))
-        table = table.select("gram", "count", *[score.alias("score")] * (n < order), (score - math.log(alpha) - F.col("shorter")).alias("gain"))
-        table = materialize(table, "ngram_gains")
+        table = materialize(table.select("gram", "count", "before", "shorter", "shorter_before"), "ngram_gains")  # whole numbers take less room than logs
         drop(*parts, *[held] * (n > 2))
-        yield table.select("gram", "gain", "count")
+        gain = F.log(F.col("count") / F.col("before")) - math.log(alpha) - F.log(F.col("shorter") / F.col("shorter_before"))
+        yield table.select("gram", gain.alias("gain"), "count")
         drop(*[held] * (n == 2))
         lower = held = table
 
@@ -208,7 +207,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
     """
     spark, sums, common, waiting = docs.sparkSession, [], {}, {}
     # Ranges of hashes deal both sides of the join below, which is by range and hash.
-    with shuffles_freed(spark), setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", False):
+    # Small batches, as ten thousand texts at once would be held by Spark and by Python.
+    with shuffles_freed(spark), setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", False), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 1000):
         for n, gains in enumerate(ngram_gains(docs, order, alpha, min_count), 1):
             if n == 1:
                 total = gains.agg(F.sum("count")).first()[0] or 1
