@@ -91,6 +91,19 @@ def test_similar_groups(docs, rows, size, p, q):
     assert found == expected
 
 
+def test_ids_to_drop_are_broadcast_by_their_number(spark, monkeypatch):
+    """Files of ids are small, so Spark would tell millions of them to all tasks."""
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST", 3)
+    limit, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    before, walk = spark.conf.get(limit), ngram_jaccard._links
+    monkeypatch.setattr(ngram_jaccard, "_links", lambda *a: seen.append(spark.conf.get(limit)) or walk(*a))
+    rows = spark.createDataFrame([(i, f"one two three four five six {i % 5}", "x") for i in range(20)], "doc_id long, text string, lang string")
+    kept = ngram_jaccard.drop_similar(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert seen == [str(1 << 18)] and spark.conf.get(limit) == before
+
+
 @pytest.mark.parametrize("levels,pivot_bytes,broadcast", [(4, 0, 0), (1, 1 << 25, 250_000)])
 def test_similar_groups_by_cells(docs, rows, monkeypatch, levels, pivot_bytes, broadcast):
     for name, value in {"HOT": 2, "PART": 1, "SAMPLE": 5, "BLOCK": 3, "LEVELS": levels, "PIVOT_BYTES": pivot_bytes, "BROADCAST": broadcast, "NODES": broadcast}.items():

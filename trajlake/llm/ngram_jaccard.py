@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajlake.llm import _text
-from trajlake.llm._shared import drop, materialize, scratch, unused
+from trajlake.llm._shared import drop, materialize, scratch, small_broadcasts, unused
 from trajlake.llm.components import components
 
 #: The frequent n-grams that the order knows: so many at most (12 bytes each are broadcast), which occur in so many documents
@@ -43,8 +43,9 @@ SAMPLE, PIVOT_BYTES, SALTS = 16, 1 << 25, 64
 SPARE = 50
 #: Ids, n-grams or cells up to which a table of them is broadcast; beyond it both sides are shuffled.
 BROADCAST = 250_000
-#: Rows of 16 bytes up to which a list of sets is broadcast to pick these; beyond it the sets are shuffled.
-NODES = 1 << 21
+#: Rows of 16 bytes up to which a list of sets is broadcast to pick these; beyond it the sets are shuffled. The driver holds
+#: some 140 bytes a row of a broadcast.
+NODES = 1 << 19
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +141,8 @@ def _walk(probe: np.ndarray, partners: list[tuple[int, bytes]], p: int, q: int)
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
-    """The table, marked to be broadcast if it has rows rows at most; a larger one is joined by a shuffle."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    """The table, marked to be broadcast if it has rows rows at most; a larger one is joined by a shuffle, small as its files may be."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
 
 
 def _groups(rows: DataFrame, member: F.Column) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +232,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     groups = n // BLOCK + 1
     dealt = pairs.select(F.pmod(F.xxhash64("home"), F.lit(groups)).alias("part"), "a", "b")
     nodes = dealt.select("part", F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = (F.broadcast(nodes) if 2 * n <= NODES else nodes).join(sets, "node")
+    nodes = (F.broadcast(nodes) if 2 * n <= NODES else nodes.hint("merge")).join(sets, "node")
     nodes = nodes.select("part", "node", "grams").toDF("part", "node", "grams")  # toDF: columns of its own, for cogroup
 
     def verify(pairs: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
@@ -315,17 +316,7 @@ def _links(groups: DataFrame, hot: DataFrame, sets: DataFrame, known, p: int, q:
     return links.unionByName(found)
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
-
-    A text's set has its distinct n-grams of size words (A-Z lower-cased); a text with fewer words is one n-gram. Documents
-    link when the Jaccard index is similarity (p, q), that is p/q, at least. component_id is the least doc_id reachable.
-    N-grams and sets are known by 64-bit hashes.
-
-    Null, empty or blank text: n_shingles 0, no links. Null doc_id: the row keeps n_shingles and, having no id to be reached
-    by, gets the least doc_id of its equals and their links, else null. Repeated rows give repeated results, and equal sets
-    always link. No rows give no rows. Other columns are ignored.
-    """
+def _similar_groups(docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     p, q = similarity
     context = docs.sparkSession.sparkContext
     known = context.broadcast(frequent(docs, size))
@@ -370,7 +361,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
 
     links = _links(groups, materialize(hot, "jaccard_hot"), sets, known, p, q)
     drop(sets, wanted, groups)
-    joined = components(links).join(least, "node")
+    joined = components(links).join(least.hint("merge"), "node")
     roots = joined.groupBy("root").agg(F.min("least").alias("id"))
     linked = joined.join(roots, "root").select("node", "id")
     least = least.join(linked, "node", "left").select("node", F.coalesce("id", "least").alias("least"))
@@ -378,6 +369,21 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
     return ids.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    A text's set has its distinct n-grams of size words (A-Z lower-cased); a text with fewer words is one n-gram. Documents
+    link when the Jaccard index is similarity (p, q), that is p/q, at least. component_id is the least doc_id reachable.
+    N-grams and sets are known by 64-bit hashes.
+
+    Null, empty or blank text: n_shingles 0, no links. Null doc_id: the row keeps n_shingles and, having no id to be reached
+    by, gets the least doc_id of its equals and their links, else null. Repeated rows give repeated results, and equal sets
+    always link. No rows give no rows. Other columns are ignored.
+    """
+    with small_broadcasts(docs.sparkSession):
+        return _similar_groups(docs, size, similarity)
+
+
 def drop_similar(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """The documents, with all their columns, but of each group of similar ones only that with the least doc_id.
 
@@ -387,7 +393,7 @@ def drop_similar(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (
     with scratch(docs.sparkSession):
         gone = similar_groups(docs, size, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
         gone = materialize(gone, "jaccard_gone", keep=True)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    return docs.join(_small(gone, BROADCAST), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
