@@ -10,7 +10,7 @@ from trajlake.functions import geometry as geo
 from trajlake.functions.intervals import alarm_runs, mask_intervals, merge_events, merge_intervals, overlap_join, touching_merge
 from trajlake.operators import asof, matching
 from trajlake.operators.lamps import classify_counts
-from trajlake.plans import catalog_labels
+from trajlake.plans import catalog, catalog_labels
 
 EVENT = "video_id long, start double, end double, label string"
 
@@ -164,6 +164,19 @@ def test_pooled_all_has_micro_and_agnostic(spark):
     assert rows == {("class", "a"): (1, 1, 1), ("class", "b"): (0, 1, 1), ("micro", None): (1, 2, 2), ("agnostic", None): (2, 1, 1)}
 
 
+def test_confusion_pool_is_whole(spark, tmp_path):
+    """The query has the sums over all labels and the matching without labels, as its SQL has."""
+    import duckdb
+
+    spark.range(1, 400).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    run, sql = catalog.QUERIES["confusion_pool"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    rows = [tuple(r) for r in run(spark, str(tmp_path)).collect()]
+    assert {r[0] for r in rows} == {"class", "micro", "agnostic"}
+    assert sorted(rows, key=str) == sorted(con.execute(sql).fetchall(), key=str)
+
+
 def test_event_histogram_bins_keeps_zeros(spark):
     events = spark.createDataFrame([(1, "a", 1.0, 2.0), (1, "a", 25.0, 31.0), (1, "other", 3.0, 4.0), (2, "b", 0.0, 0.0)], LABELLED)
     rows = {(r.video_id, r.label, r.bin): r.n for r in catalog_labels.event_histogram_bins(events, ("a", "b")).collect()}
